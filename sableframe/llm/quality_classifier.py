@@ -75,8 +75,8 @@ class Ranking:
 
 
 def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Features in standard deviations, within 6, and their squares."""
-    z = np.clip((x - mean) / scale, -6, 6)
+    """Features in standard deviations, within 3, and their squares."""
+    z = np.clip((x - mean) / scale, -3, 3)
     return np.hstack([z, z * z])
 
 
@@ -104,7 +104,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> R
     cuts = (order[quantiles] + order[np.maximum(quantiles - 1, 0)]) / 2
     right = [((s >= t) == (y == 1)).mean() for t in cuts]
     best = np.flatnonzero(np.array(right) >= max(right) - 1e-12)
-    threshold = cuts[best[len(best) // 2]]
+    gap = order[quantiles] - order[np.maximum(quantiles - 1, 0)]
+    threshold = cuts[best[np.argmax(gap[best])]]
     return Ranking(mean, scale, w, float(threshold), float(max(1.0, np.abs(s - threshold).mean() / 4)))
 
 
