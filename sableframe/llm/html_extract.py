@@ -31,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
 
 RUN, SHARD_TOKENS = 8, 200_000
+#: Tables of hosts, or of pages that share runs, of up to this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 FURNITURE, OPEN, MAIN = 0, 1, 2
 
 # Element names of the HTML standard by their role here, and usual class names of furniture.
@@ -267,7 +269,7 @@ def covered_runs(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOK
     """(row, places): where runs begin, outside the main zone, that distinct pages of the host share."""
     hosts = pages.groupBy("host").agg(F.ceil(F.sum("n_outside") / shard_tokens).cast("int").alias("shards"))
     outside = F.filter("texts", lambda t, i: F.element_at("zones", i + 1) != MAIN)
-    dealt = pages.where(F.col("n_outside") >= run).select("host", "row", outside.alias("texts")).join(hosts, "host")
+    dealt = pages.where(F.col("n_outside") >= run).select("host", "row", outside.alias("texts")).join(_broadcast_if_small(hosts), "host")
     dealt = dealt.withColumn("shard", F.pmod(F.hash("row"), "shards"))
 
     def scan(t: pa.Table) -> pa.Table:
@@ -290,34 +292,52 @@ def covered_runs(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOK
     return places.groupBy(F.col("p.rows").alias("row")).agg(F.collect_set("p.places").alias("places"))
 
 
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def covered_tokens(places: Column, run: int) -> Column:
+    """How many tokens the runs at ``places`` cover."""
+    order = F.array_sort(places)
+    return F.aggregate(order, F.struct(F.lit(0).alias("n"), F.lit(-run).alias("last")), lambda s, p: F.struct((s["n"] + F.least(p - s["last"], F.lit(run))).alias("n"), p.alias("last")), lambda s: s["n"])
+
+
+def open_text(zones: list[int], texts: list[str], places: list[int] | None, run: int) -> str:
+    """Unique runs of the open zone of a page without a main zone, a line per block."""
+    outside = [t.split() for t in texts]
+    hit = np.zeros(sum(map(len, outside)) + run, bool)
+    for p in places or ():
+        hit[p : p + run] = True
+    kept, at = [], 0
+    for z, w in zip(zones, outside, strict=True):
+        left = [x for x, gone in zip(w, hit[at : at + len(w)], strict=True) if not gone] if z == OPEN else []
+        if left:
+            kept.append(" ".join(left))
+        at += len(w)
+    return "\n\n".join(kept)
+
+
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(page_id, url, text, n_outside, n_repeated): main text, tokens outside the main zone, and those of them in runs that pages of the host share."""
+    """(page_id, url, text, n_outside, n_repeated): main text, tokens outside the main zone, and those of them in runs that pages of the host share.
+
+    Texts of the main zone are not shuffled unless more than BROADCAST_ROWS pages share runs.
+    """
     held = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()))
-    joined = held.join(covered_runs(held, run, shard_tokens), "row", "left").select("page_id", "url", "zones", "texts", "n_outside", "places")
+    covered = staged(covered_runs(held, run, shard_tokens))
+    main = F.array_contains("zones", MAIN)
+    counts = covered.select("row", covered_tokens(F.col("places"), run).cast("long").alias("n_repeated"))
+    own = F.array_join(F.filter("texts", lambda t, i: F.element_at("zones", i + 1) == MAIN), "\n\n")
+    clear = held.where(main).select("row", "page_id", "url", own.alias("text"), "n_outside").join(_broadcast_if_small(counts), "row", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, repeated = [], []
-            for zones, own, n, places in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                hit = np.zeros((n or 0) + 1, bool)
-                for p in places or ():
-                    hit[p : p + run] = True
-                repeated.append(int(hit.sum()))
-                if MAIN in (zones or ()):
-                    texts.append("\n\n".join(t for z, t in zip(zones, own, strict=True) if z == MAIN))
-                    continue
-                kept, at = [], 0
-                for z, t in zip(zones or (), own or (), strict=True):
-                    w = t.split()
-                    if z == OPEN:
-                        left = [x for x, gone in zip(w, hit[at : at + len(w)], strict=True) if not gone]
-                        if left:
-                            kept.append(" ".join(left))
-                    at += len(w)
-                texts.append("\n\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(4), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_outside", "n_repeated"])
-
-    return joined.mapInArrow(write, "page_id long, url string, text string, n_outside long, n_repeated long")
+            rows = zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            texts = [open_text(zones, own, places, run) for zones, own, places in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(5), b.column(6)], ["page_id", "url", "text", "n_outside", "n_repeated"])
+
+    unclear = held.where(~main).join(covered, "row", "left").withColumn("n_repeated", covered_tokens(F.col("places"), run).cast("long"))
+    made = unclear.select("page_id", "url", "zones", "texts", "places", "n_outside", "n_repeated").mapInArrow(write, "page_id long, url string, text string, n_outside long, n_repeated long")
+    return clear.drop("row").unionByName(made).withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
