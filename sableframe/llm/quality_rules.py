@@ -176,7 +176,7 @@ def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
     """The measured documents with ``distance2`` and ``kept``."""
-    rows = staged(fit_groups(measured(docs)).withColumn("x", transformed()))
+    rows = staged(fit_groups(staged(measured(docs))).withColumn("x", transformed()))
     fitted = rows.where(~F.col("base_failed")).select("_group", "x")
     params = first_estimates(fitted)
     for _ in range(STEPS):

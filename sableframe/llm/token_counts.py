@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
 from sableframe.llm.text_kernels import tokenizer
 
@@ -90,4 +91,4 @@ def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of all documents with its suffix sums."""
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    return suffix_sums(staged(length_histogram(table(spark, sf_dir, "documents"))))
