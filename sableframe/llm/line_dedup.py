@@ -21,12 +21,11 @@ those names.
 from __future__ import annotations
 
 import sys
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,65 +34,37 @@ from pyspark.sql import functions as F
 from sableframe.llm.set_overlap import Postings, groups
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import split_words
+from sableframe.llm.text_kernels import ragged, sorted_distinct, split_words, stir, word_table
 
 NUM, DEN = 4, 5  # a Jaccard of 0.8
 LEAST_WORDS = 5
 BUCKETS = 1 << 22
-HOT, LEADERS, BLOCK = 64, 64, 1024
+HOT, LEADERS, BLOCK_WORDS = 500, 64, 400_000
 #: Tables of up to this many rows are broadcast to the texts; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-_ID_BITS, _ID_MASK = 55, (1 << 55) - 1
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+_ID_BITS = 55
 
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
     """For each bucket of words four times the binary logarithm of its count, in BUCKETS bytes; 255 if none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            at = np.fromiter((_hash(w) % BUCKETS for w in seen), np.int64, len(seen))
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            where, back = np.unique(at, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.bincount(back, n).astype(np.int64) if len(n) else n)], ["bucket", "n"])
-
+        seen = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                seen.update(split_words(t.as_py()))
-                if len(seen) > 400_000:
-                    yield flush()
-        yield flush()
-
-    counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    code = F.least(F.floor(4 * F.log2("n")), F.lit(254)).cast("int")
-    got = counts.select(F.col("bucket").cast("int").alias("bucket"), code.alias("code")).toArrow()
-    table_ = np.full(BUCKETS, 255, np.uint8)
-    table_[got["bucket"].to_numpy()] = got["code"].to_numpy()
-    return table_
-
-
-class Tokens(dict):
-    """Words as integers that sort by rarity: the bucket's code above 55 bits of the word's hash."""
+            for at in range(0, b.num_rows, 2048):
+                _, code, hashes = word_table(b.column(0).slice(at, 2048))
+                np.add.at(seen, (hashes % np.uint64(BUCKETS)).astype(np.int64), np.bincount(code, minlength=len(hashes)))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["bucket", "n"])
 
-    def __init__(self, rarity: np.ndarray):
-        super().__init__()
-        self.rarity = rarity
+    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = counts.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(254)).cast("int").alias("code")).toArrow()
+    rarity = np.full(BUCKETS, 255, np.uint8)
+    rarity[got["bucket"].to_numpy()] = got["code"].to_numpy()
+    return rarity
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = _hash(word)
-        self[word] = t = (int(self.rarity[h % BUCKETS]) << _ID_BITS) | (h >> 9)
-        return t
 
-
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     """How many of a set's rarest words must hold one that any similar set has in its own prefix."""
     return n - -(-NUM * n // DEN) + 1
 
@@ -102,45 +73,58 @@ def doc_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def sets_of_lines(texts: pa.Array, rarity: np.ndarray) -> dict[str, np.ndarray]:
+    """The lines of LEAST_WORDS or more words: text, line, n, skip, s0, s1, p0, p1 and the prefixes with their ``cuts``.
+
+    A word is an integer that sorts by rarity: its bucket's code above 55 bits of its hash. A set is known
+    by two sums over its words' hashes.
+    """
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    per_text = np.diff(lines.offsets.to_numpy())
+    owner, code, hashes = word_table(lines.flatten())
+    token = (rarity[(hashes % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64) << _ID_BITS) | (hashes >> np.uint64(9)).astype(np.int64)
+    known, rank = np.unique(token, return_inverse=True)
+    long_enough = np.bincount(owner, minlength=int(per_text.sum())) >= LEAST_WORDS
+    keep = long_enough[owner]
+    pair = sorted_distinct((owner[keep].astype(np.int64) << 32) | rank[code[keep]])
+    row, word = pair >> 32, known[pair & 0xFFFFFFFF]
+    chosen, starts, n = np.unique(row, return_index=True, return_counts=True)
+    first = np.searchsorted(chosen, row)
+    once = np.bincount(first, (word >> _ID_BITS) == 0, minlength=len(chosen)).astype(np.int64)
+    skip = np.minimum(once, prefix_length(n))  # a word that occurs once in the corpus matches nothing
+    count = prefix_length(n) - skip
+    bit, one = word & 127, np.int64(1)
+    reduce = lambda f, x: f.reduceat(x, starts) if len(starts) else x[:0]
+    stirred = stir(word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return {
+        "text": np.repeat(np.arange(len(texts)), per_text)[chosen],
+        "line": (np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text))[chosen],
+        "n": n,
+        "skip": skip,
+        "s0": reduce(np.add, stirred).view(np.int64),
+        "s1": reduce(np.add, stir(stirred ^ np.uint64(0xA0761D6478BD642F))).view(np.int64),
+        "p0": reduce(np.bitwise_xor, np.where(bit < 64, one << (bit & 63), 0)),
+        "p1": reduce(np.bitwise_xor, np.where(bit >= 64, one << (bit & 63), 0)),
+        "cuts": np.concatenate([[0], np.cumsum(count)]),
+        "prefix": word[ragged(count, starts + skip)],
+    }
+
+
 def line_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """One row per line of LEAST_WORDS or more words: its place, set, prefix and parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    names = ["doc_id", "th", "line", "set", "n", "skip", "prefix", "p0", "p1"]
+    kinds = {"line": pa.int32(), "n": pa.int32(), "skip": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "p0": pa.int64(), "p1": pa.int64()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Tokens(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids, ths, line, sets, n, skip, prefix, cuts, bits = [], [], [], [], [], [], array("q"), [0], []
-                for doc, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    for k, words in enumerate(map(split_words, (text.as_py() or "").split("\n"))):
-                        if len(words) < LEAST_WORDS:
-                            continue
-                        s = sorted(set(map(token.__getitem__, words)))
-                        own = array("q", s)
-                        m = prefix_length(len(s))
-                        first = 0
-                        while first < m and s[first] >> _ID_BITS == 0:
-                            first += 1  # a word that occurs once in the corpus matches nothing
-                        prefix.extend(own[first:m])
-                        cuts.append(len(prefix))
-                        ids.append(doc), ths.append(th), line.append(k), n.append(len(s)), skip.append(first)
-                        raw = own.tobytes()
-                        sets.append(xxhash.xxh3_128_digest(raw))
-                        bits.append(raw)
-                parity = np.zeros((len(n), 128), np.uint8)
-                if n:
-                    flat = np.frombuffer(b"".join(bits), np.int64) & 127
-                    cells = np.bincount(np.repeat(np.arange(len(n)), n) * 128 + flat, minlength=len(n) * 128)
-                    parity = (cells & 1).astype(np.uint8).reshape(-1, 128)
-                p = np.packbits(parity, axis=1).view(np.int64).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(prefix, np.int64) if len(prefix) else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(line, pa.int32()), pa.array(sets, pa.binary()), pa.array(n, pa.int32()), pa.array(skip, pa.int32()), lists, pa.array(p[:, 0]), pa.array(p[:, 1])], names
-                )
-
-    return docs.select("doc_id", doc_key(F.col("text")).alias("th"), "text").mapInArrow(cut, "doc_id long, th long, line int, set binary, n int, skip int, prefix array<long>, p0 long, p1 long")
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = sets_of_lines(part.column(2), shared.value)
+                text = pa.array(x["text"])
+                prefix = pa.ListArray.from_arrays(pa.array(x["cuts"], pa.int32()), pa.array(x["prefix"], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), *(pa.array(x[k].astype(t.to_pandas_dtype())) for k, t in kinds.items()), prefix], ["doc_id", "th", *kinds, "prefix"])
+
+    return docs.select("doc_id", doc_key(F.col("text")).alias("th"), "text").mapInArrow(cut, "doc_id long, th long, line int, n int, skip int, s0 long, s1 long, p0 long, p1 long, prefix array<long>")
 
 
 def _order(doc_id: str = "doc_id", th: str = "th", line: str = "line") -> Column:
@@ -151,24 +135,39 @@ def _broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def distinct_sets(lines: DataFrame) -> DataFrame:
-    """One row per set: an id, its earliest line, how many lines have it, and what the join needs."""
-    first = F.min(F.struct(_order().alias("o"), "n", "skip", "prefix", "p0", "p1")).alias("f")
-    return lines.groupBy("set").agg(first, F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "set", "copies", F.col("f.o").alias("o"), "f.n", "f.skip", "f.prefix", "f.p0", "f.p1")
+def repeated_sets(lines: DataFrame) -> DataFrame:
+    """(s0, s1, n, o): sets of more than one line, with their earliest line. No prefixes are shuffled."""
+    counted = lines.groupBy("s0", "s1", "n").agg(F.min(_order()).alias("o"), F.count("*").alias("copies"))
+    return counted.where("copies > 1").select("s0", "s1", "n", "o")
+
+
+def prefix_postings(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(token, id, at, p0, p1): a row per prefix word of each set, known by the id of its earliest line; ``at`` holds the set's size above the word's place."""
+    own = lines.select("id", "s0", "s1", "n", "skip", "prefix", "p0", "p1", _order().alias("own"))
+    first = own.join(_broadcast_if_small(repeated), ["s0", "s1", "n"], "left").where(F.col("o").isNull() | (F.col("own") == F.col("o")))
+    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") + F.col("skip")
+    rows = first.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
+    return rows.select("token", "id", at.alias("at"), "p0", "p1")
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters."""
-    x = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "p0", "p1")])
-    y = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "p0", "p1")])
-    total = F.col("a_n") + F.col("b_n")
-    reach = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters.
+
+    The smaller set (of equal ones that of the lesser id) is the first; its shared word lies in the shorter
+    prefix that suffices against sets of its size or more.
+    """
+    x = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "at", "p0", "p1")])
+    y = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "at", "p0", "p1")])
+    an, bn = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
+    ap, bp = F.col("a_at").bitwiseAND(F.lit(2**32 - 1)), F.col("b_at").bitwiseAND(F.lit(2**32 - 1))
+    reach = F.least(ap, bp) + F.least(an - ap, bn - bp)
     apart = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
     near = (
-        (F.col("a_id") < F.col("b_id"))
-        & (F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM)
-        & (reach * (NUM + DEN) >= total * NUM)
-        & (apart * (NUM + DEN) <= total * (DEN - NUM))
+        ((an < bn) | ((an == bn) & (F.col("a_id") < F.col("b_id"))))
+        & (an * DEN >= bn * NUM)
+        & (ap * (NUM + DEN) <= F.least(an, bn) * (DEN - NUM))
+        & (apart * (NUM + DEN) <= (an + bn) * (DEN - NUM))
+        & (reach * (NUM + DEN) >= (an + bn) * NUM)
     )
     return x.join(y, "token").where(near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
@@ -182,7 +181,7 @@ def set_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.array(sorted({_hash(w) for w in split_words(x.as_py())}), np.uint64).view(np.int64) for x in b.column(2)]
+            sets = [np.array(sorted({xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in split_words(x.as_py())}), np.uint64).view(np.int64) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "o", "words"])
 
     return found.mapInArrow(cut, "id long, o struct<x:boolean,doc_id:bigint,th:bigint,line:int>, words array<long>").dropDuplicates(["id"])
@@ -194,7 +193,7 @@ def verified_later(pairs: DataFrame, words: DataFrame) -> DataFrame:
     right = words.select(F.col("id").alias("b"), F.col("o").alias("bo"), F.col("words").alias("bw"))
     both = F.size(F.array_intersect("aw", "bw"))
     near = both * (NUM + DEN) >= (F.size("aw") + F.size("bw")) * NUM
-    return pairs.join(left, "a").join(right, "b").where(near).select(F.when(F.col("ao") < F.col("bo"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return pairs.join(left, "a").join(right, "b").where(near & (F.col("ao") != F.col("bo"))).select(F.when(F.col("ao") < F.col("bo"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +201,11 @@ def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
     for t in groups(batches, keys):
         t = t.combine_chunks()
         o = t["o"].combine_chunks()
-        order = sorted(range(t.num_rows), key=lambda i: (o.field(0)[i].as_py(), o.field(1)[i].as_py() or 0, o.field(2)[i].as_py(), o.field(3)[i].as_py()))
+        place = list(zip(o.field(0).to_pylist(), [x or 0 for x in o.field(1).to_pylist()], o.field(2).to_pylist(), o.field(3).to_pylist(), strict=True))
+        order = sorted(range(t.num_rows), key=place.__getitem__)
+        before = np.zeros(t.num_rows, np.int64)  # rows of a lesser place
+        for k in range(1, t.num_rows):
+            before[k] = before[k - 1] if place[order[k]] == place[order[k - 1]] else k
         ids, probe, index = t["id"].to_numpy(), t["probe"].to_numpy(zero_copy_only=False), t["index"].to_numpy(zero_copy_only=False)
         words = t["words"].combine_chunks()
         sets = [words[i].values.to_numpy() for i in order]
@@ -214,18 +217,18 @@ def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         for k, i in enumerate(order):
             if probe[i]:
                 near = postings.overlaps(sets[k]) * (NUM + DEN) >= NUM * (size[left] + size[k])
-                if (near & (left < k) & (ids[np.array(order)[left]] != ids[i])).any():
+                if (near & (left < before[k])).any():
                     found.append(ids[i])
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
 
 
 def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
-    """(id): sets of hot words (token, id) that have an earlier similar set under the same word."""
-    members = hot.join(words.select("id", "o"), "id").withColumn("slot", F.pmod(F.hash("id"), F.lit(LEADERS)))
+    """(id): sets of hot words (token, id, n) that have an earlier similar set under the same word."""
+    members = hot.select("token", "id").join(words.select("id", "o"), "id").withColumn("slot", F.pmod(F.hash("id"), F.lit(LEADERS)))
     leaders = members.groupBy("token", "slot").agg(F.min(F.struct("o", "id")).alias("f")).select("token", "f.id")
     # Leaders of a word are at most LEADERS rows; they go to each of the word's parts.
-    sizes = hot.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = hot.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("parts"))
     part = lambda df: df.join(sizes, "token").withColumn("part", F.pmod(F.hash("id", F.lit(1)), "parts"))
     every = leaders.join(sizes, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["token", "part", "other"]
@@ -247,22 +250,25 @@ def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines): for each document that loses lines, their numbers from 0."""
-    lines = staged(line_sets(docs, word_rarity(docs)))
-    sets = staged(distinct_sets(lines))
-    postings = sets.select("id", "n", "p0", "p1", "skip", F.posexplode("prefix").alias("k", "token")).select("token", "id", "n", (F.col("k") + F.col("skip")).alias("pos"), "p0", "p1")
-    common = F.shiftright("token", _ID_BITS) >= int(4 * np.log2(HOT))
-    hot_tokens = staged(postings.where(common).groupBy("token").count().where(F.col("count") > HOT).select("token"))
+    lines = staged(line_sets(docs, word_rarity(docs)).withColumn("id", F.monotonically_increasing_id()))
+    repeated = staged(repeated_sets(lines))
+    postings = prefix_postings(lines, repeated)
+    common = postings.where(F.shiftright("token", _ID_BITS) >= int(4 * np.log2(HOT)))
+    hot_tokens = staged(common.groupBy("token").count().where(F.col("count") > HOT).select("token"))
     pairs = staged(candidate_pairs(postings.join(hot_tokens, "token", "left_anti")))
-    hot = staged(postings.join(hot_tokens, "token", "left_semi").select("token", "id"))
+    hot = staged(common.join(hot_tokens, "token", "left_semi").select("token", "id", F.shiftright("at", 32).alias("n")))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
-    words = staged(set_words(docs, staged(sets.select("id", "o").join(wanted, "id"))))
+    wanted = _broadcast_if_small(staged(wanted))
+    words = staged(set_words(docs, staged(lines.select("id", _order().alias("o")).join(wanted, "id"))))
     later = verified_later(pairs, words)
     if hot_tokens.limit(1).count():
         later = later.unionByName(hot_later(hot, words)).distinct()
-    judged = sets.select("id", "set", "copies", "o").join(later.withColumn("later", F.lit(True)), "id", "left")
-    gone = judged.where("copies > 1 or later").select("set", "o", F.coalesce("later", F.lit(False)).alias("later"))
-    hit = lines.select("set", "doc_id", "th", "line", _order().alias("own")).join(gone, "set").where(F.col("later") | (F.col("own") != F.col("o")))
-    return hit.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
+    later = lines.select("id", "s0", "s1", "n").join(_broadcast_if_small(staged(later)), "id")
+    later = _broadcast_if_small(staged(later.select("s0", "s1", "n", F.lit(True).alias("later")).distinct()))
+    own = lines.select("s0", "s1", "n", "doc_id", "th", "line", _order().alias("own"))
+    hit = own.join(_broadcast_if_small(repeated), ["s0", "s1", "n"], "left").join(later, ["s0", "s1", "n"], "left")
+    gone = hit.where(F.col("later") | (F.col("o").isNotNull() & (F.col("own") != F.col("o"))))
+    return gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -276,7 +282,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.filter(pieces, lambda x, i: ~F.array_contains("_lines", i))
     return joined.withColumns(
         {
-            "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(pieces)), F.lit(0)).cast("long"),
+            "n_lines": F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
             "n_removed": F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"),
             "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         }
@@ -285,7 +291,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that are near an earlier line of the corpus."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,8 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 
@@ -41,7 +43,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _stir(x: np.ndarray) -> np.ndarray:
+def stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
@@ -53,8 +55,40 @@ def shingles(hashed: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     n = min(n, len(hashed))
     h = np.full(len(hashed) - n + 1, n, np.uint64)
     for k in range(n):
-        h = _stir(h * np.uint64(0x9E3779B97F4A7C15) + hashed[k : len(hashed) - n + 1 + k])
-    return np.unique(h)
+        h = stir(h * np.uint64(0x9E3779B97F4A7C15) + hashed[k : len(hashed) - n + 1 + k])
+    return sorted_distinct(h)
+
+
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def ragged(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions of runs of ``counts`` elements that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, hashes): of each word its text and its place among the distinct words, and those words' hashes.
+
+    The hash of a word is computed from its bytes and their places, for all distinct words at once.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    flat = split.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    known = coded.dictionary
+    cuts = np.frombuffer(known.buffers()[1], np.int32)[known.offset : known.offset + len(known) + 1].astype(np.int64) if len(known) else np.zeros(1, np.int64)
+    raw = np.frombuffer(known.buffers()[2], np.uint8)[cuts[0] : cuts[-1]] if len(known) else np.zeros(0, np.uint8)
+    size = np.diff(cuts)
+    place = np.arange(len(raw)) - np.repeat(cuts[:-1] - cuts[0], size)
+    mixed = stir(stir((raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    hashes = stir(stir(np.add.reduceat(mixed, cuts[:-1] - cuts[0]) + size.astype(np.uint64))) if len(known) else np.zeros(0, np.uint64)
+    return owner[full], coded.indices.to_numpy(zero_copy_only=False), hashes
 
 
 # Texts of these characters give the same ids by both libraries.

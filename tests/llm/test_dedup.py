@@ -123,7 +123,7 @@ def line_rows():
 def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "LEADERS", 3)
-    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "BLOCK_WORDS", 300)
     rows = line_rows()
     expected = brute_lines(rows)
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, rows, extra=True)).collect()}
