@@ -79,7 +79,7 @@ def printed(s: Column) -> Column:
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds ``next``, a struct of the ``carried`` columns of the next row by (doc_id, text), the last row's being the first's.
+    """Adds ``next``, a struct of the ``carried`` columns (text among them) of the next row by (doc_id, text), the last row's being the first's.
 
     Ids are cut into ranges at their quantiles, at most ``MOST_RANGES``; each range is ordered by itself,
     and the first row of each following range is laid at its end, so no task sees all rows. Null ids
@@ -94,22 +94,21 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
         at = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
     nulls = F.lit(len(cuts) + 1) + F.pmod(F.hash("text"), F.lit(ranges))
     ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), nulls).otherwise(at).cast("int"))
-    # The first row of each range, found by sums of ids and then by text among rows of that id.
     lowest = [(r["_range"], r["id"]) for r in ranged.groupBy("_range").agg(F.min("doc_id").alias("id")).orderBy("_range").collect()]
     heads = [(p, r, i) for (p, _), (r, i) in zip(lowest, lowest[1:] + lowest[:1], strict=True)]
     small = docs.sparkSession.createDataFrame(heads, "_before int, _range int, _id long")
+    others = [c for c in carried if c != "text"]
     first = (
         ranged.join(F.broadcast(small), "_range")
         .where(F.col("doc_id").eqNullSafe(F.col("_id")))
         .groupBy("_before")
-        .agg(F.min(F.struct("text", *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])).alias("_f"))
-        .select(F.col("_before").alias("_range"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("_order"), F.lit(1).alias("_end"), *[F.col(f"_f._c{k}").alias(f"_next{k}") for k in range(len(carried))])
+        .agg(F.min(F.struct("text", *others)).alias("_f"))
+        .select(F.col("_before").alias("_range"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("_end"), "_f.*")
     )
-    body = ranged.withColumns({"_end": F.lit(0), "_order": F.col("text"), **{f"_next{k}": F.col(c) for k, c in enumerate(carried)}})
-    both = body.unionByName(first, allowMissingColumns=True)
-    w = Window.partitionBy("_range").orderBy("_end", "doc_id", "_order")
-    following = F.struct(*[F.lead(f"_next{k}").over(w).alias(c) for k, c in enumerate(carried)])
-    return both.withColumn("next", following).where("_end = 0").drop("_range", "_end", "_order", *[f"_next{k}" for k in range(len(carried))])
+    both = ranged.withColumn("_end", F.lit(0)).unionByName(first, allowMissingColumns=True)
+    w = Window.partitionBy("_range").orderBy("_end", "doc_id", "text")
+    following = F.struct(*[F.lead(c).over(w).alias(c) for c in carried])
+    return both.withColumn("next", following).where("_end = 0").drop("_range", "_end")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
