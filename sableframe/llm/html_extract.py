@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
+from sableframe.llm.text_kernels import lean
 
 RUN, SHARD_TOKENS = 8, 200_000
 #: Tables of hosts, or of pages that share runs, of up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -212,7 +213,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     kind = "page_id long, url string, host string, zones array<int>, texts array<string>, n_outside long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 found = [blocks(h.as_py()) for h in part.column(2)]
@@ -330,7 +331,7 @@ def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS)
     clear = held.where(main).select("row", "page_id", "url", own.alias("text"), "n_outside").join(_broadcast_if_small(counts), "row", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             rows = zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
             texts = [open_text(zones, own, places, run) for zones, own, places in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(5), b.column(6)], ["page_id", "url", "text", "n_outside", "n_repeated"])

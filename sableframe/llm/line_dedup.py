@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sableframe.llm.set_overlap import Postings, groups
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import ragged, sorted_distinct, split_words, stir, word_table
+from sableframe.llm.text_kernels import lean, ragged, sorted_distinct, split_words, stir, word_table
 
 NUM, DEN = 4, 5  # a Jaccard of 0.8
 LEAST_WORDS = 5
@@ -50,7 +50,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, 2048):
                 _, code, hashes = word_table(b.column(0).slice(at, 2048))
                 np.add.at(seen, (hashes % np.uint64(BUCKETS)).astype(np.int64), np.bincount(code, minlength=len(hashes)))
@@ -116,7 +116,7 @@ def line_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     kinds = {"line": pa.int32(), "n": pa.int32(), "skip": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "p0": pa.int64(), "p1": pa.int64()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 x = sets_of_lines(part.column(2), shared.value)
@@ -180,7 +180,7 @@ def set_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = keyed.join(keys, same).select("id", "o", "words")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             sets = [np.array(sorted({xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in split_words(x.as_py())}), np.uint64).view(np.int64) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "o", "words"])
 

@@ -31,7 +31,7 @@ from sableframe.llm.components import components
 from sableframe.llm.set_overlap import Postings, Unions, groups
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import WordHashes, shingles, split_words
+from sableframe.llm.text_kernels import WordHashes, lean, shingles, split_words
 
 THRESHOLD = (4, 5)  # 0.8, as a fraction
 TREES, DEPTH, RECALL, SEED = 24, 8, 0.9999, 20240607
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
-        for b in batches:
+        for b in lean(batches):
             n, keys = [], []
             for node, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 if node not in seen:
@@ -102,7 +102,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 sets = [shingles(hashes.of(split_words(t.as_py()))).view(np.int64) for t in part.column(1)]

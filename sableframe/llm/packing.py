@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import tokenizer
+from sableframe.llm.text_kernels import lean, tokenizer
 
 WINDOW, END_ID, SHARD_PIECES = 2048, 1, 8192
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 rows: list[tuple] = []

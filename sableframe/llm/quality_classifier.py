@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import has_word, split_words
+from sableframe.llm.text_kernels import has_word, lean, split_words
 
 MOST_LABELLED, PAIRS, RIDGE, SEED = 20_000, 100_000, 1e-3, 7
 
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Rank
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()).tolist() for t in b.column(1)], pa.list_(pa.float64()))], ["y", "x"])
 
     rows = texts.select(F.col("_y").cast("int").alias("y"), "text").mapInArrow(measure, "y int, x array<double>").toArrow()
@@ -142,7 +142,7 @@ def scored(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
     at = kind.fieldNames().index("text")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             s = np.full(b.num_rows, 0.5)
             if ranking is not None and b.num_rows:
                 s = ranking.scores(np.array([features(t.as_py()) for t in b.column(at)]))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import key, table
-from sableframe.llm.text_kernels import has_word, split_words
+from sableframe.llm.text_kernels import has_word, lean, split_words
 
 LEAST_WORDS, MOST_REPEAT_SHARE = 50, 0.5
 LEAST_ROWS, SUPPORT, STEPS, CUTOFF = 60, 0.6, 6, 40.0
@@ -68,7 +68,7 @@ def measured(docs: DataFrame) -> DataFrame:
     names = ["n_words", *_STATS, "n_lines"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             found = np.array([text_counts(t.as_py()) for t in b.column(3)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(found[:, k]) for k in range(len(names)))], ["doc_id", "lang", "source", *names])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,19 @@ def has_word(line: str) -> bool:
     return bool(line.strip(" \t\n\r\x0b\x0c"))
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory that the ones before no longer need goes back to the system, since workers live on."""
+    pool = pa.default_memory_pool()
+    for b in batches:
+        yield b
+        del b
+        pool.release_unused()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a fixed number of words and then begun anew."""
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -93,7 +103,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # Texts of these characters give the same ids by both libraries.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-_PAIRS: dict[str, tuple] = {}
+_PAIRS: dict[str, list] = {}
 
 
 def tokenizer(path: str | None = None):
@@ -104,6 +114,7 @@ def tokenizer(path: str | None = None):
     token, go through the tokenizers library. Loaded once per Python process.
     """
     import base64
+    import json
     import os
 
     import public_tokenizers
@@ -112,15 +123,17 @@ def tokenizer(path: str | None = None):
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _PAIRS:
-        whole, fast = Tokenizer.from_file(path), None
-        ranks = path.removesuffix(".json") + ".tiktoken"
+        with open(path, encoding="utf-8") as file:
+            written = file.read()
+        at = re.search(r'"added_tokens"\s*:\s*', written)
+        special = [t["content"] for t in json.JSONDecoder().raw_decode(written, at.end())[0]] if at else []
+        fast, ranks = None, path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             with open(ranks, "rb") as lines:
                 pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        _PAIRS[path] = whole, fast, special
-    whole, fast, special = _PAIRS[path]
+        _PAIRS[path] = [None, fast, special]
+    _, fast, special = _PAIRS[path]
 
     def encode(texts: list[str | None]) -> list[list[int]]:
         out: list = [None] * len(texts)
@@ -131,6 +144,9 @@ def tokenizer(path: str | None = None):
                 out[i] = fast.encode_ordinary(t)
             else:
                 slow.append(i)
+        if slow and _PAIRS[path][0] is None:  # most processes never need it
+            _PAIRS[path][0] = Tokenizer.from_file(path)
+        whole = _PAIRS[path][0]
         for at in range(0, len(slow), 64):
             part = slow[at : at + 64]
             for i, e in zip(part, whole.encode_batch([texts[i] or "" for i in part], add_special_tokens=False), strict=True):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sableframe.llm.staging import staged
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import tokenizer
+from sableframe.llm.text_kernels import lean, tokenizer
 
 #: Lengths that are summed together before sums of sums, so that no task orders all lengths.
 SPAN = 1024
@@ -29,7 +29,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
-        for b in batches:
+        for b in lean(batches):
             texts = b.column(0)
             for at in range(0, len(texts), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in encode(texts[at : at + 256].to_pylist())], pa.int64())], ["length"])
