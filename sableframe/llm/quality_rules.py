@@ -36,7 +36,7 @@ from sableframe.llm.tables import key, table
 from sableframe.llm.text_kernels import has_word, lean, split_words
 
 LEAST_WORDS, MOST_REPEAT_SHARE = 50, 0.5
-LEAST_ROWS, SUPPORT, STEPS, CUTOFF = 60, 0.6, 6, 40.0
+LEAST_ROWS, SUPPORT, STEPS, CUTOFF = 60, 0.6, 6, 47.0
 SYMBOLS = "#*$%&|<>"
 #: Standard deviations that are added to the estimates: a difference of this size in words' log count,
 #: mean word length, and the roots of the shares of symbols, repeated lines and repeated words is ordinary.
