@@ -47,6 +47,23 @@ DATE_FORMS = (
     (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"),
 )
 DEFAULT_DATE_FORM = "%d/%m/%Y"
+# Words that placeholders use for labels.
+PLACEHOLDER_WORDS = {
+    "ORG": "Organization",
+    "LOC": "Location",
+    "POST_CODE": "Post office box",
+    "ADDR": "Address",
+    "PERSON": "Person",
+    "DATE": "Date",
+}
+# Fonts that stand in when no installed font is near a wanted one.
+DEFAULT_FONTS = {"normal": "Segoe UI", "italic": "Segoe UI Italic", "bold": "Segoe UI Bold"}
+# Advance widths of Helvetica in thousandths of its size, by the characters that share them; others are 556 wide.
+WIDTHS = {
+    191: "'", 222: "ijl", 260: "|", 278: " !,./:;I[\\]ft", 333: "()-`r", 334: "{}", 355: '"', 389: "*", 469: "^", 500: "Jcksvxyz", 584: "+<=>~", 611: "FTZ",
+    667: "&ABEKPSVXY", 722: "CDHNRUw", 778: "GOQ", 833: "Mm", 889: "%", 944: "W", 1015: "@",
+}
+OTHER_WIDTH = 556
 #: A social security number anywhere in a text; the rule above only takes a whole text.
 SSN_INLINE = r"\b[0-8]\d{2}-\d{2}-\d{4}\b"
 

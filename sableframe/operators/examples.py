@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,18 +31,11 @@ def oversample_plan(rows: DataFrame, label: str, ratio: float = 1.5) -> DataFram
 def split(rows: DataFrame, key: str, train: float = 0.7, val: float = 0.2) -> DataFrame:
     """Adds ``part``: train, val or test, by position in the order of the md5 of the key.
 
-    Positions are counted within 4096 ranges of the md5, to which the sizes of the ranges before are added,
-    so no task orders all rows.
+    Positions are those of :func:`numbered`, so no task orders all rows.
     """
-    keyed = rows.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_range", F.substring("_md5", 1, 3))
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = sizes.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy("_md5")) - 1 + F.col("_before")
-    cut = lambda share: F.floor(F.col("_all") * F.lit(share)).cast("long")
-    placed = keyed.join(F.broadcast(ranges), "_range").withColumn("_at", at)  # at most 4096 ranges
+    cut = lambda share: F.floor(F.col("n_rows") * F.lit(share)).cast("long")
     part = F.when(F.col("_at") < cut(float(train)), "train").when(F.col("_at") < cut(float(train + val)), "val").otherwise("test")
-    return placed.withColumn("part", part).drop("_md5", "_range", "_before", "_all", "_at")
+    return numbered(rows, key, "_at").withColumn("part", part).drop("_at", "n_rows")
 
 
 def class_groups(examples: DataFrame) -> DataFrame:
@@ -50,7 +43,7 @@ def class_groups(examples: DataFrame) -> DataFrame:
     return examples.select("example_id", F.explode(F.array_distinct(F.transform("annots", lambda a: a["label"]))).alias("label"))
 
 
-def single_entity() -> "F.Column":
+def single_entity() -> Column:
     """Whether an example has exactly one distinct label."""
     return F.size(F.array_distinct(F.transform("annots", lambda a: a["label"]))) == 1
 
@@ -66,3 +59,150 @@ def unique_lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     first = (F.length(f"b.{text}") > F.length(f"a.{text}")) | ((F.length(f"b.{text}") == F.length(f"a.{text}")) & (F.col(f"b.{order}") < F.col(f"a.{order}")))
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & first & F.contains(F.col(f"b.{text}"), F.col(f"a.{text}")), "left_anti")
+
+
+def numbered(rows: DataFrame, key: str, at: str = "position") -> DataFrame:
+    """Adds the position of each row (from 0) in the order of the md5 of its key, and ``n_rows``.
+
+    Positions are counted within 4096 ranges of the md5, to which the sizes of the ranges before are added.
+    """
+    keyed = rows.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_range", F.substring("_md5", 1, 3))
+    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n_rows"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_md5", key)) - 1
+    return keyed.withColumn(at, within).join(F.broadcast(ranges), "_range").withColumn(at, (F.col(at) + F.col("_before")).cast("long")).drop("_md5", "_range", "_before")
+
+
+def interleaved(rows: DataFrame, key: str, is_first: Column) -> DataFrame:
+    """Adds ``position``: the smaller of two parts spread evenly through the larger, each in the order of the md5 of its key.
+
+    The i-th row of the smaller part (S rows) goes to round(i * (L + S) / S), half to even; rows of the larger part
+    (L rows) take the places between. Both positions are formulas of the row's own rank, so there is no global sort and
+    no join of the parts. Of equal parts the first counts as the smaller. One empty part leaves the other as it is.
+    """
+    flagged = rows.withColumn("_first", is_first)
+    counts = flagged.agg(F.count_if("_first").alias("_a"), F.count_if(~F.col("_first")).alias("_b"))
+    a, b = numbered(flagged.where("_first"), key, "_k"), numbered(flagged.where(~F.col("_first")), key, "_k")
+    both = a.unionByName(b).drop("n_rows").crossJoin(F.broadcast(counts))  # one row of counts
+    small = F.col("_first") == (F.col("_a") <= F.col("_b"))
+    s, n, k = F.least("_a", "_b"), F.col("_a") + F.col("_b"), F.col("_k")
+    place = lambda i: F.bround((i * n).cast("double") / s).cast("long")
+    guess = F.floor((k + 0.5) * s / F.greatest("_a", "_b")).cast("long")
+    earlier = F.greatest(guess - 2, F.lit(0))
+    for d in range(-2, 4):
+        i = guess + d
+        earlier = earlier + F.when((i >= 0) & (i < s) & (place(i) - i <= k), 1).otherwise(0)
+    at = F.when(small, place(k)).otherwise(F.when(s > 0, k + earlier).otherwise(k))
+    return both.withColumn("position", at).drop("_first", "_k", "_a", "_b")
+
+
+def oversampled(examples: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
+    """Classes that are too small are replaced by made-up variants of their examples (example_id, text, annots, label); others stay as they are (variant 0)."""
+    from sableframe.operators.synthetic import variants
+
+    planned = examples.join(F.broadcast(oversample_plan(examples, label, ratio).select(label, "num_aug")), label)  # one row per class
+    kept = planned.where("num_aug = 0").select("example_id", F.lit(0).alias("variant"), "text", "annots", label)
+    made = variants(planned.where("num_aug > 0")).join(examples.select("example_id", label), "example_id")
+    return kept.unionByName(made.select("example_id", "variant", "text", "annots", label))
+
+
+def balanced(examples: DataFrame, ratio: float = 1.5) -> DataFrame:
+    """Examples (example_id, text, annots) balanced by class: those with one label over- then undersampled, the others appended.
+
+    Returns example_id, variant, text, annots and label (null for examples of several labels or none).
+    """
+    single = examples.where(single_entity()).withColumn("label", F.col("annots")[0]["label"])
+    more = oversampled(single, "label", ratio).withColumn("_key", F.concat_ws(":", "example_id", "variant"))
+    fewer = undersample(more, "label", "_key", ratio).drop("_key")
+    rest = examples.where(~single_entity()).select("example_id", F.lit(0).alias("variant"), "text", "annots", F.lit(None).cast("string").alias("label"))
+    return fewer.select(*rest.columns).unionByName(rest)
+
+
+def dataset(examples: DataFrame, key: str = "example_id", train: float = 0.7, val: float = 0.2) -> DataFrame:
+    """Examples with ``part`` and, within train, ``position``: positives and negatives are split apart, train interleaves them."""
+    has = F.size("annots") > 0
+    parts = split(examples.where(has), key, train, val).unionByName(split(examples.where(~has), key, train, val))
+    mixed = interleaved(parts.where("part = 'train'"), key, has)
+    return mixed.unionByName(parts.where("part <> 'train'").withColumn("position", F.lit(None).cast("long")))
+
+
+def token_offsets(tokens: Column) -> Column:
+    """(start, end) of tokens in their text joined by single spaces."""
+    before = lambda i: F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda n, t: n + F.length(t) + 1)
+    return F.transform(tokens, lambda t, i: F.struct(before(i).alias("start"), (before(i) + F.length(t)).alias("end")))
+
+
+def bio_examples(rows: DataFrame, names: list[str], outside: int = 4) -> DataFrame:
+    """(example_id, text, annots) of tokenised rows (example_id, tokens, labels): one annotation per token whose label is not ``outside``."""
+    label = F.array(*map(F.lit, names))
+    spans = F.arrays_zip(token_offsets(F.col("tokens")).alias("at"), F.col("labels").alias("tag"))
+    kept = F.filter(spans, lambda z: z["tag"] != outside)
+    annots = F.transform(kept, lambda z: F.struct(z["at"]["start"].alias("start"), z["at"]["end"].alias("end"), F.get(label, z["tag"]).alias("label")))
+    return rows.select("example_id", F.array_join("tokens", " ").alias("text"), annots.alias("annots"))
+
+
+def expanded(text: Column, annots: Column) -> Column:
+    """Annotations widened to the edges of the tokens they touch; those that touch none (blank, empty or outside) are dropped."""
+    token = r"[\p{L}\p{M}\p{N}_]"
+
+    def widen(a: Column) -> Column:
+        size = F.length(text)
+        inner = F.substring(text, a["start"] + 1, a["end"] - a["start"])
+        lead = F.length(F.regexp_extract(inner, r"(?U)^\s*", 0))
+        trail = F.length(F.regexp_extract(inner, r"(?U)\s*$", 0))
+        start, end = a["start"] + lead, a["end"] - trail
+        left = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), token + "*$", 0))
+        right = F.length(F.regexp_extract(F.substring(text, end + 1, size), "^" + token + "*", 0))
+        opens = F.substring(text, start + 1, F.lit(1)).rlike(token)
+        closes = F.substring(text, end, F.lit(1)).rlike(token)
+        ok = (a["start"] >= 0) & (a["end"] <= size) & (start < end)
+        return F.when(ok, F.struct((start - F.when(opens, left).otherwise(0)).alias("start"), (end + F.when(closes, right).otherwise(0)).alias("end"), a["label"].alias("label")))
+
+    return F.filter(F.transform(annots, widen), lambda a: a.isNotNull())
+
+
+def unknown_tokens(tokens: Column, unknown: str = "[UNK]") -> Column:
+    """Positions (from 0) of tokens that the vocabulary lacks."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when(t == unknown, i)), lambda i: i.isNotNull())
+
+
+def sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sent, start, end, sentence): texts cut after . ! or ? before a blank, without the blanks around; blank ones are left out."""
+    pieces = F.split(F.regexp_replace(F.col(text), r"([.!?])(\s)", "$1\u0001$2"), "\u0001", -1)
+    cut = rows.select(key, F.posexplode(pieces).alias("sent", "_p"))
+    before = F.coalesce(F.sum(F.length("_p")).over(Window.partitionBy(key).orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = F.regexp_replace("_p", r"^\s+|\s+$", "")
+    lead = F.length("_p") - F.length(F.regexp_replace("_p", r"^\s+", ""))
+    placed = cut.withColumn("start", (before + lead).cast("int")).withColumn("sentence", said).where("sentence <> ''")
+    return placed.select(key, "sent", "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence")
+
+
+def keyword_sentences(rows: DataFrame, key: str, text: str, keywords: list[str]) -> DataFrame:
+    """Sentences of the texts that contain one of the keywords anywhere."""
+    some = F.lit(False)
+    for k in keywords:
+        some = some | F.contains(F.col(text), F.lit(k))
+    return sentences(rows.where(some), key, text)
+
+
+def sentence_examples(sents: DataFrame, spans: DataFrame, key: str, keep_trailing: bool = True) -> DataFrame:
+    """(key, sent, start, end, annots): spans (key, start, end, label) with the sentences that hold them, offsets from the sentence.
+
+    Sentences that one span crosses become one. Sentences without spans have none; ``keep_trailing=False`` leaves out
+    those after the last span of their text. Ranges are compared under equal keys, which all steps share as their partitioning.
+    """
+    w = Window.partitionBy(key).orderBy("start")
+    ordered = sents.select(key, "sent", "start", "end").withColumn("_prev", F.lag("end").over(w))
+    crosses = (F.col("s.start") < F.col("o._prev")) & (F.col("s.end") > F.col("o._prev")) & (F.col(f"s.{key}") == F.col(f"o.{key}"))
+    joined = ordered.alias("o").join(spans.alias("s"), crosses, "left_semi").select(key, "sent", F.lit(0).alias("_new"))
+    islands = ordered.join(joined, [key, "sent"], "left").withColumn("_island", F.sum(F.coalesce("_new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy(key, "_island").agg(F.min("sent").alias("sent"), F.min("start").alias("start"), F.max("end").alias("end"))
+    inside = (F.col(f"s.{key}") == F.col(f"w.{key}")) & (F.col("s.start") >= F.col("w.start")) & (F.col("s.end") <= F.col("w.end"))
+    held = whole.alias("w").join(spans.alias("s"), inside, "left")
+    one = F.struct((F.col("s.start") - F.col("w.start")).alias("start"), (F.col("s.end") - F.col("w.start")).alias("end"), F.col("s.label").alias("label"))
+    out = held.groupBy(f"w.{key}", "w.sent").agg(F.first("w.start").alias("start"), F.first("w.end").alias("end"), F.array_sort(F.collect_list(F.when(F.col("s.label").isNotNull(), one))).alias("annots"))
+    if keep_trailing:
+        return out
+    last = F.max(F.when(F.size("annots") > 0, F.col("start"))).over(Window.partitionBy(key))
+    return out.withColumn("_last", last).where("start <= _last").drop("_last")

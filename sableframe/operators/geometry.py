@@ -66,3 +66,40 @@ def merge_overlapping(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.select(*keys, "ord", "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(merge, f"{kinds}, x0 double, y0 double, x1 double, y1 double")
+
+
+def text_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of text from boxes (keys, ord, text, x0, y0, x1, y1), in order: each box but the last takes in the later ones next to what it has.
+
+    Texts are joined by a space in the box around all. A line whose text lies inside a longer one, or equals an
+    earlier one, is left out. One image's boxes are a group; a single box gives no line.
+    """
+
+    def touch(a: list[float], b: list[float]) -> bool:
+        # b ends before a begins, to its left or above it
+        dx, dy = abs(a[0] - b[2]), abs(a[1] - b[1])
+        across, down = abs(a[0] - b[0]), abs(a[1] - b[3])
+        return (dx < WIDE and dy < NARROW) or (across < NARROW and down < WIDE)
+
+    def grow(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("ord")
+        boxes, texts = t[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), t["text"].tolist()
+        found = []
+        for i in range(len(boxes) - 1):
+            chain = [i]
+            for j in range(i + 1, len(boxes)):
+                if any(touch(boxes[j], boxes[k]) for k in chain):
+                    chain.append(j)
+            sides = list(zip(*(boxes[k] for k in chain), strict=True))
+            found.append((" ".join(texts[k] for k in chain), min(sides[0]), min(sides[1]), max(sides[2]), max(sides[3])))
+        kept: list[tuple] = []
+        for line in sorted(found, key=lambda f: -len(f[0])):
+            if not any(line[0] in k[0] for k in kept):
+                kept.append(line)
+        made = pd.DataFrame(kept, columns=["text", "x0", "y0", "x1", "y1"])
+        for k in keys:
+            made[k] = t[k].iloc[0]
+        return made[[*keys, "text", "x0", "y0", "x1", "y1"]]
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "ord", F.coalesce("text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(grow, f"{kinds}, text string, x0 double, y0 double, x1 double, y1 double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,3 +50,37 @@ def acronym_relations(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def canonical_names(ents: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Adds ``canonical``: the first name of the document that is like this one, or like a name related to it, else the name itself.
+
+    ``ents`` has the key, ``start``, ``ent``, its ``vector``, and ``partners``, the vectors of the other members of its
+    acronym relations (null or empty: none). A name that was given a canonical form is not itself a form for later
+    ones. That depends on all names before, so a document's names are one group; its distinct names are what grows.
+    """
+
+    def unit(v) -> np.ndarray:
+        a = np.asarray(v, dtype="float64")
+        size = np.linalg.norm(a)
+        return a / size if size else a
+
+    def walk(t: pd.DataFrame) -> pd.DataFrame:
+        forms: dict[str, str] = {}
+        names, known, out = [], [], []
+        for r in t.sort_values(["start", "ent"]).itertuples():
+            if r.ent not in forms:
+                asked = [unit(v) for v in [r.vector, *(r.partners if r.partners is not None else [])] if v is not None]
+                like = np.max(np.stack(known) @ np.stack(asked).T, axis=1) > threshold if known and asked else np.zeros(0, bool)
+                if like.any():
+                    forms[r.ent] = names[int(np.argmax(like))]
+                else:
+                    forms[r.ent] = r.ent
+                    if r.vector is not None:
+                        names.append(r.ent)
+                        known.append(unit(r.vector))
+            out.append((getattr(r, key), r.start, r.ent, forms[r.ent]))
+        return pd.DataFrame(out, columns=[key, "start", "ent", "canonical"])
+
+    kinds = {c: ents.schema[c].dataType.simpleString() for c in (key, "start")}
+    return ents.select(key, "start", "ent", "vector", "partners").groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, start {kinds['start']}, ent string, canonical string")

@@ -28,6 +28,14 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("f.`%TYPE`").alias("type"), F.col("f.begin").alias("start"), F.col("f.end").alias("end"), F.col("f.value").alias("value"))
 
 
+def annotated_texts(spark: SparkSession, annotation_folder: str, text_folder: str) -> tuple[DataFrame, DataFrame]:
+    """(stem, text, type, start, end, value) of annotation files with the text file of the same name, and the stems that have no text."""
+    stem = lambda c: F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
+    marks = annotations(spark, annotation_folder).withColumn("stem", stem(F.col("path")))
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(text_folder).select(stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text"))
+    return marks.drop("path").join(texts, "stem").select("stem", "text", "type", "start", "end", "value"), marks.select("stem").distinct().join(texts, "stem", "left_anti")
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
     """One line of text per row."""
     df.select(column).write.mode("append").text(path)
