@@ -42,7 +42,7 @@ def main(given: list[str] | None = None) -> None:
     if a.input:
         docs = spark.read.parquet(a.input)
     else:
-        files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").text(a.text_folder)
+        files = spark.read.text(a.text_folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
         docs = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias(a.column))
     masked_stream(docs, a.column).write.mode("errorifexists").parquet(a.output)
     if a.reconstruct:

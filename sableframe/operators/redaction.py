@@ -100,7 +100,8 @@ def tight_rect(rect: Column, origin_y: Column, size: Column, ascender: Column, d
 
 def span_offsets(texts: Column) -> Column:
     """Offsets of a line's spans in its text: (text, start, end)."""
-    step = lambda s, t: F.concat(s, F.array(F.struct(t.alias("text"), F.coalesce(F.element_at(s, -1)["end"], F.lit(0)).alias("start"), (F.coalesce(F.element_at(s, -1)["end"], F.lit(0)) + F.length(t)).alias("end"))))
+    end = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))
+    step = lambda s, t: F.concat(s, F.array(F.struct(t.alias("text"), end(s).alias("start"), (end(s) + F.length(t)).alias("end"))))
     return F.aggregate(texts, F.array().cast("array<struct<text:string,start:int,end:int>>"), step)
 
 

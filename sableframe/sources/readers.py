@@ -32,7 +32,7 @@ def annotated_texts(spark: SparkSession, annotation_folder: str, text_folder: st
     """(stem, text, type, start, end, value) of annotation files with the text file of the same name, and the stems that have no text."""
     stem = lambda c: F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
     marks = annotations(spark, annotation_folder).withColumn("stem", stem(F.col("path")))
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(text_folder).select(stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text"))
+    texts = spark.read.text(text_folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text"))
     return marks.drop("path").join(texts, "stem").select("stem", "text", "type", "start", "end", "value"), marks.select("stem").distinct().join(texts, "stem", "left_anti")
 
 
