@@ -69,3 +69,9 @@ NAMED_ENTITIES = Seam("named entities", "doc_id long, label string, start int, e
 OCR = Seam("optical character recognition", "path string, line_text string, x0 double, y0 double, x1 double, y1 double, score double")
 HANDWRITING = Seam("handwriting", "path string, is_signature boolean")
 PARAPHRASES = Seam("paraphrases", "example_id long, variant int, text string")
+PDF_IMAGES = Seam("pdf images", "path string, page int, xref int, extension string, content binary, x0 double, y0 double, x1 double, y1 double")
+PDF_DRAWINGS = Seam("pdf drawings", "path string, page int, drawing int, ord int, op string, points array<struct<x:double,y:double>>")
+PDF_SINK = Seam("pdf sink", "path string, output string, n_commands long")
+SYSTEM_FONTS = Seam("system fonts", "ord int, full_name string, family string, path string")
+ACRONYM_TAGS = Seam("acronym tags", "doc_id long, ord int, tag string, text string, tok_start int, tok_end int, sent int")
+TEXT_VECTORS = Seam("text vectors", "text string, vector array<double>")
