@@ -13,19 +13,17 @@ def dedup_first(rows: DataFrame, text: str, order: str) -> DataFrame:
 
 def undersample(rows: DataFrame, label: str, key: str, ratio: float = 1.5) -> DataFrame:
     """At most round(ratio) times the smallest class from each class that exceeds the ratio; rows in the order of the md5 of their key."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    least = sizes.agg(F.min("_n").alias("_min"))
-    limit = sizes.crossJoin(F.broadcast(least)).select(label, F.when(F.col("_n") / F.col("_min") > ratio, F.bround(F.lit(float(ratio))).cast("long") * F.col("_min")).otherwise(F.col("_n")).alias("_limit"))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_min", F.min("_n").over(Window.partitionBy()))  # one row per class
+    limit = sizes.select(label, F.when(F.col("_n") / F.col("_min") > ratio, F.bround(F.lit(float(ratio))).cast("long") * F.col("_min")).otherwise(F.col("_n")).alias("_limit"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string"))))
     return rows.withColumn("_rank", rank).join(F.broadcast(limit), label).where("_rank <= _limit").drop("_rank", "_limit")
 
 
 def oversample_plan(rows: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
     """Per class its size and how many variants each of its rows needs (0: it is large enough)."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n").alias("most"))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n")).withColumn("most", F.max("n").over(Window.partitionBy()))  # one row per class
     factor = F.floor(F.bround(F.col("n") * (F.col("most") / F.col("n"))) / F.col("n")).cast("long") + 1
-    return sizes.crossJoin(F.broadcast(most)).select(label, "n", F.when(F.col("most") / F.col("n") > ratio, factor).otherwise(F.lit(0)).cast("long").alias("num_aug"))
+    return sizes.select(label, "n", F.when(F.col("most") / F.col("n") > ratio, factor).otherwise(F.lit(0)).cast("long").alias("num_aug"))
 
 
 def split(rows: DataFrame, key: str, train: float = 0.7, val: float = 0.2) -> DataFrame:
@@ -99,12 +97,14 @@ def interleaved(rows: DataFrame, key: str, is_first: Column) -> DataFrame:
 
 def oversampled(examples: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
     """Classes that are too small are replaced by made-up variants of their examples (example_id, text, annots, label); others stay as they are (variant 0)."""
-    from sableframe.operators.synthetic import variants
+    from sableframe.operators.synthetic import varied
 
     planned = examples.join(F.broadcast(oversample_plan(examples, label, ratio).select(label, "num_aug")), label)  # one row per class
-    kept = planned.where("num_aug = 0").select("example_id", F.lit(0).alias("variant"), "text", "annots", label)
-    made = variants(planned.where("num_aug > 0")).join(examples.select("example_id", label), "example_id")
-    return kept.unionByName(made.select("example_id", "variant", "text", "annots", label))
+    numbers = F.when(F.col("num_aug") > 0, F.sequence(F.lit(1), F.col("num_aug").cast("int"))).otherwise(F.array(F.lit(0)))
+    rows = planned.select("example_id", F.explode(numbers).alias("variant"), "text", "annots", label)
+    own = F.col("variant") == 0
+    new = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"made.{c}")).alias(c)
+    return varied(rows).select("example_id", "variant", new("text"), new("annots"), label)
 
 
 def balanced(examples: DataFrame, ratio: float = 1.5) -> DataFrame:

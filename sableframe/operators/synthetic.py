@@ -122,6 +122,16 @@ def filled(text: Column, spans: Column, *seed: Column) -> Column:
     return F.aggregate(spans, first, put, rest)
 
 
+def varied(rows: DataFrame) -> DataFrame:
+    """Adds ``made`` (text, annots): the example with made-up values, by example_id and variant; null where the variant is 0.
+
+    The placeholders are a column of their own, so that they are computed once per row and not within each step of the filling.
+    """
+    marked = rows.withColumn("_m", F.when(F.col("variant") > 0, placeholders(F.col("text"), F.col("annots"))))
+    spanned = marked.withColumn("_s", placeholder_spans(F.col("_m.text"), F.col("_m.values")))
+    return spanned.withColumn("made", filled(F.col("_m.text"), F.col("_s"), F.col("example_id"), F.col("variant"))).drop("_m", "_s")
+
+
 def variants(examples: DataFrame, n: str | Column = "num_aug") -> DataFrame:
     """``n`` variants of each example (example_id, text, annots, and the count): placeholders filled with other values.
 
@@ -130,9 +140,7 @@ def variants(examples: DataFrame, n: str | Column = "num_aug") -> DataFrame:
     """
     count = F.col(n) if isinstance(n, str) else n
     rows = examples.where(count > 0).withColumn("variant", F.explode(F.sequence(F.lit(1), count.cast("int"))))
-    marked = rows.withColumn("_m", placeholders(F.col("text"), F.col("annots")))
-    made = marked.withColumn("_f", filled(F.col("_m.text"), placeholder_spans(F.col("_m.text"), F.col("_m.values")), F.col("example_id"), F.col("variant")))
-    return made.select("example_id", "variant", F.col("_f.text").alias("text"), F.col("_f.annots").alias("annots"))
+    return varied(rows).select("example_id", "variant", F.col("made.text").alias("text"), F.col("made.annots").alias("annots"))
 
 
 def kept_rephrasings(rows: DataFrame, key: str = "example_id", text: str = "text", score: str = "score", low: float = 0.85, high: float = 0.995) -> DataFrame:

@@ -158,10 +158,10 @@ def entity_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of the normalised texts found again in the raw ones."""
-    norm = examples.sentences(_docs(spark, sf).select("doc_id", T.normalized(F.col("text")).alias("text")), "doc_id", "text").select("doc_id", "sent", "sentence")
-    rows = norm.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").select("doc_id", "sent", matching.boundaries(F.col("text"), F.col("sentence")).alias("b"))
-    return rows.select("doc_id", "sent", "b.start", "b.end", F.round("b.ratio", 6).alias("ratio"))
+    """Pairs of words of the normalised texts, of which the second is capitalised, found again in the raw ones."""
+    rows = _docs(spark, sf).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(T.normalized(F.col("text")), F.lit("[a-z]+ [A-Z][a-z]+"), F.lit(0)))).alias("ent"))
+    found = rows.select("doc_id", "ent", matching.boundaries(F.col("text"), F.col("ent")).alias("b"))
+    return found.select("doc_id", "ent", "b.start", "b.end", F.round("b.ratio", 6).alias("ratio"))
 
 
 _INSTALLED = ("Arial", "Helvetica", "Times New Roman", "Courier New", "Symbol", "Liberation Sans", *DEFAULT_FONTS.values())
