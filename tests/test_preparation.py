@@ -1,6 +1,7 @@
 """Redaction, matching and training examples on small cases; their queries against DuckDB on the smallest tables."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -197,3 +198,15 @@ def test_queries_equal_duckdb(spark, name):
     names = [d[0] for d in res.description]
     assert sorted(names) == cols
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
+
+
+def test_fuzzy_boundaries_of_whole_table(spark):
+    raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = preparation.fuzzy_boundaries(spark, SF).collect()
+    assert rows and any(r["ratio"] < 1 for r in rows)
+    for r in rows:
+        text = raw[r["doc_id"]]
+        if r["ent"] in text:
+            assert (r["start"], r["ratio"]) == (text.find(r["ent"]), 1.0)
+        elif r["start"] is not None:
+            assert r["ratio"] == pytest.approx(SequenceMatcher(None, r["ent"], text[r["start"] : r["end"]]).ratio(), abs=1e-5)
