@@ -12,7 +12,7 @@ are compared with up to ``LEADERS`` early ones each, which resolves families of
 time, and what is then unresolved is compared with all in blocks inside tasks, which write only the
 sets that have an earlier match.
 
-Defined results: lines of fewer than ``LEAST_WORDS`` words, empty ones included, always stay. A null text
+Defined results: every line with a word is compared; lines without one always stay. A null text
 stays null. Rows with equal doc_id and text are one document and share its result. An empty table gives
 no rows. Other columns of the input are kept as they are; ``n_lines`` and ``n_removed`` replace columns of
 those names.
@@ -37,7 +37,7 @@ from sableframe.llm.tables import table
 from sableframe.llm.text_kernels import lean, ragged, sorted_distinct, split_words, stir, word_table
 
 NUM, DEN = 4, 5  # a Jaccard of 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 1  # lines without a word have no set; no other line is left out
 BUCKETS = 1 << 22
 HOT, LEADERS, BLOCK_WORDS = 500, 64, 400_000
 #: Tables of up to this many rows are broadcast to the texts; larger ones are joined by a shuffle.
@@ -74,7 +74,7 @@ def doc_key(text: Column) -> Column:
 
 
 def sets_of_lines(texts: pa.Array, rarity: np.ndarray) -> dict[str, np.ndarray]:
-    """The lines of LEAST_WORDS or more words: text, line, n, skip, s0, s1, p0, p1 and the prefixes with their ``cuts``.
+    """The lines that hold a word: text, line, n, skip, s0, s1, p0, p1 and the prefixes with their ``cuts``.
 
     A word is an integer that sorts by rarity: its bucket's code above 55 bits of its hash. A set is known
     by two sums over its words' hashes.
@@ -111,7 +111,7 @@ def sets_of_lines(texts: pa.Array, rarity: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def line_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """One row per line of LEAST_WORDS or more words: its place, set, prefix and parity bits."""
+    """One row per line that holds a word: its place, set, prefix and parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     kinds = {"line": pa.int32(), "n": pa.int32(), "skip": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "p0": pa.int64(), "p1": pa.int64()}
 

@@ -144,3 +144,25 @@ def test_line_dedup_of_odd_and_empty_tables(spark):
     assert len(got) == len(ODD) and all(r["n_removed"] == 0 for r in got)
     assert sum(r["text"] is None for r in got) == 2
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+
+
+def test_short_lines_are_compared_too(spark):
+    rows = [(1, "All rights reserved.\nalpha beta gamma delta\n\nHome"), (2, "one of its own\nAll rights reserved.\n\n \nHome"), (3, "alpha beta gamma delta epsilon\nHome page\nreserved. All rights"), (4, "kept alone\nrights reserved.")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("one of its own\n\n ", 2), 3: ("Home page", 2), 4: (rows[3][1], 0)}
+
+
+def test_short_lines_equal_brute_force_without_a_least_length(spark):
+    words = [f"w{k}" for k in range(7)]
+    rows = [(k, "\n".join(" ".join(words[(k * a + b * i) % 7] for i in range(1 + (k + a) % 6)) for a, b in ((1, 2), (2, 3), (3, 1)))) for k in range(120)]
+    seen, want = [], []
+    for _, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            s = set(line.split())
+            if not any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                kept.append(line)
+            seen.append(s)
+        want.append("\n".join(kept))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert [got[k] for k, _ in rows] == want
