@@ -158,10 +158,13 @@ def entity_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of words of the normalised texts, of which the second is capitalised, found again in the raw ones."""
-    rows = _docs(spark, sf).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(T.normalized(F.col("text")), F.lit("[a-z]+ [A-Z][a-z]+"), F.lit(0)))).alias("ent"))
-    found = rows.select("doc_id", "ent", matching.boundaries(F.col("text"), F.col("ent")).alias("b"))
-    return found.select("doc_id", "ent", "b.start", "b.end", F.round("b.ratio", 6).alias("ratio"))
+    """Sentences of the normalised texts found again in the raw ones. Only texts that lack their sentence as it is go on to Python."""
+    docs = _docs(spark, sf).select(F.struct("doc_id", "text").alias("doc"), T.normalized(F.col("text")).alias("text"))
+    at = F.position(F.col("sentence"), F.col("doc.text"))
+    rows = examples.sentences(docs, "doc", "text").select("doc.doc_id", "sent", F.col("sentence").alias("ent"), at.alias("at"), F.when(at == 0, F.col("doc.text")).alias("raw"))
+    exact = F.struct((F.col("at") - 1).cast("int").alias("start"), (F.col("at") - 1 + F.length("ent")).cast("int").alias("end"), F.lit(1.0).alias("ratio"))
+    found = rows.select("doc_id", "sent", "ent", F.when(F.col("at") > 0, exact).otherwise(matching.boundaries(F.col("raw"), F.col("ent"))).alias("b"))
+    return found.select("doc_id", "sent", "ent", "b.start", "b.end", F.round("b.ratio", 6).alias("ratio"))
 
 
 _INSTALLED = ("Arial", "Helvetica", "Times New Roman", "Courier New", "Symbol", "Liberation Sans", *DEFAULT_FONTS.values())

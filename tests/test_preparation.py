@@ -210,3 +210,20 @@ def test_fuzzy_boundaries_of_whole_table(spark):
             assert (r["start"], r["ratio"]) == (text.find(r["ent"]), 1.0)
         elif r["start"] is not None:
             assert r["ratio"] == pytest.approx(SequenceMatcher(None, r["ent"], text[r["start"] : r["end"]]).ratio(), abs=1e-5)
+
+
+def test_fuzzy_boundaries_look_up_whole_sentences(spark, tmp_path):
+    said = ["It is “quoted” here. Plain one.", "Wait… and see – now.", "A cafe\u0301 in town. Next\u200bone  follows.", None, ""]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["sent"]): r for r in preparation.fuzzy_boundaries(spark, str(tmp_path)).collect()}
+    assert {k: r["ent"] for k, r in got.items()} == {(0, 0): 'It is "quoted" here.', (0, 1): "Plain one.", (1, 0): "Wait...", (1, 1): "and see - now.", (2, 0): "A café in town.", (2, 1): "Nextone follows."}
+    assert all(r["start"] is not None for r in got.values())
+    assert (got[0, 0]["start"], got[0, 0]["end"], got[0, 0]["ratio"]) == (0, 20, 0.9) and got[0, 1]["ratio"] == 1.0
+    for (k, _), r in got.items():
+        assert r["ratio"] == pytest.approx(SequenceMatcher(None, r["ent"], said[k][r["start"] : r["end"]]).ratio(), abs=1e-5)
+
+
+def test_fuzzy_boundaries_have_a_row_for_each_sentence(spark):
+    norm = preparation.T.normalized(F.col("text")).alias("text")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", norm)
+    assert preparation.fuzzy_boundaries(spark, SF).where("start IS NOT NULL").count() == examples.sentences(docs, "doc_id", "text").count()
