@@ -177,6 +177,29 @@ def _paragraph_entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     return ents, rows
 
 
+def _all_paragraph_entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of every rule in paragraphs, aligned and without overlaps, with their labels; and the lines."""
+    rows = _paragraphs(spark, sf)
+    text = F.col("paragraph_text")
+    found = spans.detect(layout.paragraph_texts(rows), "paragraph_text").where(F.size("spans") > 0)
+    kept = found.select("doc_id", "paragraph", F.explode(spans.resolved(text, spans.aligned(text, F.col("spans")))).alias("s"))
+    return kept.select("doc_id", "paragraph", "s.label", "s.start", "s.end"), rows
+
+
+def all_entity_line_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of every rule with the line that holds them; entity_line_map has addresses of machines only."""
+    ents, rows = _all_paragraph_entities(spark, sf)
+    return layout.entity_lines(ents, rows).select("doc_id", "paragraph", "label", "start", "end", "line", "in_line_start", "in_line_end")
+
+
+def all_neighbour_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that hold an entity of any rule, and those next to them in their paragraph."""
+    ents, rows = _all_paragraph_entities(spark, sf)
+    hit = layout.entity_lines(ents, rows).select("doc_id", "paragraph", "line")
+    marked = rows.join(hit.distinct(), ["doc_id", "paragraph", "line"], "left_semi")
+    return layout.neighbour_lines(marked, rows).select("doc_id", "paragraph", "line")
+
+
 def entity_line_map(spark: SparkSession, sf: str) -> DataFrame:
     ents, rows = _paragraph_entities(spark, sf)
     return layout.entity_lines(ents, rows).select("doc_id", "paragraph", "start", "end", "line", "in_line_start", "in_line_end")
@@ -303,7 +326,7 @@ def queries() -> dict:
     found["entity_counts_by_source"] = partial(entity_counts, by="source")
     for f in (
         entity_offsets, page_entities, conversation_entities, aligned_entities, resolved_entities, pseudonyms, masked_text, pseudonym_suffixes, normalize_text, is_link_flags, scan_documents,
-        lines, paragraphs, paragraph_text, entity_line_map, neighbour_lines, cosine_top1, dedup_first, undersample, oversample_plan, split_train_val_test, class_groups, single_entity_flags,
+        lines, paragraphs, paragraph_text, entity_line_map, neighbour_lines, all_entity_line_map, all_neighbour_lines, cosine_top1, dedup_first, undersample, oversample_plan, split_train_val_test, class_groups, single_entity_flags,
         stoplist_antijoin, date_form_class, unique_lines, url_outside_email, enclosing_bbox, adjacent_boxes, iou_pairs, merge_rects,
     ):
         found[f.__name__] = f

@@ -222,13 +222,20 @@ def _width_sql(text: str) -> str:
     return f"(length({text}) * {OTHER_WIDTH} + " + " + ".join(f"(length({text}) - length(translate({text}, {_q(c)}, ''))) * ({w - OTHER_WIDTH})" for w, c in WIDTHS.items()) + ")"
 
 
+def _redacted(ents: DataFrame, rows: DataFrame) -> DataFrame:
+    at = layout.entity_lines(ents, rows.select("doc_id", "paragraph", "line_start", "line_end", F.col("paragraph_line").alias("line"), "page"))
+    subs = at.select("doc_id", "paragraph", F.col("line").alias("paragraph_line"), F.col("in_line_start").alias("start"), F.col("in_line_end").alias("end"))
+    return redaction.redacted_lines(subs, rows)
+
+
 def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with addresses of machines, redacted, and their neighbours as they are."""
-    ents, rows = base._paragraph_entities(spark, sf)
-    at = layout.entity_lines(ents, rows.select("doc_id", "paragraph", "paragraph_line", "line_start", "line_end", "line", "page"))
-    key = rows.select("doc_id", "line", "paragraph_line")
-    subs = at.join(key, ["doc_id", "line"]).select("doc_id", "paragraph", "paragraph_line", F.col("in_line_start").alias("start"), F.col("in_line_end").alias("end"))
-    return redaction.redacted_lines(subs, rows).select("doc_id", "line", "is_redacted", "redacted_text")
+    return _redacted(*base._paragraph_entities(spark, sf)).select("doc_id", "line", "is_redacted", "redacted_text")
+
+
+def all_redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with entities of any rule, redacted, and their neighbours as they are."""
+    return _redacted(*base._all_paragraph_entities(spark, sf)).select("doc_id", "line", "is_redacted", "redacted_text")
 
 
 _REDACTED_SQL = f"""{base._HITS_SQL},
@@ -302,7 +309,7 @@ def queries() -> dict:
     found = (
         sentences, keyword_sentences, placeholder_text, placeholder_values, placeholder_positions, made_up_variants, made_up_values, address_parts, sentence_examples, interleaved_examples, dataset_parts,
         balanced_examples, token_offsets, bio_examples, expanded_spans, unknown_tokens, entity_boundaries, fuzzy_boundaries, font_matches, canonical_names, processed_entities, accepted_readings, kept_rephrasings,
-        text_widths, redacted_lines, merged_runs, line_occurrences, redaction_rects, draw_commands, black_or_white, span_offsets, text_lines, path_boxes,
+        text_widths, redacted_lines, all_redacted_lines, merged_runs, line_occurrences, redaction_rects, draw_commands, black_or_white, span_offsets, text_lines, path_boxes,
     )
     return {f.__name__: f for f in found}
 

@@ -1,6 +1,9 @@
 """Redaction, matching and training examples on small cases; their queries against DuckDB on the smallest tables."""
 
 import os
+import re
+import string
+import unicodedata
 from difflib import SequenceMatcher
 
 import duckdb
@@ -8,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sableframe import __main__ as command
+from sableframe.functions.rules import PATTERNS
 from sableframe.operators import examples, geometry, matching, redaction, similarity, synthetic
-from sableframe.plans import preparation
+from sableframe.plans import catalog, preparation
 from sableframe.sources import readers
 from tests.test_core import SF, plain
 
@@ -227,3 +231,62 @@ def test_fuzzy_boundaries_have_a_row_for_each_sentence(spark):
     norm = preparation.T.normalized(F.col("text")).alias("text")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", norm)
     assert preparation.fuzzy_boundaries(spark, SF).where("start IS NOT NULL").count() == examples.sentences(docs, "doc_id", "text").count()
+
+
+def brute_entities(text):
+    """Entities of every rule at token edges; of overlapping ones the longest in tokens, folded rule by rule."""
+    def at(i):
+        return text[i : i + 1] if i >= 0 else ""
+
+    def edge(c):
+        return c == "" or c.isspace() or c in string.punctuation or unicodedata.category(c)[0] == "P"
+
+    kept = []
+    for label, pattern in PATTERNS.items():
+        new = [(label, m.start(), m.end()) for m in re.finditer(pattern, text)]
+        both = kept + [x for x in new if edge(at(x[1] - 1)) and edge(at(x[2])) and not at(x[1]).isspace() and not at(x[2] - 1).isspace()]
+        kept = []
+        for x in sorted(both, key=lambda x: (-len(re.findall(r"\w+|[^\w\s]+", text[x[1] : x[2]])), x[1])):
+            if not any(x[1] < k[2] and k[1] < x[2] for k in kept):
+                kept.append(x)
+    return kept
+
+
+def brute_map(spark, sf):
+    """(doc_id, paragraph, label, start, end, line, in_line_start, in_line_end) of all entities, and the lines by paragraph."""
+    found, by = set(), {}
+    for r in catalog._paragraphs(spark, sf).collect():
+        by.setdefault((r["doc_id"], r["paragraph"]), []).append(r)
+    for key, rows in by.items():
+        rows.sort(key=lambda r: r["paragraph_line"])
+        for label, s, e in brute_entities(" ".join(r["line_text"] for r in rows)):
+            found |= {(*key, label, s, e, r["line"], s - r["line_start"], e - r["line_start"]) for r in rows if r["line_start"] <= s and e <= r["line_end"]}
+    return found, by
+
+
+def entity_table(spark, path):
+    said = ["see\nwrite to a.b@mail.org now\nnext\nfar\ncall +1 555-1234567 or 10.0.0.1", "123-45-6789", "at http://www.acme.com/x\nfe80:0:0:0:1:2:3:4 up\nlast", "id 1M8GDM9AXKP042788", "plain", "", None, "abc 123 45 6789 ab here"]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_lines_of_entities_of_every_rule(spark, tmp_path, given):
+    sf = SF if given else entity_table(spark, tmp_path)
+    want, by = brute_map(spark, sf)
+    assert {x[2] for x in want} >= ({"PHONE", "EMAIL"} if given else {"PHONE", "EMAIL", "IPv4", "IPv6", "URL", "VIN", "MEDICARE"})  # as long as the SSN, PHONE is the earlier rule
+    got = [tuple(r) for r in catalog.all_entity_line_map(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+    hit = {(d, p, line) for d, p, _, _, _, line, _, _ in want}
+    near = {(*key, r["line"]) for key, rows in by.items() for k, r in enumerate(rows) if any((*key, x["line"]) in hit for x in rows[max(k - 1, 0) : k + 2])}
+    assert sorted(tuple(r) for r in catalog.all_neighbour_lines(spark, sf).collect()) == sorted(near)
+    text = {(d, r["line"]): r["line_text"] for (d, _), rows in by.items() for r in rows}
+    lines = {(r["doc_id"], r["line"]): r for r in preparation.all_redacted_lines(spark, sf).collect()}
+    assert set(lines) == {(d, line) for d, _, line in near}
+    for key, r in lines.items():
+        cuts = sorted(x[6:] for x in want if (x[0], x[5]) == key)
+        assert r["is_redacted"] == bool(cuts)
+        rest, at = "", 0
+        for s, e in cuts:
+            rest, at = rest + re.escape(text[key][at:s]) + f"x{{0,{e - s}}}", e
+        assert re.fullmatch(rest + re.escape(text[key][at:]), r["redacted_text"])
