@@ -278,6 +278,16 @@ def draw_commands(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "page", "step", "op", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], "color", "text")
 
 
+def entity_draw_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands for all pages: the lines that hold entities are deleted and painted, they and their neighbours are written again."""
+    near = _redacted(*base._all_paragraph_entities(spark, sf))
+    boxed = near.withColumn("box", geometry.box(F.lit(0), F.col("y0"), F.length("line_text"), F.col("y1")))
+    rects = boxed.where("is_redacted").select("doc_id", "page", F.col("box").alias("rect"), F.col("box").alias("line_box"))
+    texts = boxed.select("doc_id", "page", "box", F.col("redacted_text").alias("text"), F.lit("1,1,1").alias("background"))
+    made = redaction.draw_commands(rects, texts, ["doc_id", "page"])
+    return made.select("doc_id", "page", "step", "op", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], "color", "text")
+
+
 def black_or_white(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as grey values: how many become white."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("int")).alias("px"))
@@ -309,7 +319,7 @@ def queries() -> dict:
     found = (
         sentences, keyword_sentences, placeholder_text, placeholder_values, placeholder_positions, made_up_variants, made_up_values, address_parts, sentence_examples, interleaved_examples, dataset_parts,
         balanced_examples, token_offsets, bio_examples, expanded_spans, unknown_tokens, entity_boundaries, fuzzy_boundaries, font_matches, canonical_names, processed_entities, accepted_readings, kept_rephrasings,
-        text_widths, redacted_lines, all_redacted_lines, merged_runs, line_occurrences, redaction_rects, draw_commands, black_or_white, span_offsets, text_lines, path_boxes,
+        text_widths, redacted_lines, all_redacted_lines, merged_runs, line_occurrences, redaction_rects, draw_commands, entity_draw_commands, black_or_white, span_offsets, text_lines, path_boxes,
     )
     return {f.__name__: f for f in found}
 

@@ -290,3 +290,20 @@ def test_lines_of_entities_of_every_rule(spark, tmp_path, given):
         for s, e in cuts:
             rest, at = rest + re.escape(text[key][at:s]) + f"x{{0,{e - s}}}", e
         assert re.fullmatch(rest + re.escape(text[key][at:]), r["redacted_text"])
+
+
+def test_draw_commands_of_all_lines_with_entities(spark, tmp_path):
+    said = "\n".join("" if k % 50 == 0 else f"line {k} of 10.0.0.{k}" if k in (7, 49, 51, 99) else f"line {k}" for k in range(120))
+    spark.createDataFrame([(1, said), (2, "mail a.b@mail.org"), (3, "plain\nlines"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r["doc_id"], r["line"]): r for r in catalog._paragraphs(spark, str(tmp_path)).collect()}
+    lines = {(r["doc_id"], r["line"]): r for r in preparation.all_redacted_lines(spark, str(tmp_path)).collect()}
+    assert {k for k, r in lines.items() if r["is_redacted"]} == {(1, 7), (1, 49), (1, 51), (1, 99), (2, 0)}
+    want = []
+    for key, r in lines.items():
+        d, page, y0, y1, x1 = key[0], rows[key]["page"], rows[key]["y0"], rows[key]["y1"], float(len(rows[key]["line_text"]))
+        want += [(d, page, 2, "fill", -0.2, y0 - 0.2, x1 + 0.2, y1 + 0.2, "1,1,1", None), (d, page, 3, "write", 0.0, y0, x1, y1, None, r["redacted_text"])]
+        if r["is_redacted"]:
+            middle = (y0 + y1) / 2
+            want += [(d, page, 1, "delete", 0.0, middle - 0.01, x1, middle + 0.01, "0,0,0", None), (d, page, 4, "paint", 0.0, y0, x1, y1, "0,0,0", None)]
+    by = lambda found: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in found), key=repr)
+    assert by(preparation.entity_draw_commands(spark, str(tmp_path)).collect()) == by(want)
