@@ -6,8 +6,9 @@ selected by equal fingerprints and turns the record into canonical turns (role,
 writes turns in one template with all control strings inside texts escaped; ``read_turns`` is its exact
 inverse, and ``loss_text`` reads the text under the loss mask.
 
-Defined results: null or malformed records and unknown layouts give null turns and a null layout (they
-are kept; ``survey`` counts their fingerprints). Null roles and texts are empty. An empty list of turns
+Defined results: null or malformed records, unknown layouts and records above the size that Spark parses
+(between 17 and 21 million characters) give null turns and a null layout (they are kept; ``survey`` counts
+their fingerprints); ``op4_chat_format`` takes the turns of such conversations from their rows. Null roles and texts are empty. An empty list of turns
 formats to an empty string. Columns of the input are kept; ``layout``, ``turns``, ``formatted`` and
 ``loss_spans`` replace columns of those names.
 """
@@ -160,11 +161,19 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, part), "")
 
 
+def _said(rows: DataFrame) -> DataFrame:
+    """(conv_id, said): the messages of each conversation by turn (nulls first), then by role and text."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
+
+
+def _record() -> Column:
+    return F.to_json(F.struct(F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")))
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
     """One ``messages`` record per conv_id; rows by turn (nulls first), then by role and text."""
-    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
-    return lists.select("conv_id", F.to_json(F.struct(F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))).alias("record"))
+    return _said(rows).select("conv_id", _record().alias("record"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +181,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    made = format_turns(canonical_turns(conversation_records(rows), "record"))
+    parsed = canonical_turns(_said(rows).withColumn("record", _record()), "record")
+    # A record above the parser's size has no turns, though it is well formed: its rows are taken as they are.
+    same = F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
+    made = format_turns(parsed.withColumn("turns", F.coalesce("turns", same)))
     back = made.withColumns({"_back": read_turns(F.col("formatted")), "_loss": loss_text(F.col("formatted"), F.col("loss_spans"))})
     said = F.array_join(F.transform("_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -316,3 +316,16 @@ def test_edited_texts_of_the_given_documents(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and got[i]["n_chars"] == len(t)
         off += [abs(got[i]["near_edited"] - true_jaccard(t, e)), abs(got[i]["near_next"] - true_jaccard(t, nxt))]
     assert np.mean(off) < 0.03 and max(off) < 0.25
+
+
+def test_conversations_above_the_size_of_a_parsed_record_keep_their_turns(spark, tmp_path):
+    text = "ab </s> " * 2_700_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text), (2, 0, "user", "short")]
+    spark.createDataFrame([(c, t, r, x if x != text else None) for c, t, r, x in rows], "conv_id long, turn long, role string, text string").selectExpr(
+        "conv_id", "turn", "role", "coalesce(text, repeat('ab </s> ', 2700000)) AS text"
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat_format.op4_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1]["n_turns"] == 2 and got[1]["loss_chars"] == len(text)
+    assert got[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256(f"user\nhi\nassistant\n{text}\n".encode()).hexdigest()
+    assert got[2]["n_turns"] == 1
