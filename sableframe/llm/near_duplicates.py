@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
-Documents with equal texts are one *node*. A node's five-word shingles give ``TREES`` short signatures; a
-tree of the forest is a trie over the sorted prefixes of its signatures. Matched prefixes are shortened
-from ``DEPTH`` on until the chance that two documents at the threshold share a prefix in some tree reaches
-``RECALL``; nodes under one prefix of that length are a candidate group. Groups with the same members in
+Documents with equal texts are one *node*. A node's five-word shingles give ``TREES`` short signatures (bands).
+No forest is built: the number of minima in a band, at most ``DEPTH``, is a formula of the constants, the
+most at which the chance that two documents at the threshold share a band reaches
+``RECALL``; nodes with an equal band are a candidate group. Groups with the same members in
 several trees are kept once. Every pair of a group is verified by the exact Jaccard of its shingle sets,
 inside a task and without writing pairs: groups of many shingles are split into blocks of bounded size,
 and each pair of blocks is a task's work. A pair counts only in the first tree that has it, so the
