@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
+#: Tables of up to this many bytes, counted on their rows, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +41,22 @@ def staged(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = 8 if not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)) else 64
+        return F.greatest(F.size(value), F.lit(0)) * inner + 32
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if its rows, all of them counted, take at most ``most`` bytes."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(40))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if most is None else most) else df
