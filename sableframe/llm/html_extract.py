@@ -1,23 +1,26 @@
 """Main text of web pages: block structure and a suffix array per host.
 
-Each page is cut into blocks of text, and every block lies in one of three zones: *main* (inside an
-``article``, or else ``main``, element), *furniture* (inside navigation, headers, footers, sidebars,
-forms, notices, adverts and reader comments, known by their elements, roles and class names) or
-*open* (the rest). The token streams of a host's pages outside the main zone are concatenated, a suffix
-array over them is built by prefix doubling, and every run of ``RUN`` or more tokens that distinct pages
-share is covered. Covered runs are boilerplate: they are taken out of the open zone, whose unique runs
-are the text of pages without a main zone.
-
-The main zone is exempt from covering: articles repeat each other's passages (copies, quotations), which
-belong to the text, while menus and adverts without repetition are furniture all the same.
+Each page is cut into blocks of text, and every block lies in one of four zones: *main* (inside an
+``article``, or else ``main``, element), *marked* (inside it too, but within an element that a class or id
+sets apart from plain prose), *furniture* (inside navigation, headers, footers, sidebars, forms, notices,
+adverts and reader comments, known by their elements and roles, or by names that say nothing else) or
+*open* (the rest). The token streams of a host's pages outside plain prose are concatenated, a suffix array over them
+is built by prefix doubling, and every run of ``RUN`` or more tokens that distinct pages share is
+covered. Covered runs are boilerplate and are taken out: from the open zone, whose unique runs are the
+text of pages without a main zone, if two pages share them; from marked blocks of articles if
+``MARKED_PAGES`` pages or more and at least half of the host's do.
+
+Plain prose of an article is exempt from covering: articles repeat each other's passages (copies,
+quotations), which belong to the text. An element whose name only contains a furniture word
+(``related-work``) is not furniture by that alone; its repetition decides.
 
 A host of many tokens is cut into shards of pages; each shard's suffix array yields its classes of
 equal runs with their number of pages, and sums over the shards find runs whose pages lie in several.
 
 Defined results: null or empty html gives an empty text. Repeated rows are pages of their own. A null
 url is a host of its own. Scripts, styles, templates and hidden elements have no text. ``br`` is white
-space. Unclosed elements end with their parent. An empty table gives no rows. Only page_id, url and html
-are read.
+space. Unclosed elements end with their parent. Furniture inside a paragraph is left out and does not break it.
+An empty table gives no rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +38,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sableframe.llm.staging import staged
+from sableframe.llm.staging import broadcast_if_small, staged
 from sableframe.llm.tables import table
 from sableframe.llm.text_kernels import lean
 
-RUN, SHARD_TOKENS = 8, 200_000
-#: Tables of hosts, or of pages that share runs, of up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-FURNITURE, OPEN, MAIN = 0, 1, 2
+RUN, SHARD_TOKENS, MARKED_PAGES = 8, 60_000, 3
+FURNITURE, OPEN, MAIN, MARKED = 0, 1, 2, 3
 
 # Element names of the HTML standard by their role here, and usual class names of furniture.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -59,6 +61,11 @@ NAMES = {
     "footer", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo",
     "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toc", "toolbar", "widget",
 }
+# Words of class names that say what kind of container an element is, not what it holds.
+NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "fixed", "group", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "outer",
+    "page", "panel", "primary", "right", "row", "secondary", "section", "site", "small", "sticky", "text", "top", "unit", "wrap", "wrapper",
+}
 _WHOLE = {"html", "body", "article", "main"}
 _CLOSES = {  # start tags that end an open element of these kinds
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -83,14 +90,22 @@ def _zone(name: str, attributes: str, parent: int, in_main: bool) -> int | None:
     role = a.get("role", "").lower()
     if name in ASIDE or role in ROLES:
         return FURNITURE
-    if name not in _WHOLE and role not in ("main", "article"):
-        for one in [*a.get("class", "").lower().split(), a.get("id", "").lower()]:
-            parts = [p for p in _SPLIT.split(one) if p]
-            if parts and parts[0] not in ("no", "has", "with", "without") and NAMES & set(parts):
-                return FURNITURE
-    if parent == FURNITURE:
+    named, marked = _named(a) if name not in _WHOLE and role not in ("main", "article") else (False, False)
+    if named or parent == FURNITURE:
         return FURNITURE
-    return MAIN if in_main or name == "article" or name == "main" or role in ("main", "article") else parent
+    if in_main or name == "article" or name == "main" or role in ("main", "article"):
+        return MARKED if in_main and (parent == MARKED or (marked and name not in INLINE)) else MAIN
+    return parent
+
+
+def _named(attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a class or the id names furniture and nothing else, and whether there is a class or id at all."""
+    given = [*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()]
+    for one in given:
+        parts = [p for p in _SPLIT.split(one) if p and not p.isdigit()]
+        if parts and NAMES & set(parts) and all(p in NAMES or p in NEUTRAL for p in parts):
+            return True, True
+    return False, any(given)
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -99,9 +114,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         return []
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int | None]] = [("", OPEN)]  # open elements with their zones
+    # Open elements with their zones and, for an inline element of another zone, the text before it.
+    stack: list[tuple[str, int | None, list[str] | None]] = [("", OPEN, None)]
+    opened: Counter[str] = Counter()
     at, size, zone = 0, len(page), OPEN
-    articles = mains = 0
     strength: list[int] = []
 
     def flush() -> None:
@@ -110,15 +126,17 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             parts.clear()
             if text:
                 out.append((zone, text))
-                strength.append(2 if articles else 1 if mains else 0)
+                strength.append(2 if opened["article"] else 1 if opened["main"] else 0)
 
     def close(k: int) -> None:
-        nonlocal zone, articles, mains
-        for name, _ in stack[k:]:
-            articles -= name == "article"
-            mains -= name == "main"
-        del stack[k:]
-        zone = stack[-1][1]
+        nonlocal zone
+        while len(stack) > k:
+            name, _, before = stack.pop()
+            if before is not None or name not in INLINE:
+                flush()
+            opened[name] -= 1
+            zone = stack[-1][1]
+            parts[:0] = before or []
 
     while at < size:
         lt = page.find("<", at)
@@ -145,11 +163,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         at = m.end()
         name, attributes = (m[1] or m[3]).lower(), m[2] or m[4] or ""
         if page[lt + 1] == "/":
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if name not in INLINE:
                 flush()
-            if k:
-                close(k)
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
         if name == "br":
             if zone is not None:
@@ -162,13 +179,13 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name not in INLINE:
             flush()
             # A block start ends an open paragraph; list items and cells end their like.
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[n] for n in _CLOSES.get(name, ())) else ():
                 if stack[i][0] in _SCOPES.get(name, ()) or name not in _CLOSES:
                     break
                 if stack[i][0] in _CLOSES[name]:
@@ -179,9 +196,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if zone is None:
             inner = None
         else:
-            inner = _zone(name, attributes, zone, zone == MAIN)
+            inner = _zone(name, attributes, zone, zone in (MAIN, MARKED))
             # A heading stands even in an article's own header.
-            if inner == FURNITURE and name in HEADINGS and stack[-1][0] == "header" and articles + mains and not any(n in ASIDE and n != "header" for n, _ in stack):
+            if inner == FURNITURE and name in HEADINGS and stack[-1][0] == "header" and opened["article"] + opened["main"] > 0 and not any(opened[n] for n in ASIDE if n != "header"):
                 inner = MAIN
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.IGNORECASE).search(page, at)
@@ -191,16 +208,17 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 break
             at = page.find(">", end.start()) + 1 or size
             continue
-        if inner == FURNITURE and zone != FURNITURE and name in INLINE:
-            flush()
-        stack.append((name, inner))
+        apart = name in INLINE and inner is not None and inner != zone
+        stack.append((name, inner, parts.copy() if apart else None))
+        if apart:
+            parts.clear()
         zone = inner
-        articles += name == "article"
-        mains += name == "main"
+        opened[name] += 1
+    close(1)
     flush()
-    if MAIN in (z for z, _ in out):  # articles outrank a main element around them
-        top = max(s for s, (z, _) in zip(strength, out, strict=True) if z == MAIN)
-        out = [(OPEN if z == MAIN and s < top else z, t) for s, (z, t) in zip(strength, out, strict=True)]
+    inside = [s for s, (z, _) in zip(strength, out, strict=True) if z in (MAIN, MARKED)]
+    if inside:  # articles outrank a main element around them
+        out = [(OPEN if z in (MAIN, MARKED) and s < max(inside) else z, t) for s, (z, t) in zip(strength, out, strict=True)]
     return out
 
 
@@ -267,10 +285,10 @@ def shared_runs(pages: list[list[str]], run: int = RUN) -> list[tuple[int, int,
 
 
 def covered_runs(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(row, places): where runs begin, outside the main zone, that distinct pages of the host share."""
-    hosts = pages.groupBy("host").agg(F.ceil(F.sum("n_outside") / shard_tokens).cast("int").alias("shards"))
+    """(row, places): where runs begin, outside plain prose, that distinct pages of the host share, and whether ``many`` do."""
+    hosts = staged(pages.groupBy("host").agg(F.ceil(F.sum("n_outside") / shard_tokens).cast("int").alias("shards"), F.count("*").alias("host_pages")))
     outside = F.filter("texts", lambda t, i: F.element_at("zones", i + 1) != MAIN)
-    dealt = pages.where(F.col("n_outside") >= run).select("host", "row", outside.alias("texts")).join(_broadcast_if_small(hosts), "host")
+    dealt = pages.where(F.col("n_outside") >= run).select("host", "row", outside.alias("texts")).join(broadcast_if_small(hosts.select("host", "shards")), "host")
     dealt = dealt.withColumn("shard", F.pmod(F.hash("row"), "shards"))
 
     def scan(t: pa.Table) -> pa.Table:
@@ -289,12 +307,10 @@ def covered_runs(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOK
 
     classes = staged(dealt.groupBy("host", "shard").applyInArrow(scan, "host string, run long, pages long, rows array<long>, places array<int>"))
     common = classes.groupBy("host", "run").agg(F.sum("pages").alias("all")).where(F.col("all") > 1)
-    places = classes.join(common, ["host", "run"]).select(F.explode(F.arrays_zip("rows", "places")).alias("p"))
-    return places.groupBy(F.col("p.rows").alias("row")).agg(F.collect_set("p.places").alias("places"))
-
-
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    judged = common.join(broadcast_if_small(hosts.select("host", "host_pages")), "host")
+    many = F.col("all") >= F.greatest(F.lit(MARKED_PAGES), F.ceil(F.col("host_pages") / 2))
+    places = classes.join(judged.select("host", "run", many.alias("many")), ["host", "run"]).select("many", F.explode(F.arrays_zip("rows", "places")).alias("p"))
+    return places.groupBy(F.col("p.rows").alias("row")).agg(F.collect_set(F.struct(F.col("p.places").alias("place"), "many")).alias("places"))
 
 
 def covered_tokens(places: Column, run: int) -> Column:
@@ -303,41 +319,45 @@ def covered_tokens(places: Column, run: int) -> Column:
     return F.aggregate(order, F.struct(F.lit(0).alias("n"), F.lit(-run).alias("last")), lambda s, p: F.struct((s["n"] + F.least(p - s["last"], F.lit(run))).alias("n"), p.alias("last")), lambda s: s["n"])
 
 
-def open_text(zones: list[int], texts: list[str], places: list[int] | None, run: int) -> str:
-    """Unique runs of the open zone of a page without a main zone, a line per block."""
-    outside = [t.split() for t in texts]
+def kept_text(zones: list[int], texts: list[str], places: list[dict] | None, run: int) -> str:
+    """A page's text, a line per block: prose and what is not covered of marked blocks, or unique runs of the open zone where there is neither."""
+    article = MAIN in zones or MARKED in zones
+    outside = [t.split() if z != MAIN else [] for z, t in zip(zones, texts, strict=True)]
     hit = np.zeros(sum(map(len, outside)) + run, bool)
     for p in places or ():
-        hit[p : p + run] = True
+        if p["many"] or not article:
+            hit[p["place"] : p["place"] + run] = True
     kept, at = [], 0
-    for z, w in zip(zones, outside, strict=True):
-        left = [x for x, gone in zip(w, hit[at : at + len(w)], strict=True) if not gone] if z == OPEN else []
-        if left:
-            kept.append(" ".join(left))
+    for z, t, w in zip(zones, texts, outside, strict=True):
+        if z == MAIN:
+            kept.append(t)
+        elif z == (MARKED if article else OPEN):
+            left = [x for x, gone in zip(w, hit[at : at + len(w)], strict=True) if not gone]
+            kept += [" ".join(left)] if left else []
         at += len(w)
     return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(page_id, url, text, n_outside, n_repeated): main text, tokens outside the main zone, and those of them in runs that pages of the host share.
+    """(page_id, url, text, n_outside, n_repeated): main text, tokens outside plain prose, and those of them in runs that pages of the host share.
 
-    Texts of the main zone are not shuffled unless more than BROADCAST_ROWS pages share runs.
+    Texts of pages that are plain prose are not shuffled unless the pages that share runs are too many to broadcast.
     """
     held = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()))
     covered = staged(covered_runs(held, run, shard_tokens))
-    main = F.array_contains("zones", MAIN)
-    counts = covered.select("row", covered_tokens(F.col("places"), run).cast("long").alias("n_repeated"))
+    plain = F.array_contains("zones", MAIN) & ~F.array_contains("zones", MARKED)
+    counts = staged(covered.select("row", covered_tokens(F.col("places.place"), run).cast("long").alias("n_repeated")))
     own = F.array_join(F.filter("texts", lambda t, i: F.element_at("zones", i + 1) == MAIN), "\n\n")
-    clear = held.where(main).select("row", "page_id", "url", own.alias("text"), "n_outside").join(_broadcast_if_small(counts), "row", "left")
+    clear = held.where(plain).select("row", "page_id", "url", own.alias("text"), "n_outside").join(broadcast_if_small(counts), "row", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             rows = zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-            texts = [open_text(zones, own, places, run) for zones, own, places in rows]
+            texts = [kept_text(zones, own, places, run) for zones, own, places in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(5), b.column(6)], ["page_id", "url", "text", "n_outside", "n_repeated"])
 
-    unclear = held.where(~main).join(covered, "row", "left").withColumn("n_repeated", covered_tokens(F.col("places"), run).cast("long"))
-    made = unclear.select("page_id", "url", "zones", "texts", "places", "n_outside", "n_repeated").mapInArrow(write, "page_id long, url string, text string, n_outside long, n_repeated long")
+    judged = held.where(~plain).join(covered, "row", "left").withColumn("n_repeated", covered_tokens(F.col("places.place"), run).cast("long"))
+    made = judged.select("page_id", "url", "zones", "texts", "places", "n_outside", "n_repeated").mapInArrow(write, "page_id long, url string, text string, n_outside long, n_repeated long")
     return clear.drop("row").unionByName(made).withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)))
 
 
