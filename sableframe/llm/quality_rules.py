@@ -4,9 +4,11 @@ Every text is measured by a few counts; a base rule rejects short and repetitive
 others, transformed statistics are compared with a robust mean and covariance of their language and
 source. Those estimates are found by concentration steps over all rows: distances are binned finely, the
 moments of each bin are summed per group in one aggregation, and the bins that hold the closest
-``SUPPORT`` of a group's rows give the next estimate. Rows never leave their partitions; only sums per
+``SUPPORT`` of a group's rows give the next estimate. A last step weighs rows anew: all whose distance
+is usual (``USUAL`` of normal rows) give the final estimate. Rows never leave their partitions; only sums per
 group and bin are shuffled, so a hot group costs no more than any other. A text is rejected if its
-squared Mahalanobis distance exceeds ``CUTOFF``.
+squared Mahalanobis distance exceeds ``CUTOFF``, a quantile of chi-square with 5 degrees of freedom that a
+normal row exceeds once in a million times.
 
 Groups of fewer than ``LEAST_ROWS`` rows that passed the base rule are estimated together by language, and
 languages with fewer still together.
@@ -36,11 +38,28 @@ from sableframe.llm.tables import key, table
 from sableframe.llm.text_kernels import has_word, lean, split_words
 
 LEAST_WORDS, MOST_REPEAT_SHARE = 50, 0.5
-LEAST_ROWS, SUPPORT, STEPS, CUTOFF = 60, 0.6, 6, 47.0
+LEAST_ROWS, SUPPORT, STEPS, USUAL, FALSE_ALARMS = 60, 0.6, 6, 0.975, 1e-6
 SYMBOLS = "#*$%&|<>"
+
+
+def chi_square(x: float) -> float:
+    """Share of chi-square values with 5 degrees of freedom up to ``x``."""
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+
+def chi_square_quantile(share: float) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid) < share else (low, mid)
+    return low
+
+
+CUTOFF = chi_square_quantile(1 - FALSE_ALARMS)  # 35.9
 #: Standard deviations that are added to the estimates: a difference of this size in words' log count,
-#: mean word length, and the roots of the shares of symbols, repeated lines and repeated words is ordinary.
-FLOOR = (0.25, 0.25, 0.08, 0.25, 0.12)
+#: mean word length, and the root of the share of symbols is ordinary. Most groups hardly vary in their repetition; its
+#: two are so large that a text of repeated lines only, or with as many repeated words as the base rule allows, is beyond the cutoff by that alone.
+FLOOR = (0.25, 0.25, 0.08, 0.95 / math.sqrt(CUTOFF), 0.95 * math.sqrt(MOST_REPEAT_SHARE / CUTOFF))
 P = len(FLOOR)
 BINS_PER_E, LOW_BIN, HIGH_BIN = 24, -120, 360
 _STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -107,36 +126,29 @@ def distance() -> Column:
     return sum((d[i] * d[j] * F.col("precision")[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
 
 
-def _cdf5(x: float) -> float:
-    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
-
-
 def _cdf7(x: float) -> float:
     return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3 + x * x / 15)
 
 
 def widening(share: float) -> float:
     """Factor that makes the covariance of the closest ``share`` of normal rows that of all of them."""
-    if share >= 0.999:
-        return 1.0
-    low, high = 0.0, 60.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _cdf5(mid) < share else (low, mid)
-    return share / max(_cdf7(low), 1e-9)
+    return 1.0 if share >= 0.999 else share / max(_cdf7(chi_square_quantile(share)), 1e-9)
+
 
+def estimate(moments: pd.DataFrame, support: float, share: float | None = None) -> pd.DataFrame:
+    """Mean and precision of one group from the moments of its closest bins (at most HIGH_BIN - LOW_BIN + 1 rows).
 
-def estimate(moments: pd.DataFrame) -> pd.DataFrame:
-    """Mean and precision of one group from the moments of its bins (at most HIGH_BIN - LOW_BIN + 1 rows)."""
+    The bins hold ``support`` of the rows; they stand for the closest ``share`` of all (that support if not given).
+    """
     m = moments.sort_values("bin")
     counts = m["n"].to_numpy(float)
-    take = int(np.searchsorted(np.cumsum(counts), SUPPORT * counts.sum())) + 1
+    take = min(int(np.searchsorted(np.cumsum(counts), support * counts.sum())) + 1, len(m))
     first, second, n = (np.array(m[c].tolist())[:take].sum(axis=0) for c in ("s1", "s2", "n"))
     mean = first / n
     cov = np.zeros((P, P))
     cov[np.triu_indices(P)] = second / n
     cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-    cov = cov * widening(n / counts.sum()) + np.diag(np.square(FLOOR))
+    cov = cov * widening(n / counts.sum() if share is None else share) + np.diag(np.square(FLOOR))
     # The sums are of x less the group's first centre, which is added again.
     centre = np.array(m["centre"].iloc[0])
     return pd.DataFrame({"_group": [m["_group"].iloc[0]], "mean": [mean + centre], "precision": [np.linalg.inv(cov).ravel()], "centre": [centre]})
@@ -162,16 +174,26 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     return counts.groupBy("_group").applyInPandas(start, _PARAMS)
 
 
+def _moments(at: DataFrame) -> DataFrame:
+    """Sums by group and bin of rows with x, centre and bin."""
+    c = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
+    sums = {f"a{i}": F.sum(c[i]) for i in range(P)} | {f"b{i}_{j}": F.sum(c[i] * c[j]) for i in range(P) for j in range(i, P)}
+    moments = at.groupBy("_group", "bin").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), *[v.alias(k) for k, v in sums.items()])
+    return moments.select("_group", "bin", "n", "centre", F.array(*[f"a{i}" for i in range(P)]).alias("s1"), F.array(*[f"b{i}_{j}" for i in range(P) for j in range(i, P)]).alias("s2"))
+
+
 def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step over all rows."""
     at = rows.join(params, "_group").withColumn("d2", distance())
     b = F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E).cast("int")
-    c = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
-    sums = {f"a{i}": F.sum(c[i]) for i in range(P)} | {f"b{i}_{j}": F.sum(c[i] * c[j]) for i in range(P) for j in range(i, P)}
-    by_bin = at.withColumn("bin", F.least(F.greatest(b, F.lit(LOW_BIN)), F.lit(HIGH_BIN))).groupBy("_group", "bin")
-    moments = by_bin.agg(F.count("*").alias("n"), F.first("centre").alias("centre"), *[v.alias(k) for k, v in sums.items()])
-    packed = moments.select("_group", "bin", "n", "centre", F.array(*[f"a{i}" for i in range(P)]).alias("s1"), F.array(*[f"b{i}_{j}" for i in range(P) for j in range(i, P)]).alias("s2"))
-    return packed.groupBy("_group").applyInPandas(estimate, _PARAMS)
+    binned = at.withColumn("bin", F.least(F.greatest(b, F.lit(LOW_BIN)), F.lit(HIGH_BIN)))
+    return _moments(binned).groupBy("_group").applyInPandas(lambda m: estimate(m, SUPPORT), _PARAMS)
+
+
+def reweighted(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimate from all rows at usual distances."""
+    at = rows.join(params, "_group").where(distance() <= chi_square_quantile(USUAL)).withColumn("bin", F.lit(0))
+    return _moments(at).groupBy("_group").applyInPandas(lambda m: estimate(m, 1.0, USUAL), _PARAMS)
 
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
@@ -181,6 +203,7 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
     params = first_estimates(fitted)
     for _ in range(STEPS):
         params = concentrate(fitted, params)
+    params = reweighted(fitted, params)
     d2 = F.when(F.col("base_failed"), F.lit(None)).otherwise(distance())
     judged = rows.join(params, "_group", "left").withColumn("distance2", F.round(d2, 3))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))).drop("x", "mean", "precision", "centre")
