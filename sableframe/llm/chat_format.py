@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints (DataFrame functions only).
 
 A record is JSON text. Its *fingerprint* is a hash of its nested field paths, whatever the scalar values
-and their types. A registry of declarative :class:`Layout` objects, each known by an example record, is
+and their types; fields of names that no layout knows (an ``id``, a ``name``) are left out of it, to a depth of
+``DEEP`` levels. A registry of declarative :class:`Layout` objects, each known by an example record, is
 selected by equal fingerprints and turns the record into canonical turns (role, text). ``format_turns``
 writes turns in one template with all control strings inside texts escaped; ``read_turns`` is its exact
 inverse, and ``loss_text`` reads the text under the loss mask.
@@ -15,6 +16,7 @@ formats to an empty string. Columns of the input are kept; ``layout``, ``turns``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ CONTROL = (
 )
 #: Names that layouts use for the three roles.
 ROLE_ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-LOSS_ROLE = "assistant"
+LOSS_ROLE, DEEP = "assistant", 4
 
 
 @dataclass(frozen=True)
@@ -70,9 +72,24 @@ def field_paths(record: Column) -> Column:
     return F.regexp_replace(shape, r"(?<=[:<] ?)(?!OBJECT|ARRAY)[A-Z][A-Z_ ]*(\(\d+, ?\d+\))?(?=[,>]|$)", "_")
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of a JSON record's field paths; null if it is malformed."""
+def _names(layouts: Sequence[Layout]) -> str:
+    """All field names of the layouts, as alternatives of a pattern."""
+    found = {n for x in layouts for n in re.findall(r'"([^"]+)":', x.example)}
+    return "|".join(map(re.escape, sorted(found)))
+
+
+def known_paths(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """The field paths without fields whose names no layout has, from the innermost outwards."""
+    other = rf"(?!(?:{_names(layouts)}):)[^:<>,]+: (?:_|VOID|OBJECT<>|ARRAY<(?:_|VOID|OBJECT<>)?>)"
     paths = field_paths(record)
+    for _ in range(DEEP):
+        paths = F.regexp_replace(F.regexp_replace(paths, rf", {other}(?=[,>])", ""), rf"(?<=<){other}(?:, |(?=>))", "")
+    return paths
+
+
+def fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """Hash of a JSON record's known field paths; null if it is malformed."""
+    paths = known_paths(record, layouts)
     return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
@@ -98,9 +115,9 @@ def _turns(record: Column, layout: Layout) -> Column:
 
 def canonical_turns(df: DataFrame, record: str, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of role and text), selected by each record's fingerprint."""
-    mark, name, turns = fingerprint(F.col(record)), None, None
+    mark, name, turns = fingerprint(F.col(record), layouts), None, None
     for x in layouts:
-        same = F.col("_mark") == fingerprint(F.lit(x.example))
+        same = F.col("_mark") == fingerprint(F.lit(x.example), layouts)
         made = _turns(F.col(record), x)
         name = F.when(same, F.lit(x.name)) if name is None else name.when(same, F.lit(x.name))
         turns = F.when(same, made) if turns is None else turns.when(same, made)
@@ -171,20 +188,46 @@ def _record() -> Column:
     return F.to_json(F.struct(F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")))
 
 
+def dealt_record() -> Column:
+    """A conversation's record in one of the layouts that can hold it, chosen by the hash of its conv_id.
+
+    All layouts take part: those of two and three turns where the roles are theirs, ``instruction_input`` where the
+    first text has a blank line to part it; some records carry fields that no layout knows.
+    """
+    turn, drawn = F.xxhash64("conv_id"), lambda k: F.pmod(F.xxhash64("conv_id", F.lit(k)), F.lit(k))
+    roles = F.array_join(F.transform("said", lambda m: m["role"]), "\n")
+    text = lambda i: F.get(F.col("said"), i)["content"]
+    record = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    listed = lambda role, said, **more: F.transform("said", lambda m: F.struct(*[f.alias(k) for k, f in more.items()], role(m["role"]), said(m["content"])))
+    plain = listed(lambda r: r.alias("role"), lambda t: t.alias("content"))
+    named = listed(lambda r: r.alias("role"), lambda t: t.alias("content"), name=F.lit("n"), tool=F.struct(F.lit(1).alias("v")))
+    spoken = listed(lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r).alias("from"), lambda t: t.alias("value"))
+    blank = F.position(F.lit("\n\n"), text(0))
+    parted = (blank > 1) & (F.length(text(0)) > blank + 1)
+    two = [record(prompt=text(0), completion=text(1)), record(prompt=text(0), response=text(1)), record(id=turn, instruction=text(0), output=text(1)), record(question=text(0), answer=text(1), tags=F.array(F.lit("x")))]
+    out = F.when((roles == "user\nassistant") & parted & (drawn(2) == 0), record(instruction=F.substring(text(0), F.lit(1), blank - 1), input=F.substring(text(0), blank + 2, F.length(text(0))), output=text(1)))
+    for k, made in enumerate(two):
+        out = out.when((roles == "user\nassistant") & (drawn(6) == k), made)
+    out = out.when((roles == "system\nuser\nassistant") & (drawn(3) == 0), record(system_prompt=text(0), question=text(1), response=text(2)))
+    aliased = F.exists("said", lambda m: m["role"].isin(list(ROLE_ALIASES)))
+    out = out.when(~aliased & (drawn(5) < 2), record(conversations=spoken)).when(drawn(7) == 0, record(id=turn, messages=named))
+    return out.otherwise(record(messages=plain))
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
     """One ``messages`` record per conv_id; rows by turn (nulls first), then by role and text."""
     return _said(rows).select("conv_id", _record().alias("record"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back from the output."""
+    """All conversations and conversation -7, as records of all layouts, formatted and read back from the output."""
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    parsed = canonical_turns(_said(rows).withColumn("record", _record()), "record")
+    parsed = canonical_turns(_said(rows).withColumn("record", dealt_record()), "record")
     # A record above the parser's size has no turns, though it is well formed: its rows are taken as they are.
     same = F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
-    made = format_turns(parsed.withColumn("turns", F.coalesce("turns", same)))
+    made = format_turns(parsed.withColumn("turns", F.when(F.try_parse_json("record").isNull(), same).otherwise(F.col("turns"))))
     back = made.withColumns({"_back": read_turns(F.col("formatted")), "_loss": loss_text(F.col("formatted"), F.col("loss_spans"))})
     said = F.array_join(F.transform("_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
