@@ -5,10 +5,11 @@ those that minimise the logistic loss of the feature differences over pairs; a q
 scores, the one that parts the labels best, then becomes the threshold, and the logistic of a score's
 distance from it is the score returned: at least 0.5 means quality 1.
 
-Learning uses at most ``MOST_LABELLED`` labelled documents, the first by the hash of their id, and
-``PAIRS`` pairs drawn from them with a fixed seed; both bounds hold at every size of the input. Scoring
-reads every whole text. Features are counts of characters, words and lines; labels, language, source and
-ids are never features.
+Learning uses at most ``MOST_LABELLED`` labelled documents, the first by the hash of their id, with one
+text for each id (of several the one with the least features), and ``PAIRS`` pairs drawn from them with a
+fixed seed; both bounds hold at every size of the input and for every number of rows of an id. Scoring
+reads every whole text. Features are counts of characters, words and lines, and the shares of words and of runs of three
+characters in ``HASHED`` hash buckets each; labels, language, source and ids are never features.
 
 Defined results: a null text is empty; empty texts have the score of their features. Labels other than
 0 and 1, and ids with both, are not learnt from. If either label is missing every score is 0.5. A null
@@ -28,13 +29,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import has_word, lean, split_words
+from sableframe.llm.text_kernels import WordHashes, has_word, lean, split_words
 
 MOST_LABELLED, PAIRS, RIDGE, SEED = 20_000, 100_000, 1e-3, 7
+HASHED, CHUNK = 64, 5_000
+_WORDS = WordHashes()
+
+
+def hashed(codes: np.ndarray, words: list[str]) -> np.ndarray:
+    """Roots of the shares of a text's words and of its runs of three characters in hash buckets."""
+    w = np.bincount((_WORDS.of(words) >> np.uint64(20)).astype(np.int64) % HASHED, minlength=HASHED)
+    c = codes.astype(np.uint64)
+    runs = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58)
+    r = np.bincount(runs.astype(np.int64), minlength=HASHED)
+    return np.sqrt(np.concatenate([w / max(len(words), 1), r / max(len(runs), 1)]))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares and logarithms that describe a text."""
+    """Shares and logarithms that describe a text: ``PLAIN`` counts, then the hashed ones."""
     text = text or ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = max(len(codes), 1)
@@ -51,12 +63,16 @@ def features(text: str | None) -> np.ndarray:
     lines = [x for x in text.split("\n") if has_word(x)]
     endings = sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines)
     root = lambda x: np.sqrt(max(x, 0.0))
-    return np.array([
+    plain = np.array([
         np.log1p(len(w)), len(codes) / k, root(upper / n), root(upper / max(upper + lower, 1)), root(digits / n), root(marks / n),
         root(c[33] / n), root(c[124] / n), root((c[35] + c[36] + c[37] + c[38] + c[42]) / n), root(c[256] / n), root((c[46] + c[44]) / n),
         root(spaces / n), root(twice / k), distinct / k, np.log1p(distinct) / np.log1p(k), pairs / max(k - 1, 1), np.log1p(len(lines)), k / max(len(lines), 1) / 100,
         len(set(lines)) / max(len(lines), 1), endings / max(len(lines), 1), np.log1p(k / max(distinct, 1)), float(not w),
     ])
+    return np.concatenate([plain, hashed(codes, w)])
+
+
+PLAIN = len(features(None)) - 2 * HASHED
 
 
 @dataclass(frozen=True)
@@ -75,9 +91,9 @@ class Ranking:
 
 
 def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Features in standard deviations, within 3, and their squares."""
+    """Features in standard deviations, within 3, and the squares of the plain ones."""
     z = np.clip((x - mean) / scale, -3, 3)
-    return np.hstack([z, z * z])
+    return np.hstack([z, z[:, :PLAIN] ** 2])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> Ranking | None:
@@ -88,12 +104,15 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> R
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = standardised(x, mean, scale)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(12):  # Newton steps on the logistic loss of the differences
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = d.T @ p / pairs - RIDGE * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(w))
+    preferred, other = rng.choice(good, pairs), rng.choice(bad, pairs)
+    w = np.zeros(z.shape[1])
+    for _ in range(12):  # Newton steps on the logistic loss of the differences, summed over chunks of pairs
+        gradient, hessian = -RIDGE * w, RIDGE * np.eye(len(w))
+        for at in range(0, pairs, CHUNK):
+            d = z[preferred[at : at + CHUNK]] - z[other[at : at + CHUNK]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            gradient = gradient + d.T @ p / pairs
+            hessian = hessian + (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hessian, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -123,13 +142,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Rank
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()).tolist() for t in b.column(1)], pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).astype(np.float32) for t in b.column(2)], pa.list_(pa.float32()))], ["id", "y", "x"])
 
-    rows = texts.select(F.col("_y").cast("int").alias("y"), "text").mapInArrow(measure, "y int, x array<double>").toArrow()
+    measured = texts.select("doc_id", F.col("_y").cast("int").alias("y"), "text").mapInArrow(measure, "id long, y int, x array<float>")
+    rows = measured.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()  # a row per chosen id
     if not rows.num_rows:
         return None
     # Sorted, so that sums do not depend on the order in which partitions arrive.
-    x, y = np.array(rows["x"].to_pylist()), rows["y"].to_numpy()
+    x, y = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(float), rows["y"].to_numpy()
     order = np.lexsort((*x.T[::-1], y))
     return fit(x[order], y[order])
 
