@@ -9,8 +9,9 @@ Targets: all words are shared by weight; a target stops at ``most`` times its so
 excess is shared again by weight until no target is above. A target of several times a source takes
 every document whole that many times, and the threshold chooses those that are taken once more.
 
-Defined results: a null text has 0 words; a null source is a source of its own, ordered last; null
-doc_ids share one hash. Rows with equal doc_ids have equal hashes and are taken or left together. At the
+Defined results: a null text has 0 words; a null source is a source of its own, ordered last. The hash is
+of the doc_id and the text, so rows with null or equal ids are chosen one by one unless their texts are equal
+too: those are taken or left together. At the
 threshold, the last hash value is taken if that ends nearer to the target. Empty input gives no rows.
 """
 
@@ -21,19 +22,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sableframe.llm.staging import staged
+from sableframe.llm.staging import broadcast_if_small, staged
 from sableframe.llm.tables import WORD, key, table, word_count
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix"
 LEVELS, BITS = 3, 12
-#: Plans of up to this many sources are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
 
 
-def doc_hash(doc_id: Column, seed: str = SEED) -> Column:
-    """36 bits of the md5 of a seed and an id, as a long."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """36 bits of the md5 of a seed, an id and the md5 of a text, as a long."""
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(said), 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -81,26 +80,22 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         last = edge
         if level < LEVELS:
             edge = edge.drop("_words")
-            rows = rows.join(_small(edge.select("_key", F.col("_prefix").alias("_kept")), edge), "_key").where(F.shiftright("hash", shift) == F.col("_kept")).select("_key", "size", "hash")
+            rows = rows.join(broadcast_if_small(edge.select("_key", F.col("_prefix").alias("_kept"))), "_key").where(F.shiftright("hash", shift) == F.col("_kept")).select("_key", "size", "hash")
     nearer = F.col("_words") - F.col("_rest") < F.col("_rest")
     cut = last.select("_key", (F.col("_prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
     return plan.join(cut, "_key", "left").select("_key", "source", "source_size", "weight", "target", "copies", F.coalesce("below", F.lit(0)).cast("long").alias("below"))
 
 
-def _small(df: DataFrame, counted: DataFrame) -> DataFrame:
-    return F.broadcast(df) if counted.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else df
-
-
 def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """(plan, sizes): one row per source, and (doc_id, source, size, hash) per document, both staged."""
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")))
+    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("hash")))
     return staged(thresholds(sizes, staged(source_targets(sizes, weights, most)))), sizes
 
 
 def times_taken(hashed: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``times``: how often the mix takes each row of ``hashed`` (with source and hash)."""
     small = plan.select("_key", "source_size", "target", "copies", "below")
-    found = hashed.withColumn("_key", key("source")).join(_small(small, plan), "_key")
+    found = hashed.withColumn("_key", key("source")).join(broadcast_if_small(small), "_key")
     return found.withColumn("times", F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).drop("_key", "copies", "below")
 
 
@@ -111,7 +106,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST)
     """
     plan, _ = mix_plan(docs, weights, most)
     bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    hashed = bare.select("_row", F.col("_row.source").alias("source"), doc_hash(F.col("_row.doc_id")).alias("hash"))
+    hashed = bare.select("_row", F.col("_row.source").alias("source"), doc_hash(F.col("_row.doc_id"), F.col("_row.text")).alias("hash"))
     taken = times_taken(hashed, plan).where("times > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("_row.*")
 
@@ -127,7 +122,7 @@ def oracle(documents: str = "documents") -> str:
     return f"""
     WITH d AS (
       SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, {LEVELS * BITS // 4}))::BIGINT AS h
+        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, {LEVELS * BITS // 4}))::BIGINT AS h
       FROM {documents}),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
