@@ -1,15 +1,18 @@
 """Document fingerprints by threshold-scaled sketches (DataFrame functions only).
 
 A sketch holds every hash of a document's five-word shingles that lies in the lowest 1/``scale`` of the
-hash range. Sketches of a text's parts merge by union, and since all use one threshold, the containment
-of a short document in a long one can be estimated from two sketches. A document whose sketch would have
-fewer than ``least`` hashes keeps its ``least`` smallest hashes instead, so short texts stay comparable;
-the sketch records the bound up to which it is complete, and two sketches are compared below the lesser
-bound.
+hash range, ascending; a text with words of which none lies there is marked by its least hash. All texts
+share one threshold, so sketches of a text's parts merge by union and the containment of a short document
+in a long one can be estimated from two sketches.
+
+Documents follow each other by doc_id (null last), then by a hash of the text, then by the text. For that
+they are dealt into ranges of about ``RANGE_CHARS`` of text: a range that is heavier is cut by id into
+even parts, one of a single id by hash, one of equal rows by row, until none is heavier than twice that.
+There is no greatest number of ranges. The first row of each range is passed on to the one before.
 
 Defined results: a null text is empty. A text of one to four words is one shingle; a text without words
 has an empty sketch, whose likeness is 1 to an empty sketch and 0 to any other. Equal texts have equal
-fingerprints. Rows with equal doc_ids follow each other in the order of their texts; null ids come last.
+fingerprints. Rows with equal doc_ids follow each other in the order of their texts' hashes; null ids come last.
 An empty table gives no rows; a single document's next document is itself.
 """
 
@@ -18,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sableframe.llm.staging import broadcast_if_small, staged
 from sableframe.llm.tables import let, table, words
 
-SHINGLE, SCALE, LEAST = 5, 4, 64
-#: Rows of a range of ids that are ordered together; ranges are split so that none is much larger.
-RANGE_ROWS, MOST_RANGES = 20_000, 512
-_TOP = 2**63 - 1
+SHINGLE, SCALE = 5, 2
+#: Characters of a range of documents that are ordered together, and about how many ranges a task takes.
+RANGE_CHARS, RANGES_OF_TASK = 16_000_000, 2
+_MOST_CUTS = 24
 
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
@@ -38,88 +42,105 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     return F.array_distinct(let(hashed, cut))
 
 
-def sketch(text: Column, scale: int = SCALE, least: int = LEAST, n: int = SHINGLE) -> Column:
-    """Struct of ``bound`` (the sketch has every hash up to it) and ``hashes`` (ascending)."""
+def _retained(hashes: Column, scale: int) -> Column:
+    """The hashes below the threshold, ascending, or else the least."""
     below = -(2**63) + 2**64 // scale - 1
+    least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
+    return let(F.filter(hashes, lambda x: x <= below), lambda low: F.when(F.size(low) > 0, F.array_sort(low)).otherwise(least))
 
-    def chosen(h: Column) -> Column:
-        low = F.filter(h, lambda x: x <= below)
-        few = lambda: let(F.slice(F.array_sort(h), 1, least), lambda s: F.struct(F.element_at(s, -1).alias("bound"), s.alias("hashes")))
-        whole = F.struct(F.lit(_TOP).alias("bound"), F.array_sort(h).alias("hashes"))
-        return let(low, lambda x: F.when(F.size(x) >= least, F.struct(F.lit(below).alias("bound"), F.array_sort(x).alias("hashes"))).when(F.size(h) <= least, whole).otherwise(few()))
 
-    return let(shingle_hashes(text, n), chosen)
+def sketch(text: Column, scale: int = SCALE, n: int = SHINGLE) -> Column:
+    """Array of the retained hashes."""
+    return let(shingle_hashes(text, n), lambda h: _retained(h, scale))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sketches, over the hashes up to the lesser bound."""
-
-    def below(bound: Column) -> Column:
-        left, right = (F.filter(x["hashes"], lambda h: h <= bound) for x in (a, b))
-        return let(F.struct(left.alias("l"), right.alias("r"), F.size(F.array_intersect(left, right)).alias("both")), lambda s: F.struct(s["both"].alias("both"), (F.size(s["l"]) + F.size(s["r"]) - s["both"]).alias("any")))
-
-    return let(let(F.least(a["bound"], b["bound"]), below), lambda s: F.when(s["any"] == 0, F.lit(1.0)).otherwise(s["both"] / s["any"]))
+    """Jaccard likeness of two sketches."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has; 1 if ``a`` has none below the lesser bound."""
-    bound = F.least(a["bound"], b["bound"])
-    return let(bound, lambda t: let(F.filter(a["hashes"], lambda h: h <= t), lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, b["hashes"])) / F.size(x))))
-
-
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of all shingles of both, complete up to the lesser bound."""
-    t = F.least(a["bound"], b["bound"])
-    return F.struct(t.alias("bound"), let(t, lambda x: F.array_sort(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h <= x))).alias("hashes"))
-
-
-def printed(s: Column) -> Column:
-    """The sketch as a string: bound and hashes in hexadecimal."""
-    return F.concat(F.hex(s["bound"]), F.lit(":"), F.array_join(F.transform(s["hashes"], F.hex), ","))
-
-
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds ``next``, a struct of the ``carried`` columns (text among them) of the next row by (doc_id, text), the last row's being the first's.
-
-    Ids are cut into ranges at their quantiles, at most ``MOST_RANGES``; each range is ordered by itself,
-    and the first row of each following range is laid at its end, so no task sees all rows. Null ids
-    are spread over the ranges beyond by the hash of their text, which is also their order.
+    """Estimated share of ``a``'s shingles that ``b`` has; 1 if ``a`` has no words."""
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of all shingles of both."""
+    return let(F.array_union(a, b), lambda u: _retained(u, scale))
+
+
+def printed(s: Column, scale: int = SCALE) -> Column:
+    """The sketch as a string: the scale and the hashes in hexadecimal."""
+    return F.concat(F.lit(f"{scale}:"), F.array_join(F.transform(s, F.hex), ","))
+
+
+def _dealt(rows: DataFrame, cuts: list[DataFrame]) -> DataFrame:
+    """Adds ``_path`` to rows with doc_id and _h: the numbers of their parts at each cut, which sort as the rows do."""
+    at = rows.withColumn("_path", F.array(F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long")))
+    for cut in cuts:
+        value = F.when(F.col("_by") == "id", F.col("doc_id").cast("double")).otherwise(F.col("_h").cast("double"))
+        even = F.least(F.floor((value - F.col("_lo")) / F.col("_width")), F.col("_parts") - 1)
+        part = F.when(F.col("_by") == "row", F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).otherwise(even).cast("long")
+        path = F.when(F.col("_by").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array(part)))
+        at = at.join(broadcast_if_small(cut.withColumnRenamed("_path", "_of")), F.col("_path") == F.col("_of"), "left").withColumn("_path", path).drop("_of", "_by", "_lo", "_width", "_parts")
+    return at
+
+
+def ranges(docs: DataFrame, chars: int = RANGE_CHARS) -> tuple[list[DataFrame], DataFrame]:
+    """(cuts, paths): the cuts that deal ``docs`` (doc_id, text, _h) into ranges, and each range's path with its first id and hash."""
+    keys = staged(docs.select("doc_id", "_h", (F.length("text") + 64).cast("long").alias("_weight")))
+    cuts: list[DataFrame] = []
+    parts = F.ceil(F.col("_w") / chars).cast("long")
+    while True:
+        sides = [f(c).alias(n) for c, n in (("doc_id", "id"), ("_h", "h")) for f, n in ((F.min, n + "_lo"), (F.max, n + "_hi"))]
+        sums = staged(_dealt(keys, cuts).groupBy("_path").agg(F.sum("_weight").alias("_w"), F.count("*").alias("_n"), F.min(F.struct("doc_id", "_h")).alias("_first"), *sides))
+        by = F.when(F.col("id_lo") < F.col("id_hi"), "id").when(F.col("h_lo") < F.col("h_hi"), "h")
+        heavy = sums.where(F.col("_w") > 2 * chars).withColumns({"_by": by, "_parts": parts})
+        uneven = heavy.where("_by IS NOT NULL")
+        if len(cuts) == _MOST_CUTS or not uneven.limit(1).count():
+            break
+        side = lambda end: F.when(F.col("_by") == "id", F.col(f"id_{end}")).otherwise(F.col(f"h_{end}")).cast("double")
+        width = F.greatest((side("hi") - side("lo")) / F.col("_parts") * (1 + 1e-12), F.lit(1e-300))
+        cuts.append(staged(uneven.withColumns({"_lo": side("lo"), "_width": width}).select("_path", "_by", "_lo", "_width", "_parts")))
+    # Equal rows are dealt over parts by turns; the first row of each part is like any other.
+    equal = heavy.where("_by IS NULL AND _n > 1").select("_path", F.lit("row").alias("_by"), F.lit(0.0).alias("_lo"), F.lit(1.0).alias("_width"), F.least("_parts", "_n").alias("_parts"))
+    cuts.append(staged(equal))
+    known = sums.join(broadcast_if_small(cuts[-1].select("_path", "_parts")), "_path", "left")
+    every = F.when(F.col("_parts").isNull(), F.array("_path")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1), lambda i: F.concat("_path", F.array(i))))
+    return cuts, known.select(F.explode(every).alias("_path"), F.col("_first.doc_id").alias("_id"), F.col("_first._h").alias("_hash"))
+
+
+def with_next(docs: DataFrame, chars: int = RANGE_CHARS) -> DataFrame:
+    """(doc_id, text, sketch, next_text, next_sketch): the next row's are the first row's at the last row.
+
+    Texts are shuffled once, and sketched where they have arrived. The list of ranges, one row for each, is ordered in one task.
     """
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    at = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        at = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    nulls = F.lit(len(cuts) + 1) + F.pmod(F.hash("text"), F.lit(ranges))
-    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), nulls).otherwise(at).cast("int"))
-    lowest = [(r["_range"], r["id"]) for r in ranged.groupBy("_range").agg(F.min("doc_id").alias("id")).orderBy("_range").collect()]
-    heads = [(p, r, i) for (p, _), (r, i) in zip(lowest, lowest[1:] + lowest[:1], strict=True)]
-    small = docs.sparkSession.createDataFrame(heads, "_before int, _range int, _id long")
-    others = [c for c in carried if c != "text"]
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    cuts, paths = ranges(hashed, chars)
+    order = Window.orderBy("_path")
+    following = F.struct("_id", "_hash")
+    heads = staged(paths.withColumn("_f", F.coalesce(F.lead(following).over(order), F.first(following).over(order))))
+    firsts = heads.select(F.col("_path").alias("_before"), F.col("_f._id").alias("_id"), F.col("_f._hash").alias("_hash"))
     first = (
-        ranged.join(F.broadcast(small), "_range")
-        .where(F.col("doc_id").eqNullSafe(F.col("_id")))
+        hashed.join(broadcast_if_small(staged(firsts)), (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .groupBy("_before")
-        .agg(F.min(F.struct("text", *others)).alias("_f"))
-        .select(F.col("_before").alias("_range"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("_end"), "_f.*")
+        .agg(F.min("text").alias("text"))
+        .select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("_h"), F.col("_before").alias("_path"), F.lit(1).alias("_end"))
     )
-    both = ranged.withColumn("_end", F.lit(0)).unionByName(first, allowMissingColumns=True)
-    w = Window.partitionBy("_range").orderBy("_end", "doc_id", "text")
-    following = F.struct(*[F.lead(c).over(w).alias(c) for c in carried])
-    return both.withColumn("next", following).where("_end = 0").drop("_range", "_end")
+    both = _dealt(hashed, cuts).withColumn("_end", F.lit(0)).unionByName(first)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-heads.count() // RANGES_OF_TASK))
+    w = Window.partitionBy("_path").orderBy("_end", "doc_id", "_h", "text")
+    ordered = both.repartition(tasks, "_path").withColumn("next_text", F.lead("text").over(w)).withColumn("sketch", sketch(F.col("text")))
+    return ordered.withColumn("next_sketch", F.lead("sketch").over(w)).where("_end = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next document's beginning."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("sketch", sketch(F.col("text")))
-    near = with_next(own, ["text", "sketch"])
+    near = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
-    edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 4) as int))"), F.substring(F.col("next.text"), F.lit(1), tail))
-    made = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
+    edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), tail))
+    made = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
     made = made.withColumn("edited_sketch", sketch(F.col("edited")))
     return made.select(
         "doc_id",
