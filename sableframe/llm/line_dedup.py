@@ -1,16 +1,20 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set is its distinct words. Words are ordered by rarity (counts of all words in ``BUCKETS`` hash
-buckets, kept as one byte each), so two sets with a Jaccard of at least 0.8 share a word of their
-*prefixes*, the rarest fifth. Prefix words are joined; pairs are dropped by length, by position, and by
-two words of parity bits whose differing bits cannot exceed the sets' difference; the rest is verified on
-the words themselves. A line is removed if an earlier line, by doc_id (null last) and place in the text,
-has a set of at least that similarity.
-
-Equal sets are collapsed first. Prefix words of more than ``HOT`` sets are not joined pairwise: their sets
-are compared with up to ``LEADERS`` early ones each, which resolves families of near copies in linear
-time, and what is then unresolved is compared with all in blocks inside tasks, which write only the
-sets that have an earlier match.
+A line's set is its distinct words. Words are ordered by rarity (counts of all words in hash buckets, kept
+as one byte each), so two sets with a Jaccard of at least 0.8 share a word of their *prefixes*, the rarest
+fifth. Prefix words are joined; pairs are dropped by length, by position, and by 96 parity bits whose
+differing bits cannot exceed the sets' difference, and then by 512; the rest is verified on the words themselves,
+the earliest candidate of each set first. A line is removed if an earlier line, by doc_id (null last) and place in the text, has a set of at least that similarity.
+
+Equal texts are collapsed before any word is counted: all lines with a word go from the later ones, and
+only the first is looked at. Equal sets are collapsed next; a line with a word that occurs once in the
+corpus has no equal and takes no part in that. Prefix words of more than ``HOT`` sets are not joined
+pairwise: their sets are compared with up to ``LEADERS`` early ones each, which resolves families of near
+copies in linear time, and what is then unresolved is compared with all in blocks inside tasks, which
+write only the sets that have an earlier match.
+
+The buckets grow with the text up to ``MOST_BUCKETS``. Beyond that fewer words are seen to be unique and the
+order is less exact; results do not change, and the prefixes bound the words that are joined in any case.
 
 Defined results: every line with a word is compared; lines without one always stay. A null text
 stays null. Rows with equal doc_id and text are one document and share its result. An empty table gives
@@ -26,41 +30,83 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.set_overlap import Postings, groups
-from sableframe.llm.staging import staged
-from sableframe.llm.tables import table
-from sableframe.llm.text_kernels import lean, ragged, sorted_distinct, split_words, stir, word_table
+from sableframe.llm.staging import broadcast_if_small, scratch, staged
+from sableframe.llm.tables import let, table
+from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinct, split_words, stir, word_table
 
 NUM, DEN = 4, 5  # a Jaccard of 0.8
-LEAST_WORDS = 1  # lines without a word have no set; no other line is left out
-BUCKETS = 1 << 22
+#: Buckets of words: one for each CHARS bytes of text, a power of two between the limits.
+LEAST_BUCKETS, MOST_BUCKETS, CHARS = 1 << 16, 1 << 24, 16
 HOT, LEADERS, BLOCK_WORDS = 500, 64, 400_000
-#: Tables of up to this many rows are broadcast to the texts; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
 _ID_BITS = 55
+_BLOCK = 1 << 16  # buckets whose counts travel together
+_FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
+_MARKS = 8  # words of 64 parity bits that a candidate's set has
+_HAS_WORD = "[^ \\t-\\r]"
 
 
-def word_rarity(docs: DataFrame) -> np.ndarray:
-    """For each bucket of words four times the binary logarithm of its count, in BUCKETS bytes; 255 if none."""
+def text_key() -> list[Column]:
+    """128 bits that stand for a text, as columns h0 and h1."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h0"), F.xxhash64(text, F.lit(1)).alias("h1")]
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """(h0, h1, first): texts of more than one row, with their least doc_id (null last)."""
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"))
+    counted = docs.select("doc_id", *text_key()).groupBy("h0", "h1").agg(F.min(order).alias("o"), F.count("*").alias("copies"))
+    return counted.where("copies > 1").select("h0", "h1", F.col("o.doc_id").alias("first"))
+
+
+def distinct_texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, h0, h1, text): each text once, in its first document. Only texts that several rows have are shuffled."""
+    marked = docs.select("doc_id", *text_key(), "text").join(broadcast_if_small(repeated.withColumn("_again", F.lit(True))), ["h0", "h1"], "left")
+    columns = ["doc_id", "h0", "h1", "text"]
+    first = marked.where(F.col("_again") & F.col("doc_id").eqNullSafe(F.col("first")))
+    once = staged(first.groupBy("doc_id", "h0", "h1").agg(F.first("text").alias("text")).select(*columns))
+    return marked.where("_again IS NULL").select(*columns).unionByName(once)
+
+
+def bucket_count(chars: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (chars // CHARS).bit_length()))
+
+
+def word_rarity(texts: DataFrame, buckets: int) -> np.ndarray:
+    """For each bucket of words four times the binary logarithm of its count, one byte each; 255 if none."""
+    whole = np.uint64(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(buckets, np.int32)
         for b in lean(batches):
-            for at in range(0, b.num_rows, 2048):
-                _, code, hashes = word_table(b.column(0).slice(at, 2048))
-                np.add.at(seen, (hashes % np.uint64(BUCKETS)).astype(np.int64), np.bincount(code, minlength=len(hashes)))
+            for k in range(0, b.num_rows, 2048):
+                _, code, hashes = word_table(b.column(0).slice(k, 2048))
+                np.add.at(seen, (hashes % whole).astype(np.int64), np.bincount(code, minlength=len(hashes)).astype(np.int32))
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["bucket", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counts.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(254)).cast("int").alias("code")).toArrow()
-    rarity = np.full(BUCKETS, 255, np.uint8)
-    rarity[got["bucket"].to_numpy()] = got["code"].to_numpy()
+        n = seen[at]
+        cuts = np.searchsorted(at, np.arange(0, buckets + 1, _BLOCK))
+        found = [(k, at[a:b] - k * _BLOCK, n[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        # A task's count is kept up to 255: once or more often is exact, and the order needs no more.
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in found], pa.int32()), pa.array([x.astype(np.uint16).tobytes() for _, x, _ in found], pa.binary()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for _, _, x in found], pa.binary())],
+            ["block", "at", "n"],
+        )
+
+    def merge(t: pa.Table) -> pa.Table:
+        seen = np.zeros(_BLOCK, np.int64)
+        for at, n in zip(t["at"], t["n"], strict=True):
+            seen[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint8)
+        code = np.where(seen > 0, np.minimum(np.floor(4 * np.log2(np.maximum(seen, 1))), 254), 255).astype(np.uint8)
+        return pa.table({"block": t["block"].slice(0, 1), "codes": pa.array([code.tobytes()], pa.binary())})
+
+    counted = texts.select("text").mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(merge, "block int, codes binary")
+    rarity = np.full(buckets, 255, np.uint8)
+    for r in counted.collect():  # at most MOST_BUCKETS bytes
+        rarity[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["codes"], np.uint8)
     return rarity
 
 
@@ -69,31 +115,25 @@ def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-def doc_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def sets_of_lines(texts: pa.Array, rarity: np.ndarray) -> dict[str, np.ndarray]:
     """The lines that hold a word: text, line, n, skip, s0, s1, p0, p1 and the prefixes with their ``cuts``.
 
     A word is an integer that sorts by rarity: its bucket's code above 55 bits of its hash. A set is known
-    by two sums over its words' hashes.
+    by two sums over its words' hashes; p0 has 64 parity bits and p1 has 32.
     """
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     per_text = np.diff(lines.offsets.to_numpy())
     owner, code, hashes = word_table(lines.flatten())
-    token = (rarity[(hashes % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64) << _ID_BITS) | (hashes >> np.uint64(9)).astype(np.int64)
+    token = (rarity[(hashes % np.uint64(len(rarity))).astype(np.int64)].astype(np.int64) << _ID_BITS) | (hashes >> np.uint64(9)).astype(np.int64)
     known, rank = np.unique(token, return_inverse=True)
-    long_enough = np.bincount(owner, minlength=int(per_text.sum())) >= LEAST_WORDS
-    keep = long_enough[owner]
-    pair = sorted_distinct((owner[keep].astype(np.int64) << 32) | rank[code[keep]])
+    pair = sorted_distinct((owner.astype(np.int64) << 32) | rank[code])
     row, word = pair >> 32, known[pair & 0xFFFFFFFF]
     chosen, starts, n = np.unique(row, return_index=True, return_counts=True)
     first = np.searchsorted(chosen, row)
     once = np.bincount(first, (word >> _ID_BITS) == 0, minlength=len(chosen)).astype(np.int64)
     skip = np.minimum(once, prefix_length(n))  # a word that occurs once in the corpus matches nothing
     count = prefix_length(n) - skip
-    bit, one = word & 127, np.int64(1)
+    bit, one = word % 96, np.int64(1)
     reduce = lambda f, x: f.reduceat(x, starts) if len(starts) else x[:0]
     stirred = stir(word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return {
@@ -104,96 +144,134 @@ def sets_of_lines(texts: pa.Array, rarity: np.ndarray) -> dict[str, np.ndarray]:
         "s0": reduce(np.add, stirred).view(np.int64),
         "s1": reduce(np.add, stir(stirred ^ np.uint64(0xA0761D6478BD642F))).view(np.int64),
         "p0": reduce(np.bitwise_xor, np.where(bit < 64, one << (bit & 63), 0)),
-        "p1": reduce(np.bitwise_xor, np.where(bit >= 64, one << (bit & 63), 0)),
+        "p1": reduce(np.bitwise_xor, np.where(bit >= 64, one << (bit & 31), 0)).astype(np.uint32).view(np.int32),
         "cuts": np.concatenate([[0], np.cumsum(count)]),
         "prefix": word[ragged(count, starts + skip)],
     }
 
 
-def line_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+def line_sets(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
     """One row per line that holds a word: its place, set, prefix and parity bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    kinds = {"line": pa.int32(), "n": pa.int32(), "skip": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "p0": pa.int64(), "p1": pa.int64()}
+    shared = texts.sparkSession.sparkContext.broadcast(rarity)
+    kinds = {"line": pa.int32(), "n": pa.int32(), "skip": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "p0": pa.int64(), "p1": pa.int32()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                x = sets_of_lines(part.column(2), shared.value)
+                x = sets_of_lines(part.column(3), shared.value)
                 text = pa.array(x["text"])
                 prefix = pa.ListArray.from_arrays(pa.array(x["cuts"], pa.int32()), pa.array(x["prefix"], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), *(pa.array(x[k].astype(t.to_pandas_dtype())) for k, t in kinds.items()), prefix], ["doc_id", "th", *kinds, "prefix"])
-
-    return docs.select("doc_id", doc_key(F.col("text")).alias("th"), "text").mapInArrow(cut, "doc_id long, th long, line int, n int, skip int, s0 long, s1 long, p0 long, p1 long, prefix array<long>")
-
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(text) for k in range(3)), *(pa.array(x[k].astype(t.to_pandas_dtype())) for k, t in kinds.items()), prefix], ["doc_id", "h0", "h1", *kinds, "prefix"])
 
-def _order(doc_id: str = "doc_id", th: str = "th", line: str = "line") -> Column:
-    return F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("doc_id"), F.col(th).alias("th"), F.col(line).alias("line"))
+    return texts.select("doc_id", "h0", "h1", "text").mapInArrow(cut, "doc_id long, h0 long, h1 long, line int, n int, skip int, s0 long, s1 long, p0 long, p1 int, prefix array<long>")
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("h0").alias("h0"), F.col("line").alias("line"))
 
 
 def repeated_sets(lines: DataFrame) -> DataFrame:
-    """(s0, s1, n, o): sets of more than one line, with their earliest line. No prefixes are shuffled."""
-    counted = lines.groupBy("s0", "s1", "n").agg(F.min(_order()).alias("o"), F.count("*").alias("copies"))
-    return counted.where("copies > 1").select("s0", "s1", "n", "o")
+    """(s0, s1, o): sets of more than one line, with their earliest line. Lines with a unique word have no equal."""
+    counted = lines.where("skip = 0").groupBy("s0", "s1").agg(F.min(_order()).alias("o"), F.count("*").alias("copies"))
+    return counted.where("copies > 1").select("s0", "s1", "o")
 
 
 def prefix_postings(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(token, id, at, p0, p1): a row per prefix word of each set, known by the id of its earliest line; ``at`` holds the set's size above the word's place."""
-    own = lines.select("id", "s0", "s1", "n", "skip", "prefix", "p0", "p1", _order().alias("own"))
-    first = own.join(_broadcast_if_small(repeated), ["s0", "s1", "n"], "left").where(F.col("o").isNull() | (F.col("own") == F.col("o")))
-    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") + F.col("skip")
+    """(token, id, at, p): a row per prefix word of each set, known by the id of its earliest line.
+
+    ``at`` holds 32 parity bits, the set's size and the word's place in 16 bits each; ``p`` 64 parity bits.
+    """
+    own = lines.where(F.size("prefix") > 0)
+    known = own.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
+    columns = ["id", "n", "skip", "prefix", "p0", "p1"]
+    first = own.where("skip > 0").select(*columns).unionByName(known.select(*columns))
     rows = first.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
-    return rows.select("token", "id", at.alias("at"), "p0", "p1")
+    at = F.shiftleft(F.col("p1").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_FULL)).cast("long"), 16)).bitwiseOR(F.least(F.col("k") + F.col("skip"), F.lit(_FULL)).cast("long"))
+    return rows.select("token", "id", at.alias("at"), F.col("p0").alias("p"))
+
+
+def set_size(at: Column) -> Column:
+    return F.shiftright(at, 16).bitwiseAND(F.lit(_FULL))
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
     """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters.
 
     The smaller set (of equal ones that of the lesser id) is the first; its shared word lies in the shorter
-    prefix that suffices against sets of its size or more.
+    prefix that suffices against sets of its size or more. Sizes of ``_FULL`` or more pass every filter.
     """
-    x = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "at", "p0", "p1")])
-    y = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "at", "p0", "p1")])
-    an, bn = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
-    ap, bp = F.col("a_at").bitwiseAND(F.lit(2**32 - 1)), F.col("b_at").bitwiseAND(F.lit(2**32 - 1))
+    x = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "at", "p")])
+    y = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "at", "p")])
+    an, bn = set_size(F.col("a_at")), set_size(F.col("b_at"))
+    ap, bp = F.col("a_at").bitwiseAND(F.lit(_FULL)), F.col("b_at").bitwiseAND(F.lit(_FULL))
     reach = F.least(ap, bp) + F.least(an - ap, bn - bp)
-    apart = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    apart = F.bit_count(F.col("a_p").bitwiseXOR(F.col("b_p"))) + F.bit_count(F.shiftright(F.col("a_at").bitwiseXOR(F.col("b_at")), 32).cast("int").cast("long").bitwiseAND(F.lit(2**32 - 1)))
     near = (
-        ((an < bn) | ((an == bn) & (F.col("a_id") < F.col("b_id"))))
-        & (an * DEN >= bn * NUM)
+        (an * DEN >= bn * NUM)
         & (ap * (NUM + DEN) <= F.least(an, bn) * (DEN - NUM))
-        & (apart * (NUM + DEN) <= (an + bn) * (DEN - NUM))
         & (reach * (NUM + DEN) >= (an + bn) * NUM)
+        & (apart * (NUM + DEN) <= (an + bn) * (DEN - NUM))
     )
-    return x.join(y, "token").where(near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    ordered = (an < bn) | ((an == bn) & (F.col("a_id") < F.col("b_id")))
+    return x.join(y, "token").where(ordered & (near | (bn == _FULL))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def set_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, o, words): the distinct words of the earliest lines of the ``wanted`` sets (id, o)."""
-    keys = _broadcast_if_small(wanted.select("id", "o", F.col("o.doc_id").alias("_id"), F.col("o.th").alias("_th"), F.col("o.line").alias("_line")))
-    keyed = docs.select("doc_id", doc_key(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line"))
-    found = keyed.join(keys, same).select("id", "o", "words")
+def set_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, o, n, marks, words): size, parity bits and distinct words of the ``wanted`` lines (id, h0, h1, line, o), which come as a list per text."""
+    keys = wanted.groupBy("h0", "h1").agg(F.collect_list(F.struct("line", "id", "o")).alias("lines"))
+    pieces = F.split("text", "\n", -1)
+    found = texts.join(broadcast_if_small(staged(keys)), ["h0", "h1"]).select(let(pieces, lambda p: F.transform("lines.line", lambda i: F.get(p, i))).alias("said"), "lines.id", "lines.o")
+
+    def parity(words: np.ndarray) -> np.ndarray:
+        odd = np.bincount(words % (64 * _MARKS), minlength=64 * _MARKS).astype(np.uint8) & 1
+        return np.packbits(odd).view(np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in lean(batches):
-            sets = [np.array(sorted({xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in split_words(x.as_py())}), np.uint64).view(np.int64) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "o", "words"])
-
-    return found.mapInArrow(cut, "id long, o struct<x:boolean,doc_id:bigint,th:bigint,line:int>, words array<long>").dropDuplicates(["id"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                lines = part.column(0).flatten()
+                sets = [sorted_distinct(hashes.of(split_words(x.as_py()))).view(np.int64) for x in lines]
+                sizes = np.array([len(x) for x in sets], np.int32)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                marks = np.concatenate([parity(x.view(np.uint64)) for x in sets]) if sets else np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _MARKS), pa.array(marks)), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets) if sets else marks))]
+                yield pa.RecordBatch.from_arrays([part.column(1).flatten(), part.column(2).flatten(), pa.array(sizes), *lists], ["id", "o", "n", "marks", "words"])
+
+    return found.mapInArrow(cut, "id long, o struct<x:boolean,doc_id:bigint,h0:bigint,line:int>, n int, marks array<long>, words array<long>")
+
+
+def near_candidates(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(later, earlier, eo): the pairs whose parity bits differ no more than near sets' may, with the place of the earlier set."""
+    side = lambda c: broadcast_if_small(words.select(F.col("id").alias(c), F.struct("o", "n", "marks").alias(f"{c}_")))
+    a, b = F.col("a_"), F.col("b_")
+    apart = sum((F.bit_count(a["marks"][k].bitwiseXOR(b["marks"][k])) for k in range(_MARKS)), F.lit(0))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where((apart * (NUM + DEN) <= (a["n"] + b["n"]) * (DEN - NUM)) & (a["o"] != b["o"]))
+    first = a["o"] < b["o"]
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    return near.select(pick(F.col("b"), F.col("a")).alias("later"), pick(F.col("a"), F.col("b")).alias("earlier"), pick(a["o"], b["o"]).alias("eo"))
 
 
 def verified_later(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(id): the later set of each pair that is as similar as asked."""
-    left = words.select(F.col("id").alias("a"), F.col("o").alias("ao"), F.col("words").alias("aw"))
-    right = words.select(F.col("id").alias("b"), F.col("o").alias("bo"), F.col("words").alias("bw"))
-    both = F.size(F.array_intersect("aw", "bw"))
-    near = both * (NUM + DEN) >= (F.size("aw") + F.size("bw")) * NUM
-    return pairs.join(left, "a").join(right, "b").where(near & (F.col("ao") != F.col("bo"))).select(F.when(F.col("ao") < F.col("bo"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    """(id): the later set of each pair that is as similar as asked.
+
+    Each later set is first compared with its earliest candidate, then those that were not near with all others.
+    """
+    near = staged(near_candidates(pairs, words))
+
+    def compared(some: DataFrame) -> DataFrame:
+        some = staged(some.select("later", "earlier"))
+        left = words.select(F.col("id").alias("later"), F.col("words").alias("lw")).join(broadcast_if_small(some), "later")
+        needed = broadcast_if_small(staged(some.select("earlier").distinct()))
+        right = words.select(F.col("id").alias("earlier"), F.col("words").alias("ew")).join(needed, "earlier")
+        both = F.size(F.array_intersect("lw", "ew"))
+        return left.join(right, "earlier").where(both * (NUM + DEN) >= (F.size("lw") + F.size("ew")) * NUM).select(F.col("later").alias("id")).distinct()
+
+    first = staged(compared(near.groupBy("later").agg(F.min_by("earlier", "eo").alias("earlier"))))
+    rest = near.join(broadcast_if_small(first.withColumnRenamed("id", "later")), "later", "left_anti")
+    return first.unionByName(compared(rest)).distinct()
 
 
 def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +303,7 @@ def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 
 def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
     """(id): sets of hot words (token, id, n) that have an earlier similar set under the same word."""
+    words = staged(words.join(broadcast_if_small(staged(hot.select("id").distinct())), "id"))  # hot sets only
     members = hot.select("token", "id").join(words.select("id", "o"), "id").withColumn("slot", F.pmod(F.hash("id"), F.lit(LEADERS)))
     leaders = members.groupBy("token", "slot").agg(F.min(F.struct("o", "id")).alias("f")).select("token", "f.id")
     # Leaders of a word are at most LEADERS rows; they go to each of the word's parts.
@@ -248,45 +327,55 @@ def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
     return led.unionByName(run(grid.unionByName(against)))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, lines): for each document that loses lines, their numbers from 0."""
-    lines = staged(line_sets(docs, word_rarity(docs)).withColumn("id", F.monotonically_increasing_id()))
+def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
+    """(h0, h1, lines): for each of the distinct texts that loses lines, their numbers from 0. ``chars`` sizes the table of words."""
+    rarity = word_rarity(texts, bucket_count(chars))
+    lines = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
     repeated = staged(repeated_sets(lines))
     postings = prefix_postings(lines, repeated)
     common = postings.where(F.shiftright("token", _ID_BITS) >= int(4 * np.log2(HOT)))
     hot_tokens = staged(common.groupBy("token").count().where(F.col("count") > HOT).select("token"))
-    pairs = staged(candidate_pairs(postings.join(hot_tokens, "token", "left_anti")))
-    hot = staged(common.join(hot_tokens, "token", "left_semi").select("token", "id", F.shiftright("at", 32).alias("n")))
+    some_hot = hot_tokens.limit(1).count() > 0
+    pairs = staged(candidate_pairs(postings.join(broadcast_if_small(hot_tokens), "token", "left_anti") if some_hot else postings))
+    hot = staged(common.join(broadcast_if_small(hot_tokens), "token", "left_semi").select("token", "id", set_size(F.col("at")).alias("n")))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
-    wanted = _broadcast_if_small(staged(wanted))
-    words = staged(set_words(docs, staged(lines.select("id", _order().alias("o")).join(wanted, "id"))))
+    places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(wanted)), "id")
+    words = staged(set_words(texts, places.withColumn("o", _order())))
     later = verified_later(pairs, words)
-    if hot_tokens.limit(1).count():
+    if some_hot:
         later = later.unionByName(hot_later(hot, words)).distinct()
-    later = lines.select("id", "s0", "s1", "n").join(_broadcast_if_small(staged(later)), "id")
-    later = _broadcast_if_small(staged(later.select("s0", "s1", "n", F.lit(True).alias("later")).distinct()))
-    own = lines.select("s0", "s1", "n", "doc_id", "th", "line", _order().alias("own"))
-    hit = own.join(_broadcast_if_small(repeated), ["s0", "s1", "n"], "left").join(later, ["s0", "s1", "n"], "left")
-    gone = hit.where(F.col("later") | (F.col("o").isNotNull() & (F.col("own") != F.col("o"))))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
+    marked = lines.select("id", "s0", "s1", "skip", "doc_id", "h0", "h1", "line")
+    later = marked.join(broadcast_if_small(staged(later)), "id")
+    sets = staged(later.select("s0", "s1").distinct())
+    # A set that is a later match goes with all its lines; of other repeated sets the first line stays.
+    alike = marked.join(broadcast_if_small(sets), ["s0", "s1"]).select("h0", "h1", "line")
+    again = marked.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"]).where(_order() != F.col("o")).select("h0", "h1", "line")
+    gone = alike.unionByName(again)
+    return gone.groupBy("h0", "h1").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the later matches taken out of ``text``, and with ``n_lines`` and ``n_removed``."""
-    gone = staged(removed_lines(docs))
-    small = _broadcast_if_small(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("lines").alias("_lines")))
+    size = Observation()
+    repeated = staged(repeated_texts(docs.observe(size, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("chars"))), keep=True)
+    with scratch():
+        gone = staged(removed_lines(distinct_texts(docs, repeated), size.get["chars"]), keep=True)
+    small = broadcast_if_small(gone.select(F.col("h0").alias("_g0"), F.col("h1").alias("_g1"), F.col("lines").alias("_lines")))
+    firsts = broadcast_if_small(repeated.select(F.col("h0").alias("_r0"), F.col("h1").alias("_r1"), F.col("first").alias("_first"), F.lit(True).alias("_again")))
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
-    keyed = base.withColumn("_key", doc_key(F.col("text")))
-    joined = keyed.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    h0, h1 = text_key()
+    keyed = base.withColumns({"_h0": h0, "_h1": h1})
+    joined = keyed.join(small, (F.col("_h0") == F.col("_g0")) & (F.col("_h1") == F.col("_g1")), "left")
+    joined = joined.join(firsts, (F.col("_h0") == F.col("_r0")) & (F.col("_h1") == F.col("_r1")), "left")
     pieces = F.split("text", "\n", -1)
+    copy = F.coalesce(F.col("_again") & ~F.col("doc_id").eqNullSafe(F.col("_first")), F.lit(False))
     kept = F.filter(pieces, lambda x, i: ~F.array_contains("_lines", i))
-    return joined.withColumns(
-        {
-            "n_lines": F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
-    ).drop("_key", "_id", "_th", "_lines")
+    bare = F.filter(pieces, lambda x: ~x.rlike(_HAS_WORD))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    removed = F.when(copy, F.coalesce(F.size(pieces) - F.size(bare), F.lit(0))).when(F.col("_lines").isNotNull(), F.size("_lines")).otherwise(0)
+    text = F.when(copy, F.array_join(bare, "\n")).when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    made = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("text").isNull(), 0).otherwise(removed).cast("long"), "text": text})
+    return made.drop("_h0", "_h1", "_g0", "_g1", "_lines", "_r0", "_r1", "_first", "_again")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

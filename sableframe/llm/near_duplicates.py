@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sableframe.llm.components import components
 from sableframe.llm.set_overlap import Postings, Unions, groups
-from sableframe.llm.staging import broadcast_if_small, staged
+from sableframe.llm.staging import broadcast_if_small, scratch, staged
 from sableframe.llm.tables import table
 from sableframe.llm.text_kernels import WordHashes, lean, shingles, split_words
 
@@ -251,11 +251,12 @@ def jaccard_join(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[
     ``n_links`` is the number of other rows with a Jaccard of at least num/den; ``class_node`` names the
     class; ``class_id`` is its least doc_id.
     """
-    signed, nodes, sets, labels = classified(docs, num, den, block_shingles)
-    counted = linked(nodes, sets, labels, num, den, block_shingles)
-    info = _classes(nodes, labels).join(counted, "node", "left")
-    info = info.select("node", "class_node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node").join(info, "node")
+    with scratch():
+        signed, nodes, sets, labels = classified(docs, num, den, block_shingles)
+        counted = linked(nodes, sets, labels, num, den, block_shingles)
+        info = _classes(nodes, labels).join(counted, "node", "left")
+        info = info.select("node", "class_node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        return staged(signed.select("doc_id", "node").join(info, "node"), keep=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -263,10 +264,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that are equal in doc_id and text are one document, of which one row stays.
     """
-    signed, nodes, _, labels = classified(docs, *THRESHOLD, BLOCK_SHINGLES)
-    joined = signed.select("doc_id", "node").join(_classes(nodes, labels), "node")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    firsts = joined.groupBy("class_node").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.node").alias("_node"))
+    with scratch():
+        signed, nodes, _, labels = classified(docs, *THRESHOLD, BLOCK_SHINGLES)
+        joined = signed.select("doc_id", "node").join(_classes(nodes, labels), "node")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+        firsts = joined.groupBy("class_node").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.node").alias("_node"))
+        firsts = staged(firsts, keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), node_of(F.col("text")).alias("_node"))
     kept = rows.alias("r").join(firsts.alias("f"), (F.col("r._node") == F.col("f._node")) & F.col("r._id").eqNullSafe(F.col("f._id")), "left_semi")
     return kept.groupBy("_node", "_id").agg(F.first("_row").alias("_row")).select("_row.*")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Tables of up to this many bytes, counted on their rows, are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 40 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,20 +31,50 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    The copy survives lost executors and is computed once, however often it is read. It is removed when
-    the driver ends.
+    The copy survives lost executors and is computed once, however often it is read. The shuffle files that
+    the write needed are removed when it is done. The copy is removed at the end of the :func:`scratch`
+    block around it, unless ``keep`` is given, and at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _OPEN and not keep:
+        _OPEN[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A block at whose end the copies staged in it are removed: what it returns must be staged with ``keep``."""
+    mine: list[tuple[SparkSession, str]] = []
+    _OPEN.append(mine)
+    try:
+        yield
+    finally:
+        _OPEN.remove(mine)
+        for spark, path in mine:
+            dropped(spark, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _bytes(value: Column, kind: DataType) -> Column:
     """About how many bytes a value takes in a row."""
     if isinstance(kind, (StringType, BinaryType)):

@@ -77,6 +77,58 @@ def test_prefixes_are_shortened_to_the_recall():
     assert near_duplicates.prefix_depth(0.95) == 8
 
 
+def test_recall_of_the_tries_by_similarity():
+    """Pairs in each band of Jaccard from 0.8 on share a path of the shortened length in some trie."""
+    rng, depth = np.random.default_rng(1), near_duplicates.prefix_depth(0.8)
+    for low in (0.8, 0.84, 0.88, 0.92, 0.96):
+        hit = 0
+        for _ in range(250):
+            n = int(rng.integers(20, 300))
+            both = int(np.ceil(n * (low + 0.02 * rng.random())))
+            values = rng.integers(0, 2**63, n, np.uint64)
+            left, right = values[: both + (n - both) // 2], np.concatenate([values[:both], values[both + (n - both) // 2 :]])
+            a, b = (near_duplicates.forest_paths(np.sort(x), near_duplicates.TREES, near_duplicates.SCOUTS, depth) for x in (left, right))
+            hit += bool((a[0] == b[0]).any())
+        assert hit >= 0.99 * 250, low
+
+
+def test_full_paths_extend_the_shortened_ones():
+    x = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    short, full = near_duplicates.forest_paths(x, 24, 6, 8)
+    assert (short[:6] == full).all() and len(short) == 24
+
+
+def test_family_of_near_copies_is_one_class_whatever_the_blocks(spark):
+    base = prose(3, 400, 10**6)
+    rows = [(k, " ".join(edited(base, k, 4 + k % 5))) for k in range(150)] + [(900, " ".join(edited(base, 7, 60)))]
+    links, roots = brute_links(rows)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in near_duplicates.jaccard_join(documents(spark, rows), block_shingles=3000).collect()}
+    assert got == {i: (links[k], rows[roots[k]][0]) for k, (i, _) in enumerate(rows)}
+    assert near_duplicates.keep_one(documents(spark, rows)).count() == len(set(roots))
+
+
+def test_very_long_texts_and_lines(spark):
+    long_ = " ".join(prose(11, 60_000, 10**6))
+    rows = [(1, long_), (2, long_ + " one more"), (3, "x" * 400_000), (4, "x" * 400_000), (5, "y " * 100_000)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.jaccard_join(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert kept == {1: long_, 2: "", 3: rows[2][1], 4: "", 5: rows[4][1]}
+
+
+def test_sizes_beyond_the_joined_bits_are_compared_too(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_FULL", 31)
+    rows = line_rows()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_lines(rows)
+
+
+def test_lines_of_equal_texts_go_from_the_later_ones(spark):
+    rows = [(5, "a b\n\nc d e"), (3, "a b\n\nc d e"), (None, "a b\n\nc d e"), (9, "c d e\nf"), (3, "a b\n\nc d e")]
+    got = [(r["doc_id"], r["text"], r["n_removed"], r["n_lines"]) for r in line_dedup.dedup_lines(documents(spark, rows, extra=True)).collect()]
+    assert sorted(got, key=str) == sorted([(5, "", 2, 3), (3, rows[1][1], 0, 3), (None, "", 2, 3), (9, "f", 1, 2), (3, rows[1][1], 0, 3)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -99,7 +151,7 @@ def brute_lines(rows):
         for line in (rows[i][1] or "").split("\n"):
             w = line.split()
             s = set(w)
-            if len(w) >= line_dedup.LEAST_WORDS:
+            if len(w) >= 1:
                 again = any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
                 seen.append(s)
                 if again:
