@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm import line_dedup, mixing, near_duplicates, packing, quality_classifier
-from sableframe.llm.staging import staged
+from sableframe.llm.staging import dropped, scratch, staged
 from sableframe.llm.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = staged(stage(spark, docs, sf_dir), keep=True)
+        if last:
+            dropped(spark, last)
+        last = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)
