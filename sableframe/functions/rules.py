@@ -16,6 +16,35 @@ PATTERNS = {
     "VIN": r"\b[(A-H|J-N|P|R-Z|0-9)]{17}\b",
     "URL": r"(((?:http[s]?:\/\/.)?(?:www\.)?)|((?:ftp[s]?:\/\/.)))[-a-zA-Z0-9@%._\+~#=]{2,256}\.[a-z]{2,6}\b(?:[-a-zA-Z0-9@:%_\+.~#?&\/\/=]*)",
 }
+
+
+def _loops(pattern: str) -> str:
+    """The e-mail pattern for Java's engine, which keeps a stack frame per step of a repeated group: the same matches by possessive loops.
+
+    A run of the local part, or of a quoted one, can end in one way only, so nothing is lost by never giving it back. All
+    beginnings within a run come to the same end, so only the first is tried, or what lies next to the match before.
+    """
+    local = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
+    begins = rf"(?:(?<!{local[:-1]})(?<!{local[:-1]}\.)|\G|(?<=\G\.))"
+    label = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+    literal = r"[\x01-\x08\x0b\x0c\x0e-\x1f\x21-\x5a\x53-\x7f]"
+    escaped = r"\\[\x01-\x09\x0b\x0c\x0e-\x7f]"
+    for plain, looped in (
+        (rf"{local}(?:\.{local})*", rf"{begins}{local}+(?:\.{local}+)*+"),
+        (rf'|{escaped})*"', rf'|{escaped})*+"'),
+        (rf"(?:{label}\.)+{label}", rf"{label}(?:\.{label})++"),
+        (rf"(?:{literal}|{escaped})+", rf"{literal}+(?:(?<=\\)[\x09\x20]{literal}*)*"),
+    ):
+        if pattern.count(plain) != 1:
+            raise ValueError("the e-mail pattern has changed")
+        pattern = pattern.replace(plain, looped)
+    return pattern
+
+
+#: Patterns as Java's engine is given them, where that differs.
+JAVA = {PATTERNS["EMAIL"]: _loops(PATTERNS["EMAIL"])}
+#: What a text must hold for a rule to match at all, as a literal (the rule is skipped otherwise).
+NEEDS = {"EMAIL": "@", "IPv6": ":", "IPv4": ".", "URL": "."}
 # Labels with the word that stands for them and the kind of their suffix.
 LABELS = {
     "ORG": ("Company", "str"),

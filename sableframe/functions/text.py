@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sableframe.functions.rules import DATE_FORMS, DEFAULT_DATE_FORM, LABELS, PATTERNS
+from sableframe.functions.rules import DATE_FORMS, DEFAULT_DATE_FORM, JAVA, LABELS, PATTERNS
 
 _FROM = " ‘’“”–—·"
 _TO = " ''\"\"---"
@@ -33,7 +33,26 @@ def normalized(text: Column, composed: bool = True) -> Column:
 
 def is_link(text: Column) -> Column:
     """Whether the text begins with a URL or an e-mail address."""
-    return text.rlike(f"^(?:{PATTERNS['URL']})") | text.rlike(f"^(?:{PATTERNS['EMAIL']})")
+    return text.rlike(f"^(?:{PATTERNS['URL']})") | text.rlike(f"^(?:{JAVA[PATTERNS['EMAIL']]})")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(lengths: Column, chunk: int = 256) -> Column:
+    """The sum of all lengths before each one. Sums grow within chunks, so that long arrays are not copied for every element."""
+    step = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda s, n: F.struct((s["at"] + n).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / chunk).cast("int") - 1, F.lit(0))), lambda k: F.slice(x, k * chunk + 1, F.lit(chunk)))
+        sums = lambda p: F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda a, n: (a + n).cast("int")))
+        before = lambda p: F.aggregate(sums(p), step(F.lit(0)), add, lambda s: s["out"])
+        return let(parts, lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda c, k: F.aggregate(c, step(F.get(b, k)), add, lambda s: s["out"])))))
+
+    return let(lengths.cast("array<int>"), whole)
 
 
 def pseudonym(label: Column, n: Column) -> Column:

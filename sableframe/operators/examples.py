@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sableframe.functions.text import running
+
 
 def dedup_first(rows: DataFrame, text: str, order: str) -> DataFrame:
     """The first row of each text."""
@@ -12,11 +14,14 @@ def dedup_first(rows: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def undersample(rows: DataFrame, label: str, key: str, ratio: float = 1.5) -> DataFrame:
-    """At most round(ratio) times the smallest class from each class that exceeds the ratio; rows in the order of the md5 of their key."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_min", F.min("_n").over(Window.partitionBy()))  # one row per class
+    """At most round(ratio) times the smallest class from each class that exceeds the ratio; rows in the order of the md5 of their key.
+
+    Positions are counted in ranges of the md5 within each class, so no task orders a class. Rows without a label are left out.
+    """
+    labelled = rows.where(F.col(label).isNotNull())
+    sizes = labelled.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_min", F.min("_n").over(Window.partitionBy()))  # one row per class
     limit = sizes.select(label, F.when(F.col("_n") / F.col("_min") > ratio, F.bround(F.lit(float(ratio))).cast("long") * F.col("_min")).otherwise(F.col("_n")).alias("_limit"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string"))))
-    return rows.withColumn("_rank", rank).join(F.broadcast(limit), label).where("_rank <= _limit").drop("_rank", "_limit")
+    return numbered(labelled, key, "_at", label).drop("n_rows").join(limit, label).where("_at < _limit").drop("_at", "_limit")
 
 
 def oversample_plan(rows: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
@@ -52,6 +57,11 @@ def contained_not_in(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return inner.alias("i").join(outer.alias("o"), within, "left_anti")
 
 
+def outside(inner: Column, outer: Column) -> Column:
+    """Spans of an array that no span of another array of the same text contains."""
+    return F.filter(inner, lambda i: ~F.exists(outer, lambda o: (i["start"] >= o["start"]) & (i["end"] <= o["end"])))
+
+
 def unique_lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """Lines that no longer line, or equal earlier one, of their key contains."""
     a, b = rows.alias("a"), rows.alias("b")
@@ -59,17 +69,19 @@ def unique_lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & first & F.contains(F.col(f"b.{text}"), F.col(f"a.{text}")), "left_anti")
 
 
-def numbered(rows: DataFrame, key: str, at: str = "position") -> DataFrame:
-    """Adds the position of each row (from 0) in the order of the md5 of its key, and ``n_rows``.
+def numbered(rows: DataFrame, key: str, at: str = "position", by: str | None = None) -> DataFrame:
+    """Adds the position of each row (from 0) in the order of the md5 of its key, and ``n_rows``; within each value of ``by``, if given.
 
     Positions are counted within 4096 ranges of the md5, to which the sizes of the ranges before are added.
     """
+    group = [by] if by else []
     keyed = rows.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_range", F.substring("_md5", 1, 3))
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = sizes.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n_rows"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_md5", key)) - 1
-    return keyed.withColumn(at, within).join(F.broadcast(ranges), "_range").withColumn(at, (F.col(at) + F.col("_before")).cast("long")).drop("_md5", "_range", "_before")
+    sizes = keyed.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.select(*group, "_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("n_rows"))
+    within = F.row_number().over(Window.partitionBy(*group, "_range").orderBy("_md5", key)) - 1
+    joined = keyed.withColumn(at, within).join(ranges if by else F.broadcast(ranges), [*group, "_range"])  # at most 4096 rows without ``by``
+    return joined.withColumn(at, (F.col(at) + F.col("_before")).cast("long")).drop("_md5", "_range", "_before")
 
 
 def interleaved(rows: DataFrame, key: str, is_first: Column) -> DataFrame:
@@ -99,7 +111,7 @@ def oversampled(examples: DataFrame, label: str, ratio: float = 1.5) -> DataFram
     """Classes that are too small are replaced by made-up variants of their examples (example_id, text, annots, label); others stay as they are (variant 0)."""
     from sableframe.operators.synthetic import varied
 
-    planned = examples.join(F.broadcast(oversample_plan(examples, label, ratio).select(label, "num_aug")), label)  # one row per class
+    planned = examples.join(oversample_plan(examples, label, ratio).select(label, "num_aug"), label)
     numbers = F.when(F.col("num_aug") > 0, F.sequence(F.lit(1), F.col("num_aug").cast("int"))).otherwise(F.array(F.lit(0)))
     rows = planned.select("example_id", F.explode(numbers).alias("variant"), "text", "annots", label)
     own = F.col("variant") == 0
@@ -129,8 +141,8 @@ def dataset(examples: DataFrame, key: str = "example_id", train: float = 0.7, va
 
 def token_offsets(tokens: Column) -> Column:
     """(start, end) of tokens in their text joined by single spaces."""
-    before = lambda i: F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda n, t: n + F.length(t) + 1)
-    return F.transform(tokens, lambda t, i: F.struct(before(i).alias("start"), (before(i) + F.length(t)).alias("end")))
+    at = running(F.transform(tokens, lambda t: F.length(t) + 1))
+    return F.zip_with(tokens, at, lambda t, n: F.struct(n.alias("start"), (n + F.length(t)).alias("end")))
 
 
 def bio_examples(rows: DataFrame, names: list[str], outside: int = 4) -> DataFrame:

@@ -14,11 +14,10 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Lines lie PITCH apart on pages of PAGE_LINES; after a line that ends in a full stop the next lies BREAK lower.
     """
     rows = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text"))
-    w = Window.partitionBy(key).orderBy("line")
     page = F.floor(F.col("line") / PAGE_LINES).cast("int")
     stops = F.sum(F.when(F.col("line_text").endswith("."), 1).otherwise(0)).over(Window.partitionBy(key, "page").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("page", page).withColumn("y0", (PITCH * (F.col("line") % PAGE_LINES) + BREAK * F.coalesce(stops, F.lit(0))).cast("double"))
-    return placed.withColumn("y1", F.col("y0") + HEIGHT).withColumn("_w", F.row_number().over(w)).drop("_w")
+    return placed.withColumn("y1", F.col("y0") + HEIGHT)
 
 
 def paragraphs(rows: DataFrame, key: str = "doc_id", gap: float = GAP) -> DataFrame:
@@ -40,10 +39,14 @@ def paragraph_texts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def entity_lines(ents: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Entities of paragraphs with the line that contains them, by equal keys and a range within."""
-    inside = (F.col("e.start") >= F.col("l.line_start")) & (F.col("e.end") <= F.col("l.line_end"))
+    """Entities of paragraphs with each line that they share characters with, and their part of it.
+
+    An entity that runs over a line's end has a row for every line it touches, so none of it stays when lines are redacted.
+    """
+    touch = (F.col("e.start") < F.col("l.line_end")) & (F.col("l.line_start") < F.col("e.end"))
     same = (F.col(f"e.{key}") == F.col(f"l.{key}")) & (F.col("e.paragraph") == F.col("l.paragraph"))
-    return ents.alias("e").join(rows.alias("l"), same & inside).select("e.*", "l.line", "l.page", (F.col("e.start") - F.col("l.line_start")).alias("in_line_start"), (F.col("e.end") - F.col("l.line_start")).alias("in_line_end"))
+    first, last = F.greatest("e.start", "l.line_start"), F.least("e.end", "l.line_end")
+    return ents.alias("e").join(rows.alias("l"), same & touch).select("e.*", "l.line", "l.page", (first - F.col("l.line_start")).alias("in_line_start"), (last - F.col("l.line_start")).alias("in_line_end"))
 
 
 def neighbour_lines(hit: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sableframe.functions.rules import OTHER_WIDTH, WIDTHS
+from sableframe.functions.text import let, running
 from sableframe.operators.geometry import box
 from sableframe.operators.spans import matches
 
@@ -13,12 +14,20 @@ MARK, MARK_WIDTH, RUN_GAP, FLAT, MARGIN = "x", 500, 3, 0.01, 0.2
 
 
 def text_width(text: Column) -> Column:
-    """Width of a text in thousandths of its size: for each width, the characters that have it."""
-    of = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    out = F.length(text).cast("long") * OTHER_WIDTH
-    for width, chars in WIDTHS.items():
-        out = out + of(chars) * (width - OTHER_WIDTH)
-    return out
+    """Width of a text in thousandths of its size: every character is mapped to the letter of its width, and letters are counted."""
+    letters = {w: chr(0xE000 + k) for k, w in enumerate(WIDTHS)}  # private characters, which count as others themselves
+    private = "".join(letters.values())
+    source = "".join(WIDTHS.values())
+    target = "".join(letters[w] * len(chars) for w, chars in WIDTHS.items())
+    classes = F.regexp_replace(F.translate(F.translate(text, private, ""), source, target), f"[^{private}]+", "")
+
+    def width(c: Column) -> Column:
+        counted = F.length(text).cast("long") * OTHER_WIDTH
+        for w, letter in letters.items():
+            counted = counted + F.regexp_count(c, F.lit(letter)) * (w - OTHER_WIDTH)
+        return counted
+
+    return let(classes, width)
 
 
 def mark_for(old: Column, mark: str = MARK) -> Column:
@@ -100,9 +109,7 @@ def tight_rect(rect: Column, origin_y: Column, size: Column, ascender: Column, d
 
 def span_offsets(texts: Column) -> Column:
     """Offsets of a line's spans in its text: (text, start, end)."""
-    end = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))
-    step = lambda s, t: F.concat(s, F.array(F.struct(t.alias("text"), end(s).alias("start"), (end(s) + F.length(t)).alias("end"))))
-    return F.aggregate(texts, F.array().cast("array<struct<text:string,start:int,end:int>>"), step)
+    return F.zip_with(texts, running(F.transform(texts, lambda t: F.length(t))), lambda t, at: F.struct(t.alias("text"), at.alias("start"), (at + F.length(t)).alias("end")))
 
 
 def line_box(boxes: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sableframe.functions.text import cosine
+from sableframe.functions.text import cosine, pseudonym
 
 THRESHOLD, MOST_CANDIDATES = 0.95, 10_000
 
@@ -84,3 +84,20 @@ def canonical_names(ents: DataFrame, key: str = "doc_id", threshold: float = THR
 
     kinds = {c: ents.schema[c].dataType.simpleString() for c in (key, "start")}
     return ents.select(key, "start", "ent", "vector", "partners").groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, start {kinds['start']}, ent string, canonical string")
+
+
+def organisation_pseudonyms(ents: DataFrame, relations: DataFrame, stops: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, start, ent, canonical, ordinal, new_val): the stand-ins of organisations, where names that mean the same share one.
+
+    ``ents`` (key, start, ent, vector), ``relations`` (key, long, short) and ``stops`` (cand_id, cand_vector), a short list of names that are no organisation
+    of a document: what is as like to one of them as ``threshold`` is left out. A name takes the form of the first earlier name that is like it, or like a
+    name it is related to; forms are numbered in the order in which they first occur.
+    """
+    kept = top_candidate(ents.select(key, "start", "ent", "vector"), stops, "vector", threshold).where("best_id IS NULL").drop("best_id", "score")
+    both = relations.select(key, F.col("long").alias("ent"), F.col("short").alias("other")).unionByName(relations.select(key, F.col("short").alias("ent"), F.col("long").alias("other")))
+    known = kept.groupBy(key, F.col("ent").alias("other")).agg(F.min_by("vector", "start").alias("_v"))
+    partners = both.distinct().join(known, [key, "other"]).groupBy(key, "ent").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "_v"))), lambda p: p["_v"]).alias("partners"))
+    named = canonical_names(kept.join(partners, [key, "ent"], "left"), key, threshold)
+    first = named.groupBy(key, "canonical").agg(F.min("start").alias("_first"))
+    order = first.withColumn("ordinal", (F.row_number().over(Window.partitionBy(key).orderBy("_first", "canonical")) - 1).cast("int"))
+    return named.join(order.drop("_first"), [key, "canonical"]).withColumn("new_val", pseudonym(F.lit("ORG"), F.col("ordinal"))).select(key, "start", "ent", "canonical", "ordinal", "new_val")

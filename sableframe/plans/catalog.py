@@ -24,6 +24,27 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: Texts for rules that the given tables have no match of, and for entities that run over a line's end.
+CASES = (
+    (-1, "fe80::1 and ::1, 1:2:3:4:5:6:7:8 or 2001:db8::ff00:42:8329 but not 12:34"),
+    (-2, "123-45-6789"), (-3, "000-45-6789"), (-4, "666-45-6789"), (-5, "123-00-6789"), (-6, "123-45-0000"), (-7, "912-45-6789"), (-8, "x 123-45-6789"),
+    (-9, "VIN 1HGCM82633A004352 and 1HGCM82633A0043521, JH4KA8260MC000000."),
+    (-10, "on 1/2/2020, 31/12/1999 and 2020-01-02; 11/22/33333"),
+    (-11, "see https://www.a-b.org/x?y=1, ftp://f.example.net or mail bob.x@mail.example.com"),
+    (-12, "call 555\n1234567 today\nor +48 123\n456 7890\nor (02) 9999 1234"),
+    (-13, "host 10.0.0.1\nand 10.1.2.3 with 0400\n123456"),
+)
+
+
+def _docs_and_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(list(CASES), "doc_id long, text string"))
+
+
+def _with_cases(sql: str) -> str:
+    rows = ", ".join(f"({k}, {_q(t)})" for k, t in CASES)
+    return sql.replace("FROM documents", f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM (VALUES {rows}) v(doc_id, text)) documents")
+
+
 # Detection
 
 DATE_RULE = r"\d{1,2}/\d{1,2}/\d{4}"
@@ -34,13 +55,15 @@ def _entities(spark: SparkSession, sf: str, table: str = "documents", key: str =
 
 
 def detect_one(spark: SparkSession, sf: str, label: str, pattern: str) -> DataFrame:
-    """All matches of one rule with their offsets."""
-    found = _docs(spark, sf).withColumn("spans", spans.matches(F.coalesce("text", F.lit("")), pattern, label, 0))
+    """All matches of one rule with their offsets, in the documents and in the cases."""
+    found = _docs_and_cases(spark, sf).withColumn("spans", spans.matches(F.coalesce("text", F.lit("")), pattern, label, 0))
     return spans.entities(found).select("doc_id", "label", "start", "end", "ent")
 
 
 def _matches_sql(label: str, pattern: str, rank: int = 0, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     p = _q(pattern)
+    if pattern == _SSN_SQL:
+        table = f"(SELECT * FROM {table} WHERE NOT regexp_matches({text}, '{_NO_SSN}'))"
     return f"""
     SELECT {key}, {_q(label)} AS label, {rank} AS rank,
       (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INT AS start, m[i] AS ent
@@ -49,11 +72,11 @@ def _matches_sql(label: str, pattern: str, rank: int = 0, table: str = "document
 
 
 def _detect_sql(label: str, pattern: str) -> str:
-    return f'SELECT doc_id, label, start, start + length(ent)::INT AS "end", ent FROM ({_matches_sql(label, pattern)})'
+    return _with_cases(f'SELECT doc_id, label, start, start + length(ent)::INT AS "end", ent FROM ({_matches_sql(label, pattern)})')
 
 
-#: SSN without lookaheads, which the other engine lacks; the excluded groups are tested apart.
-_SSN_SQL = r"^[0-8]\d{2}-\d{2}-\d{4}$"
+#: SSN without lookaheads, which the other engine lacks, and what they exclude.
+_SSN_SQL, _NO_SSN = r"^[0-8]\d{2}-\d{2}-\d{4}$", "^000|^666|-00-|-0000$"
 
 
 def _all_sql(**names) -> str:
@@ -70,8 +93,10 @@ def page_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_entities(spark: SparkSession, sf: str) -> DataFrame:
-    turns = _table(spark, sf, "conversations")
-    return spans.detect(turns).select("role", F.explode("spans").alias("s")).groupBy("role", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
+    """Matches in conversations, and in the cases as turns of their own role."""
+    turns = _table(spark, sf, "conversations").select("role", "text")
+    cases = spark.createDataFrame(list(CASES), "doc_id long, text string").select(F.lit("case").alias("role"), "text")
+    return spans.detect(turns.unionByName(cases)).select("role", F.explode("spans").alias("s")).groupBy("role", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,12 +194,11 @@ _PARAGRAPHS_SQL = f"""
       FROM p WINDOW q AS (PARTITION BY doc_id, paragraph ORDER BY page, y1, line))"""
 
 
-def _paragraph_entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = _paragraphs(spark, sf)
-    texts = layout.paragraph_texts(rows)
-    found = spans.matches(F.col("paragraph_text"), PATTERNS["IPv4"], "IPv4", 0)
-    ents = texts.select("doc_id", "paragraph", F.explode(found).alias("s")).select("doc_id", "paragraph", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    return ents, rows
+def _paragraph_entities(spark: SparkSession, sf: str, labels: tuple[str, ...] = ("IPv4", "PHONE")) -> tuple[DataFrame, DataFrame]:
+    """Matches of some rules in the paragraphs of the documents and cases, and the lines."""
+    rows = layout.paragraphs(layout.lines(_docs_and_cases(spark, sf)))
+    found = spans.detect(layout.paragraph_texts(rows), "paragraph_text", only=labels)
+    return found.select("doc_id", "paragraph", F.explode("spans").alias("s")).select("doc_id", "paragraph", F.col("s.start").alias("start"), F.col("s.end").alias("end")), rows
 
 
 def _all_paragraph_entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -212,11 +236,16 @@ def neighbour_lines(spark: SparkSession, sf: str) -> DataFrame:
     return layout.neighbour_lines(marked, rows).select("doc_id", "paragraph", "line")
 
 
-_HITS_SQL = f"""{_PARAGRAPHS_SQL},
+def _hits_sql(*labels: str) -> str:
+    found = " UNION ALL ".join(f"SELECT k.doc_id, k.paragraph, m.start, (m.start + length(m.ent))::INT AS stop FROM ({_matches_sql(x, PATTERNS[x], 0, 'k', 'k')}) m JOIN k ON m.k = k.k" for x in labels)
+    return f"""{_with_cases(_PARAGRAPHS_SQL)},
     t AS (SELECT doc_id, paragraph, string_agg(line_text, ' ' ORDER BY paragraph_line) AS text FROM o GROUP BY ALL),
     k AS (SELECT doc_id || ':' || paragraph AS k, doc_id, paragraph, text FROM t),
-    e AS (SELECT k.doc_id, k.paragraph, m.start, (m.start + length(m.ent))::INT AS "end" FROM ({_matches_sql('IPv4', PATTERNS['IPv4'], 0, 'k', 'k')}) m JOIN k ON m.k = k.k),
-    h AS (SELECT e.*, o.line, o.paragraph_line, o.line_start FROM e JOIN o ON e.doc_id = o.doc_id AND e.paragraph = o.paragraph AND e.start >= o.line_start AND e."end" <= o.line_start + length(o.line_text))"""
+    e AS ({found}),
+    h AS (SELECT e.doc_id, e.paragraph, e.start, e.stop AS "end", o.line, o.paragraph_line, o.line_start,
+        (greatest(e.start, o.line_start) - o.line_start)::INT AS a, (least(e.stop, o.line_start + length(o.line_text)) - o.line_start)::INT AS b
+      FROM e JOIN o ON e.doc_id = o.doc_id AND e.paragraph = o.paragraph AND e.start < o.line_start + length(o.line_text) AND o.line_start < e.stop)"""
+
 
 # Similarity and examples
 
@@ -276,9 +305,10 @@ def unique_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_outside_email(spark: SparkSession, sf: str) -> DataFrame:
-    """URL matches that no e-mail match contains."""
-    e = _entities(spark, sf)
-    return examples.contained_not_in(e.where("label = 'URL'"), e.where("label = 'EMAIL'"), "doc_id").select("doc_id", "start", "end", "ent")
+    """URL matches that no e-mail match contains: two rules in one scan, compared within the row."""
+    of = lambda label: F.filter("spans", lambda s: s["label"] == label)
+    found = spans.detect(_docs(spark, sf), only=("URL", "EMAIL")).withColumn("spans", examples.outside(of("URL"), of("EMAIL")))
+    return spans.entities(found).select("doc_id", "start", "end", "ent")
 
 
 # Geometry: a line's box is as wide as its text
@@ -350,7 +380,7 @@ def oracle_sql() -> dict:
         "entity_counts_by_lang": f"SELECT lang, label, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n_entities FROM ({_ALIGNED_SQL}) a JOIN documents USING (doc_id) GROUP BY ALL",
         "entity_counts_by_source": f"SELECT source, label, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n_entities FROM ({_ALIGNED_SQL}) a JOIN documents USING (doc_id) GROUP BY ALL",
         "page_entities": f"SELECT label, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM ({_all_sql(table='pages', key='page_id', text='html')}) GROUP BY label",
-        "conversation_entities": f"SELECT role, label, count(*) AS n FROM ({_all_sql(table='conversations', key='role')}) GROUP BY ALL",
+        "conversation_entities": f"SELECT role, label, count(*) AS n FROM ({_all_sql(table='(SELECT role, text FROM conversations UNION ALL SELECT ' + _q('case') + ', text FROM (VALUES ' + ', '.join(f'({_q(t)})' for _, t in CASES) + ') v(text))', key='role')}) GROUP BY ALL",
         "pseudonyms": _pseudonyms_sql(),
         "pseudonym_suffixes": """SELECT n::INT AS n, '"Company ' || repeat('A', round_even(n / 26.0, 0)::INT) || chr((65 + n % 26)::INT) || '"' AS org, '"IPv4 Address ' || (n + 1) || '"' AS ip FROM range(200) r(n)""",
         "normalize_text": f"SELECT doc_id, trim(regexp_replace({plain}, '{blank}', ' ', 'g'), ' ') AS normalized FROM documents",
@@ -359,8 +389,8 @@ def oracle_sql() -> dict:
         "lines": f"SELECT doc_id, line, page, y0, y0 + {layout.HEIGHT} AS y1, length(line_text)::INT AS n FROM ({_LINES_SQL})",
         "paragraphs": f"{_PARAGRAPHS_SQL} SELECT doc_id, line, paragraph, paragraph_line, line_start, (line_start + length(line_text))::INT AS line_end FROM o",
         "paragraph_text": f"{_PARAGRAPHS_SQL} SELECT doc_id, paragraph, string_agg(line_text, ' ' ORDER BY paragraph_line) AS paragraph_text, count(*) AS n_lines FROM o GROUP BY ALL",
-        "entity_line_map": f'{_HITS_SQL} SELECT doc_id, paragraph, start, "end", line, start - line_start AS in_line_start, "end" - line_start AS in_line_end FROM h',
-        "neighbour_lines": f"{_HITS_SQL} SELECT DISTINCT o.doc_id, o.paragraph, o.line FROM o JOIN h ON o.doc_id = h.doc_id AND o.paragraph = h.paragraph AND abs(o.paragraph_line - h.paragraph_line) <= 1",
+        "entity_line_map": f'{_hits_sql("IPv4", "PHONE")} SELECT doc_id, paragraph, start, "end", line, a AS in_line_start, b AS in_line_end FROM h',
+        "neighbour_lines": f"{_hits_sql('IPv4', 'PHONE')} SELECT DISTINCT o.doc_id, o.paragraph, o.line FROM o JOIN h ON o.doc_id = h.doc_id AND o.paragraph = h.paragraph AND abs(o.paragraph_line - h.paragraph_line) <= 1",
         "cosine_top1": f"""
             WITH c AS (SELECT min(vec_id) AS cand_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
             s AS (SELECT vec_id, cand_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, c),

@@ -185,6 +185,19 @@ def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.canonical_names(rows)
 
 
+def _named_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors as names of documents of 100, relations between each tenth and the next, and the last vectors of documents 0 to 9 as stop names."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / 100).cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    ents = e.select("doc_id", F.col("vec_id").alias("start"), F.concat(F.lit("v"), "vec_id").alias("ent"), "vector")
+    near = e.where("vec_id % 10 = 0").select("doc_id", F.concat(F.lit("v"), "vec_id").alias("long"), F.concat(F.lit("v"), F.col("vec_id") + 1).alias("short"))
+    return ents, near, e.where("vec_id % 100 = 99 AND vec_id < 1000").select(F.col("vec_id").alias("cand_id"), F.col("vector").alias("cand_vector"))
+
+
+def organisation_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-ins of names, with those that mean the same under one."""
+    return similarity.organisation_pseudonyms(*_named_vectors(spark, sf))
+
+
 _NAMED = (("HTML", "ORG"), ("Acme", "ORG"), ("10.0.0.1", "IPv4"), ("1/2/2020", "DATE"), ("SMTP", "PERSON"), ("IANA", "ORG"))
 
 
@@ -229,8 +242,8 @@ def _redacted(ents: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with addresses of machines, redacted, and their neighbours as they are."""
-    return _redacted(*base._paragraph_entities(spark, sf)).select("doc_id", "line", "is_redacted", "redacted_text")
+    """Lines with phone numbers, those that run over a line's end too, redacted, and their neighbours as they are."""
+    return _redacted(*base._paragraph_entities(spark, sf, ("PHONE",))).select("doc_id", "line", "is_redacted", "redacted_text")
 
 
 def all_redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,8 +251,8 @@ def all_redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _redacted(*base._all_paragraph_entities(spark, sf)).select("doc_id", "line", "is_redacted", "redacted_text")
 
 
-_REDACTED_SQL = f"""{base._HITS_SQL},
-    s AS (SELECT h.doc_id, h.line, h.start - h.line_start AS s, h."end" - h.line_start AS e, o.line_text FROM h JOIN o ON h.doc_id = o.doc_id AND h.line = o.line),
+_REDACTED_SQL = f"""{base._hits_sql("PHONE")},
+    s AS (SELECT h.doc_id, h.line, h.a AS s, h.b AS e, o.line_text FROM h JOIN o ON h.doc_id = o.doc_id AND h.line = o.line),
     b AS (SELECT *, substr(line_text, s + 1, e - s) AS old, coalesce(lag(e) OVER (PARTITION BY doc_id, line ORDER BY s), 0) AS pe FROM s),
     r AS (SELECT doc_id, line, string_agg(substr(line_text, pe + 1, s - pe) || repeat('x', greatest(least(length(old), ({_width_sql('old')} - 1) // {redaction.MARK_WIDTH}), 0)), '' ORDER BY s)
       || substr(any_value(line_text), max(e) + 1) AS redacted FROM b GROUP BY doc_id, line)
@@ -318,7 +331,7 @@ def queries() -> dict:
     """Queries by name; each takes (spark, sf_dir)."""
     found = (
         sentences, keyword_sentences, placeholder_text, placeholder_values, placeholder_positions, made_up_variants, made_up_values, address_parts, sentence_examples, interleaved_examples, dataset_parts,
-        balanced_examples, token_offsets, bio_examples, expanded_spans, unknown_tokens, entity_boundaries, fuzzy_boundaries, font_matches, canonical_names, processed_entities, accepted_readings, kept_rephrasings,
+        balanced_examples, token_offsets, bio_examples, expanded_spans, unknown_tokens, entity_boundaries, fuzzy_boundaries, font_matches, canonical_names, organisation_pseudonyms, processed_entities, accepted_readings, kept_rephrasings,
         text_widths, redacted_lines, all_redacted_lines, merged_runs, line_occurrences, redaction_rects, draw_commands, entity_draw_commands, black_or_white, span_offsets, text_lines, path_boxes,
     )
     return {f.__name__: f for f in found}
