@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sableframe.llm.staging import staged
+from sableframe.llm.staging import broadcast_if_small, staged
 from sableframe.llm.tables import key, table
 from sableframe.llm.text_kernels import has_word, lean, split_words
 
@@ -184,7 +184,7 @@ def _moments(at: DataFrame) -> DataFrame:
 
 def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step over all rows."""
-    at = rows.join(params, "_group").withColumn("d2", distance())
+    at = rows.join(broadcast_if_small(params), "_group").withColumn("d2", distance())
     b = F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E).cast("int")
     binned = at.withColumn("bin", F.least(F.greatest(b, F.lit(LOW_BIN)), F.lit(HIGH_BIN)))
     return _moments(binned).groupBy("_group").applyInPandas(lambda m: estimate(m, SUPPORT), _PARAMS)
@@ -192,7 +192,7 @@ def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def reweighted(rows: DataFrame, params: DataFrame) -> DataFrame:
     """The estimate from all rows at usual distances."""
-    at = rows.join(params, "_group").where(distance() <= chi_square_quantile(USUAL)).withColumn("bin", F.lit(0))
+    at = rows.join(broadcast_if_small(params), "_group").where(distance() <= chi_square_quantile(USUAL)).withColumn("bin", F.lit(0))
     return _moments(at).groupBy("_group").applyInPandas(lambda m: estimate(m, 1.0, USUAL), _PARAMS)
 
 
@@ -200,12 +200,12 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
     """The measured documents with ``distance2`` and ``kept``."""
     rows = staged(fit_groups(staged(measured(docs))).withColumn("x", transformed()))
     fitted = rows.where(~F.col("base_failed")).select("_group", "x")
-    params = first_estimates(fitted)
+    params = staged(first_estimates(fitted))  # a row per group
     for _ in range(STEPS):
-        params = concentrate(fitted, params)
-    params = reweighted(fitted, params)
+        params = staged(concentrate(fitted, params))
+    params = staged(reweighted(fitted, params))
     d2 = F.when(F.col("base_failed"), F.lit(None)).otherwise(distance())
-    judged = rows.join(params, "_group", "left").withColumn("distance2", F.round(d2, 3))
+    judged = rows.join(broadcast_if_small(params), "_group", "left").withColumn("distance2", F.round(d2, 3))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))).drop("x", "mean", "precision", "centre")
 
 
