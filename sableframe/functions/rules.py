@@ -93,6 +93,18 @@ WIDTHS = {
     667: "&ABEKPSVXY", 722: "CDHNRUw", 778: "GOQ", 833: "Mm", 889: "%", 944: "W", 1015: "@",
 }
 OTHER_WIDTH = 556
+#: A date; the ruler takes every token that holds one.
+DATE_RULE = r"\d{1,2}/\d{1,2}/\d{4}"
+#: A run of characters that is one token for the date ruler.
+DATE_TOKEN = r"[\p{L}\p{N}_/-]+"
+#: Stand-ins for a model of named entities: titles before names, forms of companies and kinds of streets after them.
+NAME_RULES = {
+    "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?",
+    "ORG": r"\b(?:[A-Z][a-z]+ ){1,4}(?:Ltd|Inc|Corp|LLC|GmbH|Company|University|Bank)\b",
+    "LOC": r"\b[A-Z][a-z]+ (?:Street|Road|Lane|Avenue|Square)\b",
+}
+#: A stand-in for a model of acronyms: words with capitals before their short form in parentheses.
+ACRONYM_RULE = r"\b(?:[A-Z][a-z]+ ){1,6}\([A-Z]{2,10}\)"
 #: A social security number anywhere in a text; the rule above only takes a whole text.
 SSN_INLINE = r"\b[0-8]\d{2}-\d{2}-\d{4}\b"
 

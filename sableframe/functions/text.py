@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from sableframe.functions.rules import DATE_FORMS, DEFAULT_DATE_FORM, JAVA, LABELS, PATTERNS
 
-_FROM = " ‘’“”–—·"
-_TO = " ''\"\"---"
-_DROPPED = "​‎‏﻿"
+FROM = " ‘’“”–—·"
+TO = " ''\"\"---"
+DROPPED = "​‎‏﻿"
+PLAIN = dict(zip(FROM, TO, strict=True))
 _BLANKS = r"[\s\x1c-\x1f]+"
 
 
@@ -27,7 +28,7 @@ def nfc(text: Column) -> Column:
 def normalized(text: Column, composed: bool = True) -> Column:
     """Composed text with plain quotes, dashes and spaces, no invisible marks, and single blanks."""
     base = nfc(text) if composed else text
-    plain = F.translate(F.replace(base, F.lit("…"), F.lit("...")), _FROM + _DROPPED, _TO)
+    plain = F.translate(F.replace(base, F.lit("…"), F.lit("...")), FROM + DROPPED, TO)
     return F.trim(F.regexp_replace(plain, "(?U)" + _BLANKS, " "))
 
 

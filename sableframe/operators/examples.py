@@ -46,6 +46,18 @@ def class_groups(examples: DataFrame) -> DataFrame:
     return examples.select("example_id", F.explode(F.array_distinct(F.transform("annots", lambda a: a["label"]))).alias("label"))
 
 
+def groups_by_size(rows: DataFrame, label: str, order: str, descending: bool = True) -> DataFrame:
+    """(label, n, first, place): classes in the order of their size, equal ones in the order in which they first occur. One row per class is ordered."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    size = F.desc("n") if descending else F.asc("n")
+    return sizes.withColumn("place", (F.row_number().over(Window.partitionBy().orderBy(size, "first", label)) - 1).cast("int"))
+
+
+def dataset_counts(parts: DataFrame, positive: Column) -> DataFrame:
+    """(part, n_positive, n_negative): how many examples of each kind the parts of a dataset have."""
+    return parts.withColumn("_yes", F.coalesce(positive, F.lit(False))).groupBy("part").agg(F.count_if("_yes").alias("n_positive"), F.count_if(~F.col("_yes")).alias("n_negative"))
+
+
 def single_entity() -> Column:
     """Whether an example has exactly one distinct label."""
     return F.size(F.array_distinct(F.transform("annots", lambda a: a["label"]))) == 1

@@ -38,6 +38,23 @@ def path_box(points: Column) -> Column:
     return F.when(F.size(points) > 0, box(lows[0], lows[1], F.greatest(highs[0], F.lit(0.0)), F.greatest(highs[1], F.lit(0.0))))
 
 
+def operation_box(op: Column, points: Column) -> Column:
+    """What a path operation adds to its drawing's bounds: all points of a line (``l``); of a curve (``c``, four points) all heights, from the left of its
+    first point to the right of its last two. Null for other operations and without points."""
+    side = lambda c, f: f(F.transform(points, lambda p: p[c]))
+    x = lambda i: F.get(points, i)["x"]
+    line = box(side("x", F.array_min), side("y", F.array_min), side("x", F.array_max), side("y", F.array_max))
+    curve = box(x(0), side("y", F.array_min), F.greatest(x(2), x(3)), side("y", F.array_max))
+    return F.when((op == "l") & (F.size(points) > 0), line).when((op == "c") & (F.size(points) == 4), curve)
+
+
+def drawing_boxes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds of drawings from their operations (keys, op, points); maxima start from 0. A drawing without lines and curves has no row."""
+    boxed = rows.withColumn("_box", operation_box(F.col("op"), F.col("points"))).where("_box IS NOT NULL")
+    at = enclosing(boxed, keys, "_box")
+    return at.withColumns({c: F.greatest(c, F.lit(0.0)) for c in ("x1", "y1")})
+
+
 def merge_overlapping(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per group, rectangles in order: each takes in the later ones that overlap what it has become, once through.
 

@@ -32,6 +32,13 @@ def paragraphs(rows: DataFrame, key: str = "doc_id", gap: float = GAP) -> DataFr
     return at.withColumn("line_end", F.col("line_start") + F.length("line_text")).drop("_new")
 
 
+def by_text(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``first_line`` and ``n_equal`` of the lines of a page with the same text, and ``position``: lines at the same height are ordered by the first line of their text."""
+    same = Window.partitionBy(key, "page", "line_text")
+    known = rows.withColumns({"first_line": F.min("line").over(same), "n_equal": F.count("*").over(same)})
+    return known.withColumn("position", F.row_number().over(Window.partitionBy(key, "page").orderBy("y1", "first_line", "line")) - 1)
+
+
 def paragraph_texts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per paragraph: its lines joined by a space."""
     said = F.array_sort(F.collect_list(F.struct("paragraph_line", "line_text")))

@@ -15,13 +15,17 @@ THRESHOLD, MOST_CANDIDATES = 0.95, 10_000
 def top_candidate(rows: DataFrame, candidates: DataFrame, vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """Each row's best candidate (cand_id, cand_vector) with a cosine strictly above the threshold; of equals the least id.
 
+    Candidates may have a second vector, ``cand_other`` (a long and its short form; null: none): the better of the two counts.
     Candidates are a short list (stop names, a document's known names): their number is checked, and a longer
     list is an error rather than a broadcast of unknown size.
     """
     if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
         raise ValueError("too many candidates for a comparison with every row")
-    listed = F.broadcast(candidates.agg(F.array_sort(F.collect_list(F.struct("cand_id", "cand_vector"))).alias("_all")))
-    scored = F.transform("_all", lambda c: F.struct(cosine(F.col(vector), c["cand_vector"]).alias("score"), (-c["cand_id"]).alias("neg")))
+    pairs = "cand_other" in candidates.columns
+    listed = F.broadcast(candidates.agg(F.array_sort(F.collect_list(F.struct("cand_id", "cand_vector", *["cand_other"] * pairs))).alias("_all")))
+    like = lambda c: cosine(F.col(vector), c["cand_vector"])
+    best_like = (lambda c: F.greatest(like(c), cosine(F.col(vector), c["cand_other"]))) if pairs else like
+    scored = F.transform("_all", lambda c: F.struct(best_like(c).alias("score"), (-c["cand_id"]).alias("neg")))
     best = rows.crossJoin(listed).withColumn("_best", F.array_max(scored))
     return best.select(*rows.columns, F.when(F.col("_best.score") > threshold, -F.col("_best.neg")).alias("best_id"), F.round("_best.score", 6).alias("score"))
 

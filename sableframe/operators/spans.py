@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sableframe.functions.rules import JAVA, LABELS, NEEDS, PATTERNS, RuleBook
+from sableframe.functions.rules import ACRONYM_RULE, DATE_RULE, DATE_TOKEN, JAVA, LABELS, NAME_RULES, NEEDS, PATTERNS, RuleBook
 from sableframe.functions.text import let, pseudonym, running
 
 SPAN = "array<struct<rank:int,label:string,start:int,end:int>>"
@@ -37,6 +37,33 @@ def detect(docs: DataFrame, text: str = "text", book: RuleBook | None = None, on
     return docs.withColumn("spans", F.concat(*[matches(source, r.pattern, r.label, r.rank) for r in rules]))
 
 
+def date_tokens(text: Column, rank: int = 0) -> Column:
+    """Tokens (runs of letters, digits, ``_``, ``/`` and ``-``) that hold a date, as DATE. Texts without a date are not cut into tokens."""
+    holds = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike(DATE_RULE)
+    found = F.filter(matches(text, f"{DATE_TOKEN}+", "DATE", rank), holds)  # the second + makes the run possessive
+    return F.when(text.rlike(DATE_RULE), found).otherwise(F.array().cast(SPAN))
+
+
+def named(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``spans``: persons, organisations and places by rules, a stand-in where no model is given to the seam of named entities."""
+    return detect(docs, text, RuleBook(NAME_RULES))
+
+
+def acronym_tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Tagged words (key, ord, tag, text, tok_start, tok_end, sent) of long forms with their short form in parentheses, as a model of acronyms gives them.
+
+    A stand-in by a rule. The n-th match of a text is its n-th sentence, and its words are counted from 1000 n.
+    """
+    source = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, source.alias("_t"), F.posexplode(matches(source, ACRONYM_RULE, "", 0)).alias("sent", "s"))
+    words = F.regexp_extract_all(F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), F.lit("[A-Za-z]+"), F.lit(0))
+    cut = rows.withColumn("_n", F.size(words)).select(key, "sent", "_n", F.posexplode(words).alias("_i", "text"))
+    short, at = F.col("_i") == F.col("_n") - 1, F.col("sent") * 1000 + F.col("_i")
+    at = at + F.when(short, 1).otherwise(0)  # the parenthesis is a token
+    tag = F.when(short, "B-short").when(F.col("_i") == 0, "B-long").otherwise("I-long")
+    return cut.select(key, at.alias("ord"), tag.alias("tag"), "text", at.alias("tok_start"), (at + 1).alias("tok_end"), "sent")
+
+
 def aligned(text: Column, spans: Column) -> Column:
     """Spans that begin and end at token edges: their neighbours are missing, blank or punctuation, their own ends not blank."""
     char = lambda i: F.substring(text, i + 1, F.lit(1))

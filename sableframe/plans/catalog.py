@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.functions import text as T
-from sableframe.functions.rules import DATE_FORMS, DEFAULT_DATE_FORM, LABELS, PATTERNS, SSN_INLINE, STOP_NAMES
+from sableframe.functions.rules import DATE_FORMS, DATE_RULE, DEFAULT_DATE_FORM, LABELS, PATTERNS, SSN_INLINE, STOP_NAMES
 from sableframe.operators import examples, geometry, layout, similarity, spans
 
 
@@ -47,9 +47,6 @@ def _with_cases(sql: str) -> str:
 
 # Detection
 
-DATE_RULE = r"\d{1,2}/\d{1,2}/\d{4}"
-
-
 def _entities(spark: SparkSession, sf: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
     return spans.entities(spans.detect(_table(spark, sf, table), text), key, text)
 
@@ -347,6 +344,14 @@ def merge_rects(spark: SparkSession, sf: str) -> DataFrame:
 _BOXES_SQL = f"SELECT doc_id, page, line, 0::DOUBLE AS x0, y0, length(line_text)::DOUBLE AS x1, y0 + {layout.HEIGHT} AS y1 FROM ({_LINES_SQL}) WHERE line_text <> ''"
 
 
+def _normal_sql(text: str = "text") -> str:
+    blank = "[\\s\\x{00A0}\\x{0085}\\x{1C}-\\x{1F}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}]+"
+    plain = f"nfc_normalize({text})"
+    for a, b in ((" ", " "), ("‘", "''"), ("’", "''"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), ("·", "-"), ("​", ""), ("‎", ""), ("‏", ""), ("﻿", "")):
+        plain = f"replace({plain}, '{a}', '{b}')"
+    return f"trim(regexp_replace({plain}, '{blank}', ' ', 'g'), ' ')"
+
+
 def queries() -> dict:
     """Queries by name; each takes (spark, sf_dir)."""
     found = {f"detect_{label.lower()}": partial(detect_one, label=label, pattern=p) for label, p in PATTERNS.items()}
@@ -365,10 +370,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by the name of the query."""
-    blank = "[\\s\\x{00A0}\\x{0085}\\x{1C}-\\x{1F}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}]+"
-    plain = "nfc_normalize(text)"
-    for a, b in ((" ", " "), ("‘", "''"), ("’", "''"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), ("·", "-"), ("​", ""), ("‎", ""), ("‏", ""), ("﻿", "")):
-        plain = f"replace({plain}, '{a}', '{b}')"
     offsets = f'SELECT doc_id, label, start, (start + length(ent))::INT AS "end", ent FROM ({_all_sql()})'
     first_date = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(f'(?i)^(?:{p})')}) THEN {_q(f)}" for p, f in DATE_FORMS) + f" ELSE {_q(DEFAULT_DATE_FORM)} END"
     sql = {f"detect_{label.lower()}": _detect_sql(label, _SSN_SQL if label == "SSN" else p) for label, p in PATTERNS.items()}
@@ -383,7 +384,7 @@ def oracle_sql() -> dict:
         "conversation_entities": f"SELECT role, label, count(*) AS n FROM ({_all_sql(table='(SELECT role, text FROM conversations UNION ALL SELECT ' + _q('case') + ', text FROM (VALUES ' + ', '.join(f'({_q(t)})' for _, t in CASES) + ') v(text))', key='role')}) GROUP BY ALL",
         "pseudonyms": _pseudonyms_sql(),
         "pseudonym_suffixes": """SELECT n::INT AS n, '"Company ' || repeat('A', round_even(n / 26.0, 0)::INT) || chr((65 + n % 26)::INT) || '"' AS org, '"IPv4 Address ' || (n + 1) || '"' AS ip FROM range(200) r(n)""",
-        "normalize_text": f"SELECT doc_id, trim(regexp_replace({plain}, '{blank}', ' ', 'g'), ' ') AS normalized FROM documents",
+        "normalize_text": f"SELECT doc_id, {_normal_sql()} AS normalized FROM documents",
         "is_link_flags": f"SELECT doc_id, regexp_matches(text, {_q('^(?:' + PATTERNS['URL'] + ')')}) OR regexp_matches(text, {_q('^(?:' + PATTERNS['EMAIL'] + ')')}) AS is_link FROM documents",
         "scan_documents": "SELECT doc_id, lang, source, length(text)::BIGINT AS length FROM documents",
         "lines": f"SELECT doc_id, line, page, y0, y0 + {layout.HEIGHT} AS y1, length(line_text)::INT AS n FROM ({_LINES_SQL})",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CAS = "`%FEATURE_STRUCTURES` array<struct<`%TYPE`:string,`begin`:int,`end`:int,`value`:string>>"
@@ -28,6 +28,22 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("f.`%TYPE`").alias("type"), F.col("f.begin").alias("start"), F.col("f.end").alias("end"), F.col("f.value").alias("value"))
 
 
+#: The type of named entities in annotation files, and the labels that are read.
+ENTITY_TYPE = "de.tudarmstadt.ukp.dkpro.core.api.ner.type.NamedEntity"
+ENTITY_LABELS = ("ORG", "POST_CODE", "ADDR", "LOC", "DATE", "PERSON")
+
+
+def named_annotations(rows: DataFrame, keys: list[str], kind: str = ENTITY_TYPE, labels: tuple[str, ...] = ENTITY_LABELS) -> DataFrame:
+    """(keys, ord, start, end, value): annotations (keys, type, start, end, value) of one type with one of the labels, in the order of their start."""
+    kept = rows.where((F.col("type") == kind) & F.col("value").isin(*labels))
+    return kept.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end", "value")) - 1).alias("ord"), "start", "end", "value")
+
+
+def tokenised(spark: SparkSession, path: str) -> DataFrame:
+    """(example_id, tokens, labels) of a Parquet export of a tokenised dataset (id, tokens, labels)."""
+    return spark.read.parquet(path).select(F.col("id").cast("string").alias("example_id"), "tokens", F.col("labels").cast("array<int>").alias("labels"))
+
+
 def annotated_texts(spark: SparkSession, annotation_folder: str, text_folder: str) -> tuple[DataFrame, DataFrame]:
     """(stem, text, type, start, end, value) of annotation files with the text file of the same name, and the stems that have no text."""
     stem = lambda c: F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
