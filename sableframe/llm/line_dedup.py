@@ -42,7 +42,7 @@ from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinc
 NUM, DEN = 4, 5  # a Jaccard of 0.8
 #: Buckets of words: one for each CHARS bytes of text, a power of two between the limits.
 LEAST_BUCKETS, MOST_BUCKETS, CHARS = 1 << 16, 1 << 24, 16
-HOT, LEADERS, BLOCK_WORDS = 500, 64, 400_000
+HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 500_000
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
@@ -195,26 +195,65 @@ def set_size(at: Column) -> Column:
     return F.shiftright(at, 16).bitwiseAND(F.lit(_FULL))
 
 
+def pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of postings that come by token: pairs under the same token that pass the length, position and parity filters.
+
+    A token's rows are ordered by size and id, so the sets that one may be similar to are a run after it. Only whole
+    tokens are worked on; the rows of the last one wait for the next batch. Pairs are made ``PAIRS_AT_ONCE`` at a time.
+    """
+    held: list[np.ndarray] | None = None
+    for b in lean(batches):
+        now = [c.to_numpy() for c in b.columns]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if done:
+            yield from similar_pairs(*(x[:done] for x in held))
+            held = [x[done:] for x in held]
+    if held is not None:
+        yield from similar_pairs(*held)
+
+
+def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole tokens, of arrays in the order of the token."""
+    new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+    alone = new & np.concatenate([new[1:], [True]]) if len(token) else new
+    group, ids, at, p = np.cumsum(new)[~alone], ids[~alone], at[~alone], p[~alone]
+    key = (group << 16) | ((at >> 16) & _FULL)
+    order = np.lexsort((ids, key))
+    key, ids, at, p = key[order], ids[order], at[order], p[order]
+    n, place, bits, base = key & _FULL, at & _FULL, (at >> 32).astype(np.uint32), key & ~np.int64(_FULL)
+    after = np.arange(len(key)) + 1
+    reach = np.searchsorted(key, base | np.minimum(n * DEN // NUM, _FULL), side="right")
+    ends = np.where(place * (NUM + DEN) <= n * (DEN - NUM), reach, after)
+    runs = [(after, ends)]
+    if (n == _FULL).any():  # of a size that is not told apart: nothing is known of such pairs
+        runs.append((np.maximum(ends, np.searchsorted(key, base | _FULL)), np.searchsorted(key, base | _FULL, side="right")))
+    for first, last in runs:
+        count = np.maximum(last - first, 0)
+        total = np.concatenate([[0], np.cumsum(count)])
+        k = 0
+        while k < len(count):
+            m = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, side="right")) - 1)
+            x, y = np.repeat(np.arange(k, m), count[k:m]), ragged(count[k:m], first[k:m])
+            k = m
+            an, bn, ap, bp = n[x], n[y], place[x], place[y]
+            both = an + bn
+            near = (np.minimum(ap, bp) + np.minimum(an - ap, bn - bp)) * (NUM + DEN) >= both * NUM
+            apart = np.bitwise_count(p[x].view(np.uint64) ^ p[y].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits[x] ^ bits[y])
+            keep = (near & (apart * (NUM + DEN) <= both * (DEN - NUM))) | (bn == _FULL)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[keep]]), pa.array(ids[y[keep]])], ["a", "b"])
+
+
 def candidate_pairs(postings: DataFrame) -> DataFrame:
     """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters.
 
     The smaller set (of equal ones that of the lesser id) is the first; its shared word lies in the shorter
     prefix that suffices against sets of its size or more. Sizes of ``_FULL`` or more pass every filter.
+    One shuffle and one sort by the word serve both sides.
     """
-    x = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "at", "p")])
-    y = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "at", "p")])
-    an, bn = set_size(F.col("a_at")), set_size(F.col("b_at"))
-    ap, bp = F.col("a_at").bitwiseAND(F.lit(_FULL)), F.col("b_at").bitwiseAND(F.lit(_FULL))
-    reach = F.least(ap, bp) + F.least(an - ap, bn - bp)
-    apart = F.bit_count(F.col("a_p").bitwiseXOR(F.col("b_p"))) + F.bit_count(F.shiftright(F.col("a_at").bitwiseXOR(F.col("b_at")), 32).cast("int").cast("long").bitwiseAND(F.lit(2**32 - 1)))
-    near = (
-        (an * DEN >= bn * NUM)
-        & (ap * (NUM + DEN) <= F.least(an, bn) * (DEN - NUM))
-        & (reach * (NUM + DEN) >= (an + bn) * NUM)
-        & (apart * (NUM + DEN) <= (an + bn) * (DEN - NUM))
-    )
-    ordered = (an < bn) | ((an == bn) & (F.col("a_id") < F.col("b_id")))
-    return x.join(y, "token").where(ordered & (near | (bn == _FULL))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    rows = postings.select("token", "id", "at", "p").repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(pairs_of_words, "a long, b long").distinct()
 
 
 def set_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -333,11 +372,13 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     lines = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
     repeated = staged(repeated_sets(lines))
     postings = prefix_postings(lines, repeated)
-    common = postings.where(F.shiftright("token", _ID_BITS) >= int(4 * np.log2(HOT)))
+    # A task counts a word up to 255 times, so a word of more sets than HOT has at least that count.
+    frequent = F.shiftright("token", _ID_BITS) >= int(4 * np.log2(min(HOT, 255)))
+    common = staged(postings.where(frequent).select("token", "id", set_size(F.col("at")).alias("n")))
     hot_tokens = staged(common.groupBy("token").count().where(F.col("count") > HOT).select("token"))
     some_hot = hot_tokens.limit(1).count() > 0
     pairs = staged(candidate_pairs(postings.join(broadcast_if_small(hot_tokens), "token", "left_anti") if some_hot else postings))
-    hot = staged(common.join(broadcast_if_small(hot_tokens), "token", "left_semi").select("token", "id", set_size(F.col("at")).alias("n")))
+    hot = staged(common.join(broadcast_if_small(hot_tokens), "token", "left_semi"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
     places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(wanted)), "id")
     words = staged(set_words(texts, places.withColumn("o", _order())))
