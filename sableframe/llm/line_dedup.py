@@ -42,7 +42,7 @@ from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinc
 NUM, DEN = 4, 5  # a Jaccard of 0.8
 #: Buckets of words: one for each CHARS bytes of text, a power of two between the limits.
 LEAST_BUCKETS, MOST_BUCKETS, CHARS = 1 << 16, 1 << 24, 16
-HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 500_000
+HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 50_000
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing

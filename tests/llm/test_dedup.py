@@ -1,6 +1,7 @@
 """Line dedup and the Jaccard join against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sableframe.llm import line_dedup, near_duplicates
@@ -218,3 +219,29 @@ def test_short_lines_equal_brute_force_without_a_least_length(spark):
         want.append("\n".join(kept))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert [got[k] for k, _ in rows] == want
+
+
+def test_pairs_of_words_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for token in range(60):
+        for i in sorted(rng.choice(400, rng.integers(1, 25), replace=False)):
+            n = int(rng.choice([1, 2, 5, 9, 10, 11, 30, line_dedup._FULL]))
+            bits, parity = int(rng.integers(0, 4)), int(rng.integers(0, 4))
+            rows.append((token, int(i), (bits << 32) | (n << 16) | int(rng.integers(0, min(n, 6))), parity))
+    want, full = set(), line_dedup._FULL
+    for t, i, at, p in rows:
+        for u, j, bt, q in rows:
+            an, bn, ap, bp = at >> 16 & full, bt >> 16 & full, at & full, bt & full
+            if t != u or not (an < bn or (an == bn and i < j)):
+                continue
+            apart = ((at >> 32) ^ (bt >> 32)).bit_count() + (p ^ q).bit_count()
+            near = an * 5 >= bn * 4 and ap * 9 <= an and (min(ap, bp) + min(an - ap, bn - bp)) * 9 >= (an + bn) * 4 and apart * 9 <= an + bn
+            if near or bn == full:
+                want.add((t, i, j))
+    for size, most in ((7, 3), (1000, 500_000)):
+        monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", most)
+        batch = lambda k: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + size]], pa.int64()) for c in range(4)], ["token", "id", "at", "p"])
+        got = [(a, b) for x in line_dedup.pairs_of_words(batch(k) for k in range(0, len(rows), size)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        assert sorted(got) == sorted((i, j) for _, i, j in want)
+    assert list(line_dedup.pairs_of_words(iter([]))) == []
