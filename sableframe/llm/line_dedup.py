@@ -8,10 +8,15 @@ the earliest candidate of each set first. A line is removed if an earlier line,
 
 Equal texts are collapsed before any word is counted: all lines with a word go from the later ones, and
 only the first is looked at. Equal sets are collapsed next; a line with a word that occurs once in the
-corpus has no equal and takes no part in that. Prefix words of more than ``HOT`` sets are not joined
-pairwise: their sets are compared with up to ``LEADERS`` early ones each, which resolves families of near
-copies in linear time, and what is then unresolved is compared with all in blocks inside tasks, which
-write only the sets that have an earlier match.
+corpus has no equal and takes no part in that. Prefix words of more than ``MOST`` sets, and those of more than
+``HOT`` of which more than ``DENSE`` pairs a set pass the filters, are not joined pairwise: their sets are
+compared with up to ``LEADERS`` early ones each, which resolves families of near copies in linear time, and
+what is then unresolved is compared with all in blocks inside tasks, which write only the sets that have an
+earlier match. That carries the words of a set under each such prefix word, so a word that is merely frequent,
+of which there are more the larger the table, takes the pairwise way.
+
+Large tables are worked on in up to ``MOST_ROUNDS`` rounds, by the hash of the prefix word or of the text, so that only one
+round's rows lie in shuffle files at a time.
 
 The buckets grow with the text up to ``MOST_BUCKETS``. Beyond that fewer words are seen to be unique and the
 order is less exact; results do not change, and the prefixes bound the words that are joined in any case.
@@ -24,8 +29,9 @@ those names.
 
 from __future__ import annotations
 
+import functools
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.set_overlap import Postings, groups
-from sableframe.llm.staging import broadcast_if_small, scratch, staged
+from sableframe.llm.staging import broadcast_if_small, scratch, small_enough, staged
 from sableframe.llm.tables import let, table
 from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinct, split_words, stir, word_table
 
@@ -43,10 +49,15 @@ NUM, DEN = 4, 5  # a Jaccard of 0.8
 #: Buckets of words: one for each CHARS bytes of text, a power of two between the limits.
 LEAST_BUCKETS, MOST_BUCKETS, CHARS = 1 << 16, 1 << 24, 16
 HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 50_000
+#: Sets of a word that is never joined pairwise, and pairs a set from which a hot word is left to :func:`hot_later`.
+MOST, DENSE = 20_000, 16
+#: Rounds in which a table is worked on: one for each ROUND_CHARS bytes of text, up to a limit.
+MOST_ROUNDS, ROUND_CHARS = 4, 1 << 28
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
 _MARKS = 8  # words of 64 parity bits that a candidate's set has
+_EXACT = 200  # counts of a task's words up to here are kept as they are
 _HAS_WORD = "[^ \\t-\\r]"
 
 
@@ -76,30 +87,55 @@ def bucket_count(chars: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (chars // CHARS).bit_length()))
 
 
+def round_count(chars: int) -> int:
+    return min(MOST_ROUNDS, chars // ROUND_CHARS + 1)
+
+
+def packed_counts(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: exact up to ``_EXACT``, then doublings of it, rounded down."""
+    return np.where(n <= _EXACT, n, _EXACT + np.floor(np.log2(np.maximum(n, 1) / _EXACT))).astype(np.uint8)
+
+
+def unpacked_counts(b: np.ndarray) -> np.ndarray:
+    return np.where(b <= _EXACT, b, _EXACT << np.maximum(b.astype(np.int64) - _EXACT, 0))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) with each key once, ascending."""
+    at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
 def word_rarity(texts: DataFrame, buckets: int) -> np.ndarray:
     """For each bucket of words four times the binary logarithm of its count, one byte each; 255 if none."""
     whole = np.uint64(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(buckets, np.int32)
+        # Only buckets with words are held; a table of all would take more memory than the texts do.
+        at, n = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        more: list[tuple[np.ndarray, np.ndarray]] = []
         for b in lean(batches):
-            for k in range(0, b.num_rows, 2048):
-                _, code, hashes = word_table(b.column(0).slice(k, 2048))
-                np.add.at(seen, (hashes % whole).astype(np.int64), np.bincount(code, minlength=len(hashes)).astype(np.int32))
-        at = np.flatnonzero(seen)
-        n = seen[at]
+            for k in range(0, b.num_rows, 1024):
+                _, code, hashes = word_table(b.column(0).slice(k, 1024))
+                more.append(((hashes % whole).astype(np.int32), np.bincount(code, minlength=len(hashes)).astype(np.int32)))
+                if sum(len(x) for x, _ in more) > max(1 << 20, len(at)):
+                    at, n, more = *summed([(at, n), *more]), []
+        at, n = summed([(at, n), *more])
         cuts = np.searchsorted(at, np.arange(0, buckets + 1, _BLOCK))
         found = [(k, at[a:b] - k * _BLOCK, n[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        # A task's count is kept up to 255: once or more often is exact, and the order needs no more.
+        # Once or more often is exact, and a count is never more than halved.
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in found], pa.int32()), pa.array([x.astype(np.uint16).tobytes() for _, x, _ in found], pa.binary()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for _, _, x in found], pa.binary())],
+            [pa.array([k for k, _, _ in found], pa.int32()), pa.array([x.astype(np.uint16).tobytes() for _, x, _ in found], pa.binary()), pa.array([packed_counts(x).tobytes() for _, _, x in found], pa.binary())],
             ["block", "at", "n"],
         )
 
     def merge(t: pa.Table) -> pa.Table:
         seen = np.zeros(_BLOCK, np.int64)
         for at, n in zip(t["at"], t["n"], strict=True):
-            seen[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint8)
+            seen[np.frombuffer(at.as_py(), np.uint16)] += unpacked_counts(np.frombuffer(n.as_py(), np.uint8))
         code = np.where(seen > 0, np.minimum(np.floor(4 * np.log2(np.maximum(seen, 1))), 254), 255).astype(np.uint8)
         return pa.table({"block": t["block"].slice(0, 1), "codes": pa.array([code.tobytes()], pa.binary())})
 
@@ -177,16 +213,20 @@ def repeated_sets(lines: DataFrame) -> DataFrame:
     return counted.where("copies > 1").select("s0", "s1", "o")
 
 
-def prefix_postings(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(token, id, at, p): a row per prefix word of each set, known by the id of its earliest line.
+def prefix_postings(lines: DataFrame, repeated: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(token, id, at, p): a row per prefix word (that is ``wanted``, if given) of each set, known by the id of its earliest line.
 
     ``at`` holds 32 parity bits, the set's size and the word's place in 16 bits each; ``p`` 64 parity bits.
     """
     own = lines.where(F.size("prefix") > 0)
-    known = own.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
+    again, small = own.where("skip = 0"), small_enough(repeated)
+    if wanted and not small:  # sets are shuffled without the other words, which become null so that places stay
+        again = again.withColumn("prefix", F.transform("prefix", lambda w: F.when(wanted(w), w)))
+    known = again.join(F.broadcast(repeated) if small else repeated, ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
     columns = ["id", "n", "skip", "prefix", "p0", "p1"]
     first = own.where("skip > 0").select(*columns).unionByName(known.select(*columns))
     rows = first.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
+    rows = rows.where(wanted(F.col("token"))) if wanted else rows
     at = F.shiftleft(F.col("p1").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_FULL)).cast("long"), 16)).bitwiseOR(F.least(F.col("k") + F.col("skip"), F.lit(_FULL)).cast("long"))
     return rows.select("token", "id", at.alias("at"), F.col("p0").alias("p"))
 
@@ -196,7 +236,7 @@ def set_size(at: Column) -> Column:
 
 
 def pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of postings that come by token: pairs under the same token that pass the length, position and parity filters.
+    """(a, b) of postings that come by token: pairs under the same token that pass the length, position and parity filters, or (token, -1).
 
     A token's rows are ordered by size and id, so the sets that one may be similar to are a run after it. Only whole
     tokens are worked on; the rows of the last one wait for the next batch. Pairs are made ``PAIRS_AT_ONCE`` at a time.
@@ -214,10 +254,10 @@ def pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole tokens, of arrays in the order of the token."""
+    """The pairs of whole tokens, of arrays in the order of the token; for a dense token -1 in place of its further pairs."""
     new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     alone = new & np.concatenate([new[1:], [True]]) if len(token) else new
-    group, ids, at, p = np.cumsum(new)[~alone], ids[~alone], at[~alone], p[~alone]
+    group, token, ids, at, p = np.cumsum(new)[~alone], token[~alone], ids[~alone], at[~alone], p[~alone]
     key = (group << 16) | ((at >> 16) & _FULL)
     order = np.lexsort((ids, key))
     key, ids, at, p = key[order], ids[order], at[order], p[order]
@@ -225,6 +265,8 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
     after = np.arange(len(key)) + 1
     reach = np.searchsorted(key, base | np.minimum(n * DEN // NUM, _FULL), side="right")
     ends = np.where(place * (NUM + DEN) <= n * (DEN - NUM), reach, after)
+    _, begins, owner = np.unique(group, return_index=True, return_inverse=True)  # the order keeps groups where they are
+    sizes, made, dense = np.diff(np.append(begins, len(group))), np.zeros(len(begins), np.int64), np.zeros(len(begins), bool)
     runs = [(after, ends)]
     if (n == _FULL).any():  # of a size that is not told apart: nothing is known of such pairs
         runs.append((np.maximum(ends, np.searchsorted(key, base | _FULL)), np.searchsorted(key, base | _FULL, side="right")))
@@ -235,6 +277,7 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
         while k < len(count):
             m = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, side="right")) - 1)
             x, y = np.repeat(np.arange(k, m), count[k:m]), ragged(count[k:m], first[k:m])
+            g0, g1 = owner[k], owner[m - 1] + 1
             k = m
             an, bn, ap, bp = n[x], n[y], place[x], place[y]
             both = an + bn
@@ -243,10 +286,18 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
             keep = (near & (apart * (NUM + DEN) <= both * (DEN - NUM))) | (bn == _FULL)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x[keep]]), pa.array(ids[y[keep]])], ["a", "b"])
+            if (sizes[g0:g1] > HOT).any():
+                made[g0:g1] += np.bincount(owner[x[keep]] - g0, minlength=g1 - g0)
+                full = g0 + np.flatnonzero((sizes[g0:g1] > HOT) & ~dense[g0:g1] & (made[g0:g1] > DENSE * sizes[g0:g1]))
+                if len(full):
+                    dense[full] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(token[begins[full]]), pa.array(np.full(len(full), -1))], ["a", "b"])
+            while k < len(count) and dense[owner[k]]:
+                k = int(begins[owner[k]] + sizes[owner[k]])
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters.
+    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters, and (token, -1) of dense words.
 
     The smaller set (of equal ones that of the lesser id) is the first; its shared word lies in the shorter
     prefix that suffices against sets of its size or more. Sizes of ``_FULL`` or more pass every filter.
@@ -256,11 +307,22 @@ def candidate_pairs(postings: DataFrame) -> DataFrame:
     return rows.mapInArrow(pairs_of_words, "a long, b long").distinct()
 
 
-def set_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, o, n, marks, words): size, parity bits and distinct words of the ``wanted`` lines (id, h0, h1, line, o), which come as a list per text."""
-    keys = wanted.groupBy("h0", "h1").agg(F.collect_list(F.struct("line", "id", "o")).alias("lines"))
+def set_words(texts: DataFrame, wanted: DataFrame, rounds: int = 1) -> DataFrame:
+    """(id, o, n, marks, words): size, parity bits and distinct words of the ``wanted`` lines (id, h0, h1, line, o), which come as a list per text.
+
+    Keys that are too large to broadcast are joined in ``rounds``, so that not all texts are shuffled at once.
+    """
+    keys = staged(wanted.groupBy("h0", "h1").agg(F.collect_list(F.struct("line", "id", "o")).alias("lines")))
+    small = small_enough(keys)
+    if small or rounds == 1:
+        return staged(words_of_lines(texts, F.broadcast(keys) if small else keys))
+    part = F.pmod("h0", F.lit(rounds))
+    return functools.reduce(DataFrame.unionByName, [staged(words_of_lines(texts.where(part == k), keys.where(part == k))) for k in range(rounds)])
+
+
+def words_of_lines(texts: DataFrame, keys: DataFrame) -> DataFrame:
     pieces = F.split("text", "\n", -1)
-    found = texts.join(broadcast_if_small(staged(keys)), ["h0", "h1"]).select(let(pieces, lambda p: F.transform("lines.line", lambda i: F.get(p, i))).alias("said"), "lines.id", "lines.o")
+    found = texts.join(keys, ["h0", "h1"]).select(let(pieces, lambda p: F.transform("lines.line", lambda i: F.get(p, i))).alias("said"), "lines.id", "lines.o")
 
     def parity(words: np.ndarray) -> np.ndarray:
         odd = np.bincount(words % (64 * _MARKS), minlength=64 * _MARKS).astype(np.uint8) & 1
@@ -371,17 +433,26 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     rarity = word_rarity(texts, bucket_count(chars))
     lines = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
     repeated = staged(repeated_sets(lines))
-    postings = prefix_postings(lines, repeated)
-    # A task counts a word up to 255 times, so a word of more sets than HOT has at least that count.
-    frequent = F.shiftright("token", _ID_BITS) >= int(4 * np.log2(min(HOT, 255)))
-    common = staged(postings.where(frequent).select("token", "id", set_size(F.col("at")).alias("n")))
-    hot_tokens = staged(common.groupBy("token").count().where(F.col("count") > HOT).select("token"))
+    rounds = round_count(chars)
+    # Counts of words are at most halved, so a word of more sets than MOST has at least half that count.
+    least = int(4 * np.log2(max(MOST, 2) / 2))
+    frequent = prefix_postings(lines, repeated, lambda w: F.shiftright(w, _ID_BITS) >= least)
+    most = staged(frequent.groupBy("token").count().where(F.col("count") > MOST).select("token"))
+    never = broadcast_if_small(most) if most.limit(1).count() else None
+
+    def found(k: int) -> DataFrame:
+        rows = prefix_postings(lines, repeated, (lambda w: F.pmod(w, F.lit(rounds)) == k) if rounds > 1 else None)
+        return staged(candidate_pairs(rows if never is None else rows.join(never, "token", "left_anti")))
+
+    both = functools.reduce(DataFrame.unionByName, [found(k) for k in range(rounds)])
+    pairs = staged(both.where("b >= 0").distinct()) if rounds > 1 else both.where("b >= 0")
+    hot_tokens = staged(most.unionByName(both.where("b < 0").select(F.col("a").alias("token"))).distinct())
     some_hot = hot_tokens.limit(1).count() > 0
-    pairs = staged(candidate_pairs(postings.join(broadcast_if_small(hot_tokens), "token", "left_anti") if some_hot else postings))
-    hot = staged(common.join(broadcast_if_small(hot_tokens), "token", "left_semi"))
+    every = prefix_postings(lines, repeated).select("token", "id", set_size(F.col("at")).alias("n"))
+    hot = staged(every.join(broadcast_if_small(hot_tokens), "token", "left_semi") if some_hot else every.limit(0))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
     places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(wanted)), "id")
-    words = staged(set_words(texts, places.withColumn("o", _order())))
+    words = set_words(texts, places.withColumn("o", _order()), rounds)
     later = verified_later(pairs, words)
     if some_hot:
         later = later.unionByName(hot_later(hot, words)).distinct()

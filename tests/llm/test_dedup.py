@@ -245,3 +245,35 @@ def test_pairs_of_words_equal_brute_force(monkeypatch):
         got = [(a, b) for x in line_dedup.pairs_of_words(batch(k) for k in range(0, len(rows), size)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
         assert sorted(got) == sorted((i, j) for _, i, j in want)
     assert list(line_dedup.pairs_of_words(iter([]))) == []
+
+
+@pytest.mark.parametrize(("most", "broadcast"), [(20_000, 40 << 20), (4, 0)])
+def test_rounds_and_dense_words_equal_brute_force(spark, monkeypatch, most, broadcast):
+    """Four rounds, by broadcast and by shuffles; hot words that are left to blocks by their pairs or by their number."""
+    from sableframe.llm import staging
+
+    for name, value in {"ROUND_CHARS": 1000, "HOT": 4, "DENSE": 1, "MOST": most, "LEADERS": 3, "BLOCK_WORDS": 300}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", broadcast)
+    rows = line_rows()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_lines(rows)
+
+
+def test_frequent_words_are_joined_pairwise_and_families_are_not(monkeypatch):
+    """Under one word, 3000 sets that differ give no rows; 600 near ones under another give a few pairs and one mark."""
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 2000)
+    rng = np.random.default_rng(2)
+    far, near = 3000, 600
+    token = np.repeat([7, 9], [far, near])
+    bits = np.concatenate([rng.integers(-(2**63), 2**63 - 1, far), np.zeros(near, np.int64)])
+    made = list(line_dedup.similar_pairs(token, np.arange(far + near), np.full(far + near, 20 << 16), bits))
+    rows = [(a, b) for x in made for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert [r for r in rows if r[1] < 0] == [(9, -1)]
+    assert all(a >= far for a, b in rows if b >= 0) and len(rows) < (line_dedup.DENSE + 10) * near
+
+
+def test_packed_counts_are_at_most_halved():
+    n = np.concatenate([np.arange(1, 1000), [65_535, 2**31 - 1]])
+    back = line_dedup.unpacked_counts(line_dedup.packed_counts(n))
+    assert (back <= n).all() and (2 * back > n).all() and (back[:200] == n[:200]).all()
