@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import functools
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.set_overlap import Postings, groups
-from sableframe.llm.staging import broadcast_if_small, scratch, small_enough, staged
+from sableframe.llm.staging import broadcast_if_small, dropped, scratch, small_enough, staged
 from sableframe.llm.tables import let, table
 from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinct, split_words, stir, word_table
 
@@ -52,7 +52,7 @@ HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 50_000
 #: Sets of a word that is never joined pairwise, and pairs a set from which a hot word is left to :func:`hot_later`.
 MOST, DENSE = 20_000, 16
 #: Rounds in which a table is worked on: one for each ROUND_CHARS bytes of text, up to a limit.
-MOST_ROUNDS, ROUND_CHARS = 4, 1 << 28
+MOST_ROUNDS, ROUND_CHARS = 2, 1 << 28
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
@@ -213,20 +213,20 @@ def repeated_sets(lines: DataFrame) -> DataFrame:
     return counted.where("copies > 1").select("s0", "s1", "o")
 
 
-def prefix_postings(lines: DataFrame, repeated: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(token, id, at, p): a row per prefix word (that is ``wanted``, if given) of each set, known by the id of its earliest line.
+def prefix_sets(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, n, skip, prefix, p0, p1): each set that has a prefix once, known by the id of its earliest line."""
+    own = lines.where(F.size("prefix") > 0)
+    known = own.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
+    columns = ["id", "n", "skip", "prefix", "p0", "p1"]
+    return own.where("skip > 0").select(*columns).unionByName(known.select(*columns))
+
+
+def prefix_postings(sets: DataFrame) -> DataFrame:
+    """(token, id, at, p): a row per prefix word of each set.
 
     ``at`` holds 32 parity bits, the set's size and the word's place in 16 bits each; ``p`` 64 parity bits.
     """
-    own = lines.where(F.size("prefix") > 0)
-    again, small = own.where("skip = 0"), small_enough(repeated)
-    if wanted and not small:  # sets are shuffled without the other words, which become null so that places stay
-        again = again.withColumn("prefix", F.transform("prefix", lambda w: F.when(wanted(w), w)))
-    known = again.join(F.broadcast(repeated) if small else repeated, ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
-    columns = ["id", "n", "skip", "prefix", "p0", "p1"]
-    first = own.where("skip > 0").select(*columns).unionByName(known.select(*columns))
-    rows = first.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
-    rows = rows.where(wanted(F.col("token"))) if wanted else rows
+    rows = sets.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
     at = F.shiftleft(F.col("p1").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_FULL)).cast("long"), 16)).bitwiseOR(F.least(F.col("k") + F.col("skip"), F.lit(_FULL)).cast("long"))
     return rows.select("token", "id", at.alias("at"), F.col("p0").alias("p"))
 
@@ -431,24 +431,29 @@ def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
 def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     """(h0, h1, lines): for each of the distinct texts that loses lines, their numbers from 0. ``chars`` sizes the table of words."""
     rarity = word_rarity(texts, bucket_count(chars))
-    lines = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
-    repeated = staged(repeated_sets(lines))
+    whole = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
+    repeated = staged(repeated_sets(whole))
+    # The sets and the places of lines are read apart from here on, and the sets several times.
+    postings = prefix_postings(staged(prefix_sets(whole, repeated)))
+    lines = staged(whole.select("id", "s0", "s1", "skip", "doc_id", "h0", "h1", "line"))
+    for path in {f.rsplit("/", 1)[0] for f in whole.inputFiles()}:
+        dropped(whole.sparkSession, path)
     rounds = round_count(chars)
     # Counts of words are at most halved, so a word of more sets than MOST has at least half that count.
     least = int(4 * np.log2(max(MOST, 2) / 2))
-    frequent = prefix_postings(lines, repeated, lambda w: F.shiftright(w, _ID_BITS) >= least)
+    frequent = postings.where(F.shiftright("token", _ID_BITS) >= least)
     most = staged(frequent.groupBy("token").count().where(F.col("count") > MOST).select("token"))
     never = broadcast_if_small(most) if most.limit(1).count() else None
 
     def found(k: int) -> DataFrame:
-        rows = prefix_postings(lines, repeated, (lambda w: F.pmod(w, F.lit(rounds)) == k) if rounds > 1 else None)
+        rows = postings.where(F.pmod("token", F.lit(rounds)) == k) if rounds > 1 else postings
         return staged(candidate_pairs(rows if never is None else rows.join(never, "token", "left_anti")))
 
     both = functools.reduce(DataFrame.unionByName, [found(k) for k in range(rounds)])
     pairs = staged(both.where("b >= 0").distinct()) if rounds > 1 else both.where("b >= 0")
     hot_tokens = staged(most.unionByName(both.where("b < 0").select(F.col("a").alias("token"))).distinct())
     some_hot = hot_tokens.limit(1).count() > 0
-    every = prefix_postings(lines, repeated).select("token", "id", set_size(F.col("at")).alias("n"))
+    every = postings.select("token", "id", set_size(F.col("at")).alias("n"))
     hot = staged(every.join(broadcast_if_small(hot_tokens), "token", "left_semi") if some_hot else every.limit(0))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
     places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(wanted)), "id")

@@ -249,7 +249,7 @@ def test_pairs_of_words_equal_brute_force(monkeypatch):
 
 @pytest.mark.parametrize(("most", "broadcast"), [(20_000, 40 << 20), (4, 0)])
 def test_rounds_and_dense_words_equal_brute_force(spark, monkeypatch, most, broadcast):
-    """Four rounds, by broadcast and by shuffles; hot words that are left to blocks by their pairs or by their number."""
+    """Several rounds, by broadcast and by shuffles; hot words that are left to blocks by their pairs or by their number."""
     from sableframe.llm import staging
 
     for name, value in {"ROUND_CHARS": 1000, "HOT": 4, "DENSE": 1, "MOST": most, "LEADERS": 3, "BLOCK_WORDS": 300}.items():
