@@ -8,12 +8,15 @@ the earliest candidate of each set first. A line is removed if an earlier line,
 
 Equal texts are collapsed before any word is counted: all lines with a word go from the later ones, and
 only the first is looked at. Equal sets are collapsed next; a line with a word that occurs once in the
-corpus has no equal and takes no part in that. Prefix words of more than ``MOST`` sets, and those of more than
-``HOT`` of which more than ``DENSE`` pairs a set pass the filters, are not joined pairwise: their sets are
-compared with up to ``LEADERS`` early ones each, which resolves families of near copies in linear time, and
-what is then unresolved is compared with all in blocks inside tasks, which write only the sets that have an
-earlier match. That carries the words of a set under each such prefix word, so a word that is merely frequent,
-of which there are more the larger the table, takes the pairwise way.
+corpus has no equal and takes no part in that.
+
+A family of *m* near copies has *m*² pairs, so under each prefix word a set is at first paired with its
+``EARLIEST`` earliest candidates alone (and with the earliest of up to ``LEADERS`` sets that pass the filters, where
+the word has more than ``HOT`` sets and more than ``DENSE`` pairs a set). Sets that had further candidates are marked, and those of
+them for which no match was verified are compared with all their candidates in a second pass, so none is lost.
+Words of which that makes too many pairs, and prefix words of more than ``MOST`` sets, are left to blocks inside
+tasks: the sets without a match so far are compared with up to ``LEADERS`` early ones each and then with all. That carries
+the words of a set under each such prefix word.
 
 Large tables are worked on in up to ``MOST_ROUNDS`` rounds, by the hash of the prefix word or of the text, so that only one
 round's rows lie in shuffle files at a time.
@@ -51,6 +54,8 @@ LEAST_BUCKETS, MOST_BUCKETS, CHARS = 1 << 16, 1 << 24, 16
 HOT, LEADERS, BLOCK_WORDS, PAIRS_AT_ONCE = 500, 64, 400_000, 50_000
 #: Sets of a word that is never joined pairwise, and pairs a set from which a hot word is left to :func:`hot_later`.
 MOST, DENSE = 20_000, 16
+#: Earliest candidates under a prefix word that a set is compared with at first.
+EARLIEST = 2
 #: Rounds in which a table is worked on: one for each ROUND_CHARS bytes of text, up to a limit.
 MOST_ROUNDS, ROUND_CHARS = 2, 1 << 28
 _ID_BITS = 55
@@ -214,21 +219,23 @@ def repeated_sets(lines: DataFrame) -> DataFrame:
 
 
 def prefix_sets(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(id, n, skip, prefix, p0, p1): each set that has a prefix once, known by the id of its earliest line."""
-    own = lines.where(F.size("prefix") > 0)
+    """(id, n, skip, prefix, p0, p1, rank): each set that has a prefix once, known by the id of its earliest line; ``rank`` is that line's doc_id (null last)."""
+    own = lines.where(F.size("prefix") > 0).withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
     known = own.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"], "left").where(F.col("o").isNull() | (_order() == F.col("o")))
-    columns = ["id", "n", "skip", "prefix", "p0", "p1"]
+    columns = ["id", "n", "skip", "prefix", "p0", "p1", "rank"]
     return own.where("skip > 0").select(*columns).unionByName(known.select(*columns))
 
 
 def prefix_postings(sets: DataFrame) -> DataFrame:
-    """(token, id, at, p): a row per prefix word of each set.
+    """(token, id, at, p, rank): a row per prefix word of each set.
 
-    ``at`` holds 32 parity bits, the set's size and the word's place in 16 bits each; ``p`` 64 parity bits.
+    ``at`` holds 32 parity bits, the set's size and the word's place in 16 bits each; ``p`` 64 parity bits. Under words of
+    too few sets to leave a candidate out, all ranks are 0, which takes less room.
     """
-    rows = sets.select("id", "n", "skip", "p0", "p1", F.posexplode("prefix").alias("k", "token"))
+    rows = sets.select("id", "n", "skip", "p0", "p1", "rank", F.posexplode("prefix").alias("k", "token"))
+    some = F.shiftright("token", _ID_BITS) >= int(4 * np.log2(EARLIEST + 2))
     at = F.shiftleft(F.col("p1").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_FULL)).cast("long"), 16)).bitwiseOR(F.least(F.col("k") + F.col("skip"), F.lit(_FULL)).cast("long"))
-    return rows.select("token", "id", at.alias("at"), F.col("p0").alias("p"))
+    return rows.select("token", "id", at.alias("at"), F.col("p0").alias("p"), F.when(some, F.col("rank")).otherwise(0).alias("rank"))
 
 
 def set_size(at: Column) -> Column:
@@ -236,10 +243,9 @@ def set_size(at: Column) -> Column:
 
 
 def pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of postings that come by token: pairs under the same token that pass the length, position and parity filters, or (token, -1).
+    """What :func:`similar_pairs` makes of postings that come by token.
 
-    A token's rows are ordered by size and id, so the sets that one may be similar to are a run after it. Only whole
-    tokens are worked on; the rows of the last one wait for the next batch. Pairs are made ``PAIRS_AT_ONCE`` at a time.
+    Only whole tokens are worked on; the rows of the last one wait for the next batch.
     """
     held: list[np.ndarray] | None = None
     for b in lean(batches):
@@ -253,22 +259,70 @@ def pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from similar_pairs(*held)
 
 
-def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole tokens, of arrays in the order of the token; for a dense token -1 in place of its further pairs."""
+def _two(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndarray, rank: np.ndarray | None = None, probe: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of whole tokens, of arrays in the order of the token: pairs under the same token that pass the length, position and parity filters.
+
+    A token's rows are ordered by size, rank and id, so the sets that one may be similar to are a run after it. Pairs are made ``PAIRS_AT_ONCE`` at a time.
+    Without ranks all pairs are returned, and (token, -1) in place of the further pairs of a dense token. With ranks, a set's pairs
+    with the ``EARLIEST`` others of each run, (id, -1) for a set that has more, and (token, -2) for a dense token. With ``probe`` all pairs of the rows marked by it
+    and rows of no greater rank, and (token, -1) for a dense token.
+    """
+    thin, marked = rank is not None and probe is None, probe is not None
+    rank, probe = np.zeros(len(token), np.int64) if rank is None else rank, np.ones(len(token), np.int64) if probe is None else probe
     new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     alone = new & np.concatenate([new[1:], [True]]) if len(token) else new
-    group, token, ids, at, p = np.cumsum(new)[~alone], token[~alone], ids[~alone], at[~alone], p[~alone]
+    group, token, ids, at, p, rank, probe = np.cumsum(new)[~alone], *(x[~alone] for x in (token, ids, at, p, rank, probe))
     key = (group << 16) | ((at >> 16) & _FULL)
-    order = np.lexsort((ids, key))
-    key, ids, at, p = key[order], ids[order], at[order], p[order]
+    order = np.lexsort((ids, rank, key))
+    key, ids, at, p, rank, probe = key[order], ids[order], at[order], p[order], rank[order], probe[order]
     n, place, bits, base = key & _FULL, at & _FULL, (at >> 32).astype(np.uint32), key & ~np.int64(_FULL)
     after = np.arange(len(key)) + 1
     reach = np.searchsorted(key, base | np.minimum(n * DEN // NUM, _FULL), side="right")
     ends = np.where(place * (NUM + DEN) <= n * (DEN - NUM), reach, after)
     _, begins, owner = np.unique(group, return_index=True, return_inverse=True)  # the order keeps groups where they are
     sizes, made, dense = np.diff(np.append(begins, len(group))), np.zeros(len(begins), np.int64), np.zeros(len(begins), bool)
-    runs = [(after, ends)]
-    if (n == _FULL).any():  # of a size that is not told apart: nothing is known of such pairs
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows and later rows of their tokens pass the filters."""
+        an, bn, ap, bp = n[x], n[y], place[x], place[y]
+        both = an + bn
+        near = (np.minimum(ap, bp) + np.minimum(an - ap, bn - bp)) * (NUM + DEN) >= both * NUM
+        apart = np.bitwise_count(p[x].view(np.uint64) ^ p[y].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits[x] ^ bits[y])
+        return (near & (apart * (NUM + DEN) <= both * (DEN - NUM)) & (y < ends[x])) | (bn == _FULL)
+
+    def earliest(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        turned = (rank[x] > rank[y]) | ((rank[x] == rank[y]) & (ids[x] > ids[y]))
+        later, first = np.where(turned, x, y), np.where(turned, y, x)
+        by = np.lexsort((ids[first], rank[first], later))
+        later, first = later[by], first[by]
+        starts = np.flatnonzero(np.diff(later, prepend=-1))
+        more = np.arange(len(later)) - np.repeat(starts, np.diff(np.append(starts, len(later)))) >= EARLIEST
+        yield _two(ids[later[~more]], ids[first[~more]])
+        # Of equal ranks either may be the later one.
+        left = np.unique(np.concatenate([later[more], first[more & (rank[later] == rank[first])]]))
+        if len(left):
+            yield _two(ids[left], np.full(len(left), -1))
+
+    def led(g: int) -> Iterator[pa.RecordBatch]:
+        yield _two(token[begins[g : g + 1]], np.full(1, -2))
+        rest = begins[g] + np.arange(sizes[g])
+        rest = rest[np.lexsort((ids[rest], rank[rest]))]
+        for _ in range(LEADERS):
+            if len(rest) < 2:
+                break
+            lead, rest = rest[0], rest[1:]
+            near = alike(np.minimum(lead, rest), np.maximum(lead, rest))
+            if near.any():
+                yield _two(ids[rest[near]], np.full(near.sum(), ids[lead]))
+            rest = rest[~near]
+
+    rows = np.flatnonzero(probe)
+    runs = [(begins[owner[rows]], (begins + sizes)[owner[rows]])] if marked else [(after, ends)]
+    if not marked and (n == _FULL).any():  # of a size that is not told apart: nothing is known of such pairs
         runs.append((np.maximum(ends, np.searchsorted(key, base | _FULL)), np.searchsorted(key, base | _FULL, side="right")))
     for first, last in runs:
         count = np.maximum(last - first, 0)
@@ -276,35 +330,38 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
         k = 0
         while k < len(count):
             m = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, side="right")) - 1)
-            x, y = np.repeat(np.arange(k, m), count[k:m]), ragged(count[k:m], first[k:m])
-            g0, g1 = owner[k], owner[m - 1] + 1
+            x, y = np.repeat(rows[k:m], count[k:m]), ragged(count[k:m], first[k:m])
+            g0, g1 = owner[rows[k]], owner[rows[m - 1]] + 1
             k = m
-            an, bn, ap, bp = n[x], n[y], place[x], place[y]
-            both = an + bn
-            near = (np.minimum(ap, bp) + np.minimum(an - ap, bn - bp)) * (NUM + DEN) >= both * NUM
-            apart = np.bitwise_count(p[x].view(np.uint64) ^ p[y].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits[x] ^ bits[y])
-            keep = (near & (apart * (NUM + DEN) <= both * (DEN - NUM))) | (bn == _FULL)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x[keep]]), pa.array(ids[y[keep]])], ["a", "b"])
+            if marked:
+                other = (x != y) & (rank[y] <= rank[x])
+                x, y = np.minimum(x, y)[other], np.maximum(x, y)[other]
+            keep = alike(x, y)
+            x, y = x[keep], y[keep]
+            if len(x):
+                yield from earliest(x, y) if thin else [_two(ids[x], ids[y])]
             if (sizes[g0:g1] > HOT).any():
-                made[g0:g1] += np.bincount(owner[x[keep]] - g0, minlength=g1 - g0)
+                made[g0:g1] += np.bincount(owner[x] - g0, minlength=g1 - g0)
                 full = g0 + np.flatnonzero((sizes[g0:g1] > HOT) & ~dense[g0:g1] & (made[g0:g1] > DENSE * sizes[g0:g1]))
-                if len(full):
-                    dense[full] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(token[begins[full]]), pa.array(np.full(len(full), -1))], ["a", "b"])
-            while k < len(count) and dense[owner[k]]:
-                k = int(begins[owner[k]] + sizes[owner[k]])
+                dense[full] = True
+                if thin:
+                    for g in full:
+                        yield from led(g)
+                elif len(full):
+                    yield _two(token[begins[full]], np.full(len(full), -1))
+            while k < len(count) and dense[owner[rows[k]]]:
+                g = owner[rows[k]]
+                k = int(np.searchsorted(rows, begins[g] + sizes[g]))
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters, and (token, -1) of dense words.
+    """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters, and marks, as :func:`similar_pairs` returns them.
 
-    The smaller set (of equal ones that of the lesser id) is the first; its shared word lies in the shorter
+    The smaller set (of equal ones that of the lesser rank) is looked up by its place: its shared word lies in the shorter
     prefix that suffices against sets of its size or more. Sizes of ``_FULL`` or more pass every filter.
     One shuffle and one sort by the word serve both sides.
     """
-    rows = postings.select("token", "id", "at", "p").repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(pairs_of_words, "a long, b long").distinct()
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(pairs_of_words, "a long, b long").distinct()
 
 
 def set_words(texts: DataFrame, wanted: DataFrame, rounds: int = 1) -> DataFrame:
@@ -402,8 +459,10 @@ def later_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
 
 
-def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
-    """(id): sets of hot words (token, id, n) that have an earlier similar set under the same word."""
+def hot_later(hot: DataFrame, words: DataFrame, done: DataFrame) -> DataFrame:
+    """(id): sets of hot words (token, id, n), but for those that are ``done``, that have an earlier similar set under the same word."""
+    probes = staged(hot.join(broadcast_if_small(done), "id", "left_anti"))
+    hot = hot.join(broadcast_if_small(staged(probes.select("token").distinct())), "token", "left_semi")
     words = staged(words.join(broadcast_if_small(staged(hot.select("id").distinct())), "id"))  # hot sets only
     members = hot.select("token", "id").join(words.select("id", "o"), "id").withColumn("slot", F.pmod(F.hash("id"), F.lit(LEADERS)))
     leaders = members.groupBy("token", "slot").agg(F.min(F.struct("o", "id")).alias("f")).select("token", "f.id")
@@ -418,10 +477,10 @@ def hot_later(hot: DataFrame, words: DataFrame) -> DataFrame:
         return full.select(*keys, "id", "o", "words", "probe", "index").mapInArrow(lambda b: later_in_groups(b, keys), "id long").distinct()
 
     zero, true, false = F.lit(0).alias("other"), F.lit(True), F.lit(False)
-    first = part(hot).select("token", "part", zero, "id", true.alias("probe"), false.alias("index"))
+    first = part(probes).select("token", "part", zero, "id", true.alias("probe"), false.alias("index"))
     second = every.select("token", "part", zero, "id", false.alias("probe"), true.alias("index"))
     led = staged(run(first.unionByName(second)))
-    left = part(hot.join(led, "id", "left_anti"))
+    left = part(probes.join(led, "id", "left_anti"))
     grid = left.select("token", "part", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), true.alias("probe"), false.alias("index"))
     needed = left.select("token", "part").distinct()
     against = part(hot).select("token", F.col("part").alias("other"), "id").join(needed, "token").select("token", "part", "other", "id", false.alias("probe"), true.alias("index"))
@@ -434,7 +493,8 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     whole = staged(line_sets(texts, rarity).withColumn("id", F.monotonically_increasing_id()))
     repeated = staged(repeated_sets(whole))
     # The sets and the places of lines are read apart from here on, and the sets several times.
-    postings = prefix_postings(staged(prefix_sets(whole, repeated)))
+    sets = staged(prefix_sets(whole, repeated))
+    postings = prefix_postings(sets)
     lines = staged(whole.select("id", "s0", "s1", "skip", "doc_id", "h0", "h1", "line"))
     for path in {f.rsplit("/", 1)[0] for f in whole.inputFiles()}:
         dropped(whole.sparkSession, path)
@@ -449,23 +509,47 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
         rows = postings.where(F.pmod("token", F.lit(rounds)) == k) if rounds > 1 else postings
         return staged(candidate_pairs(rows if never is None else rows.join(never, "token", "left_anti")))
 
+    def of_pairs(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id")))
+
+    def words_of(ids: DataFrame) -> DataFrame:
+        places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(ids)), "id")
+        return set_words(texts, places.withColumn("o", _order()), rounds)
+
+    def members(tokens: DataFrame | None) -> DataFrame:
+        every = postings.select("token", "id", set_size(F.col("at")).alias("n"))
+        return staged(every.limit(0) if tokens is None else every.join(broadcast_if_small(tokens), "token", "left_semi"))
+
     both = functools.reduce(DataFrame.unionByName, [found(k) for k in range(rounds)])
     pairs = staged(both.where("b >= 0").distinct()) if rounds > 1 else both.where("b >= 0")
-    hot_tokens = staged(most.unionByName(both.where("b < 0").select(F.col("a").alias("token"))).distinct())
-    some_hot = hot_tokens.limit(1).count() > 0
-    every = postings.select("token", "id", set_size(F.col("at")).alias("n"))
-    hot = staged(every.join(broadcast_if_small(hot_tokens), "token", "left_semi") if some_hot else every.limit(0))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
-    places = lines.select("id", "doc_id", "h0", "h1", "line").join(broadcast_if_small(staged(wanted)), "id")
-    words = set_words(texts, places.withColumn("o", _order()), rounds)
-    later = verified_later(pairs, words)
-    if some_hot:
-        later = later.unionByName(hot_later(hot, words)).distinct()
+    hot = members(None if never is None else most)
+    words = words_of(of_pairs(pairs).unionByName(hot.select("id")).distinct())
+    later = staged(verified_later(pairs, words))
+    left = both.where("b = -1").select(F.col("a").alias("id")).distinct()
+    left = staged(left.join(broadcast_if_small(later), "id", "left_anti"))
+    whose = prefix_postings(sets.join(broadcast_if_small(left), "id", "left_semi")).select("token", F.lit(False).alias("every"))
+    whose = whose.unionByName(both.where("b = -2").select(F.col("a").alias("token"), F.lit(True).alias("every")))
+    tokens = staged((whose if never is None else whose.join(never, "token", "left_anti")).groupBy("token").agg(F.max("every").alias("every")))
+    if tokens.limit(1).count():
+        # All candidates of the sets that had more than were compared and, under dense words, of every set, where no match was found.
+        state = staged(left.withColumn("probe", F.lit(1).cast("long")).unionByName(later.withColumn("probe", F.lit(0).cast("long"))))
+        rows = postings.join(broadcast_if_small(tokens), "token").join(broadcast_if_small(state), "id", "left")
+        both = staged(candidate_pairs(rows.select(*postings.columns, F.coalesce("probe", F.col("every").cast("long")).alias("probe"))))
+        pairs = both.where("b >= 0")
+        dense = staged(both.where("b < 0").select(F.col("a").alias("token")))
+        if dense.limit(1).count():
+            hot = members(most.unionByName(dense))
+        missing = staged(of_pairs(pairs).unionByName(hot.select("id")).distinct().join(words.select("id"), "id", "left_anti"))
+        if missing.limit(1).count():
+            words = words.unionByName(words_of(missing))
+        later = staged(later.unionByName(verified_later(pairs, words)).distinct())
+    if hot.limit(1).count():
+        later = later.unionByName(hot_later(hot, words, later)).distinct()
     marked = lines.select("id", "s0", "s1", "skip", "doc_id", "h0", "h1", "line")
     later = marked.join(broadcast_if_small(staged(later)), "id")
-    sets = staged(later.select("s0", "s1").distinct())
+    gone_sets = staged(later.select("s0", "s1").distinct())
     # A set that is a later match goes with all its lines; of other repeated sets the first line stays.
-    alike = marked.join(broadcast_if_small(sets), ["s0", "s1"]).select("h0", "h1", "line")
+    alike = marked.join(broadcast_if_small(gone_sets), ["s0", "s1"]).select("h0", "h1", "line")
     again = marked.where("skip = 0").join(broadcast_if_small(repeated), ["s0", "s1"]).where(_order() != F.col("o")).select("h0", "h1", "line")
     gone = alike.unionByName(again)
     return gone.groupBy("h0", "h1").agg(F.collect_set("line").alias("lines"))

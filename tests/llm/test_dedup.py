@@ -277,3 +277,46 @@ def test_packed_counts_are_at_most_halved():
     n = np.concatenate([np.arange(1, 1000), [65_535, 2**31 - 1]])
     back = line_dedup.unpacked_counts(line_dedup.packed_counts(n))
     assert (back <= n).all() and (2 * back > n).all() and (back[:200] == n[:200]).all()
+
+
+def pairs_of(batches):
+    return [(a, b) for x in batches for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+
+
+@pytest.mark.parametrize("hot", [1000, 50])
+def test_pairs_of_a_family_grow_with_its_size_alone(monkeypatch, hot):
+    """Of m near sets each is paired with few earlier ones, where all pairs were m * (m - 1) / 2."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = np.random.default_rng(3)
+    for m in (80, 400):
+        rows = np.full(m, 9), rng.permutation(m), (40 + np.arange(m) % 3) << 16, np.zeros(m, np.int64)
+        pairs = {x for x in pairs_of(line_dedup.similar_pairs(*rows, rank=rows[1] * 5)) if x[1] >= 0}
+        assert {a for a, _ in pairs} == set(range(1, m)) and all((a, 0) in pairs for a in range(1, m))
+        assert len(pairs) <= 4 * m
+
+
+@pytest.mark.parametrize(("hot", "most"), [(500, 50_000), (500, 7), (5, 7)])
+def test_pairs_left_out_are_marked_and_found_by_the_second_pass(monkeypatch, hot, most):
+    for name, value in {"HOT": hot, "DENSE": 1, "LEADERS": 2, "PAIRS_AT_ONCE": most}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(8)
+    token = np.sort(rng.integers(0, 12, 200))
+    ids, rank = rng.permutation(200), rng.integers(0, 30, 200)
+    n = rng.choice([9, 10, 11, 30, line_dedup._FULL], 200)
+    at, p = (n << 16) | rng.integers(0, 2, 200), rng.integers(0, 4, 200)
+    rank_of = dict(zip(ids.tolist(), rank.tolist(), strict=True))
+    monkeypatch.setattr(line_dedup, "HOT", 10**6)
+    every = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p)))
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    first = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p, rank)))
+    every_of = {a for a, b in first if b == -2}
+    marked = {a for a, b in first if b == -1} | set(ids[np.isin(token, list(every_of))].tolist())
+    probe = np.isin(ids, list(marked)).astype(np.int64)
+    second = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p, rank, probe)))
+    dense = {a for a, b in second if b < 0}
+    token_of, some = dict(zip(ids.tolist(), token.tolist(), strict=True)), {frozenset(x) for x in first | second}
+    assert marked and bool(dense) == (hot == 5) and {frozenset(x) for x in first | second if x[1] >= 0} <= {frozenset((a, b)) for a, b in every if a != b}
+    for a, b in every:
+        later = {x for x, y in ((a, b), (b, a)) if rank_of[x] >= rank_of[y]}
+        assert frozenset((a, b)) in some or (later <= marked and token_of[a] in dense), (a, b)
+        assert later <= marked or frozenset((a, b)) in {frozenset(x) for x in first}
