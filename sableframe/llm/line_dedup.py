@@ -268,7 +268,7 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
 
     A token's rows are ordered by size, rank and id, so the sets that one may be similar to are a run after it. Pairs are made ``PAIRS_AT_ONCE`` at a time.
     Without ranks all pairs are returned, and (token, -1) in place of the further pairs of a dense token. With ranks, a set's pairs
-    with the ``EARLIEST`` others of each run, (id, -1) for a set that has more, and (token, -2) for a dense token. With ``probe`` all pairs of the rows marked by it
+    with the ``EARLIEST`` others of each run, and (id, -1 - token) for a set that has more or whose token is dense. With ``probe`` all pairs of the rows marked by it
     and rows of no greater rank, and (token, -1) for a dense token.
     """
     thin, marked = rank is not None and probe is None, probe is not None
@@ -305,11 +305,11 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
         # Of equal ranks either may be the later one.
         left = np.unique(np.concatenate([later[more], first[more & (rank[later] == rank[first])]]))
         if len(left):
-            yield _two(ids[left], np.full(len(left), -1))
+            yield _two(ids[left], ~token[left])
 
     def led(g: int) -> Iterator[pa.RecordBatch]:
-        yield _two(token[begins[g : g + 1]], np.full(1, -2))
         rest = begins[g] + np.arange(sizes[g])
+        yield _two(ids[rest], ~token[rest])
         rest = rest[np.lexsort((ids[rest], rank[rest]))]
         for _ in range(LEADERS):
             if len(rest) < 2:
@@ -525,16 +525,14 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     hot = members(None if never is None else most)
     words = words_of(of_pairs(pairs).unionByName(hot.select("id")).distinct())
     later = staged(verified_later(pairs, words))
-    left = both.where("b = -1").select(F.col("a").alias("id")).distinct()
+    left = both.where("b < 0").select(F.col("a").alias("id"), F.bitwise_not("b").alias("token"))
     left = staged(left.join(broadcast_if_small(later), "id", "left_anti"))
-    whose = prefix_postings(sets.join(broadcast_if_small(left), "id", "left_semi")).select("token", F.lit(False).alias("every"))
-    whose = whose.unionByName(both.where("b = -2").select(F.col("a").alias("token"), F.lit(True).alias("every")))
-    tokens = staged((whose if never is None else whose.join(never, "token", "left_anti")).groupBy("token").agg(F.max("every").alias("every")))
-    if tokens.limit(1).count():
-        # All candidates of the sets that had more than were compared and, under dense words, of every set, where no match was found.
-        state = staged(left.withColumn("probe", F.lit(1).cast("long")).unionByName(later.withColumn("probe", F.lit(0).cast("long"))))
-        rows = postings.join(broadcast_if_small(tokens), "token").join(broadcast_if_small(state), "id", "left")
-        both = staged(candidate_pairs(rows.select(*postings.columns, F.coalesce("probe", F.col("every").cast("long")).alias("probe"))))
+    if left.limit(1).count():
+        # All candidates of the sets that no match was found for, under the words that had more than were compared.
+        tokens = broadcast_if_small(staged(left.select("token").distinct()))
+        probes = broadcast_if_small(left.withColumn("probe", F.lit(1).cast("long")))
+        rows = postings.join(tokens, "token", "left_semi").join(probes, ["token", "id"], "left")
+        both = staged(candidate_pairs(rows.select(*postings.columns, F.coalesce("probe", F.lit(0).cast("long")).alias("probe"))))
         pairs = both.where("b >= 0")
         dense = staged(both.where("b < 0").select(F.col("a").alias("token")))
         if dense.limit(1).count():

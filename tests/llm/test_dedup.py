@@ -309,8 +309,7 @@ def test_pairs_left_out_are_marked_and_found_by_the_second_pass(monkeypatch, hot
     every = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p)))
     monkeypatch.setattr(line_dedup, "HOT", hot)
     first = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p, rank)))
-    every_of = {a for a, b in first if b == -2}
-    marked = {a for a, b in first if b == -1} | set(ids[np.isin(token, list(every_of))].tolist())
+    marked = {a for a, b in first if b < 0}
     probe = np.isin(ids, list(marked)).astype(np.int64)
     second = set(pairs_of(line_dedup.similar_pairs(token, ids, at, p, rank, probe)))
     dense = {a for a, b in second if b < 0}
