@@ -53,7 +53,8 @@ def running(lengths: Column, chunk: int = 256) -> Column:
         before = lambda p: F.aggregate(sums(p), step(F.lit(0)), add, lambda s: s["out"])
         return let(parts, lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda c, k: F.aggregate(c, step(F.get(b, k)), add, lambda s: s["out"])))))
 
-    return let(lengths.cast("array<int>"), whole)
+    short = lambda x: F.aggregate(x, step(F.lit(0)), add, lambda s: s["out"])
+    return let(lengths.cast("array<int>"), lambda x: F.when(F.size(x) <= chunk, short(x)).otherwise(whole(x)))
 
 
 def pseudonym(label: Column, n: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sableframe.functions.text import running
@@ -19,16 +20,26 @@ def undersample(rows: DataFrame, label: str, key: str, ratio: float = 1.5) -> Da
     Positions are counted in ranges of the md5 within each class, so no task orders a class. Rows without a label are left out.
     """
     labelled = rows.where(F.col(label).isNotNull())
-    sizes = labelled.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_min", F.min("_n").over(Window.partitionBy()))  # one row per class
-    limit = sizes.select(label, F.when(F.col("_n") / F.col("_min") > ratio, F.bround(F.lit(float(ratio))).cast("long") * F.col("_min")).otherwise(F.col("_n")).alias("_limit"))
+    limit = class_limits(labelled.groupBy(label).agg(F.count("*").alias("_n")), "_n", ratio).select(label, "_limit")
     return numbered(labelled, key, "_at", label).drop("n_rows").join(limit, label).where("_at < _limit").drop("_at", "_limit")
 
 
+def class_limits(sizes: DataFrame, n: str, ratio: float) -> DataFrame:
+    """Adds ``_limit``: how many rows :func:`undersample` leaves of each class, of their sizes."""
+    least = F.min(n).over(Window.partitionBy())  # one row per class
+    return sizes.withColumn("_min", least).withColumn("_limit", F.when(F.col(n) / F.col("_min") > ratio, F.bround(F.lit(float(ratio))).cast("long") * F.col("_min")).otherwise(F.col(n))).drop("_min")
+
+
 def oversample_plan(rows: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
     """Per class its size and how many variants each of its rows needs (0: it is large enough)."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n")).withColumn("most", F.max("n").over(Window.partitionBy()))  # one row per class
+    return class_variants(rows.groupBy(label).agg(F.count("*").alias("n")), label, ratio)
+
+
+def class_variants(sizes: DataFrame, label: str, ratio: float) -> DataFrame:
+    """What :func:`oversample_plan` returns, of the classes and their sizes ``n``."""
+    most = sizes.withColumn("most", F.max("n").over(Window.partitionBy()))  # one row per class
     factor = F.floor(F.bround(F.col("n") * (F.col("most") / F.col("n"))) / F.col("n")).cast("long") + 1
-    return sizes.select(label, "n", F.when(F.col("most") / F.col("n") > ratio, factor).otherwise(F.lit(0)).cast("long").alias("num_aug"))
+    return most.select(label, "n", F.when(F.col("most") / F.col("n") > ratio, factor).otherwise(F.lit(0)).cast("long").alias("num_aug"))
 
 
 def split(rows: DataFrame, key: str, train: float = 0.7, val: float = 0.2) -> DataFrame:
@@ -119,28 +130,47 @@ def interleaved(rows: DataFrame, key: str, is_first: Column) -> DataFrame:
     return both.withColumn("position", at).drop("_first", "_k", "_a", "_b")
 
 
-def oversampled(examples: DataFrame, label: str, ratio: float = 1.5) -> DataFrame:
-    """Classes that are too small are replaced by made-up variants of their examples (example_id, text, annots, label); others stay as they are (variant 0)."""
-    from sableframe.operators.synthetic import varied
-
-    planned = examples.join(oversample_plan(examples, label, ratio).select(label, "num_aug"), label)
-    numbers = F.when(F.col("num_aug") > 0, F.sequence(F.lit(1), F.col("num_aug").cast("int"))).otherwise(F.array(F.lit(0)))
-    rows = planned.select("example_id", F.explode(numbers).alias("variant"), "text", "annots", label)
-    own = F.col("variant") == 0
-    new = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"made.{c}")).alias(c)
-    return varied(rows).select("example_id", "variant", new("text"), new("annots"), label)
+def _local(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Rows of the driver as a table that needs no Python workers."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(columns.items())}))
 
 
 def balanced(examples: DataFrame, ratio: float = 1.5) -> DataFrame:
     """Examples (example_id, text, annots) balanced by class: those with one label over- then undersampled, the others appended.
 
+    Classes that are too small are replaced by made-up variants of their examples; others stay as they are (variant 0).
     Returns example_id, variant, text, annots and label (null for examples of several labels or none).
+
+    The classes are counted in a pass of its own, and one row per class goes to the driver. Which rows stay follows from these sizes and the ids: ids
+    are ordered only where a class loses rows, and texts are neither shuffled nor joined. Examples of equal id stay or go together.
     """
-    single = examples.where(single_entity()).withColumn("label", F.col("annots")[0]["label"])
-    more = oversampled(single, "label", ratio).withColumn("_key", F.concat_ws(":", "example_id", "variant"))
-    fewer = undersample(more, "label", "_key", ratio).drop("_key")
-    rest = examples.where(~single_entity()).select("example_id", F.lit(0).alias("variant"), "text", "annots", F.lit(None).cast("string").alias("label"))
-    return fewer.select(*rest.columns).unionByName(rest)
+    from sableframe.operators.synthetic import made, marked
+
+    spark = examples.sparkSession
+    # Not filtered by label: Spark moves such a filter to where the annotations come from and makes them twice.
+    known = examples.withColumn("label", F.when(single_entity(), F.col("annots")[0]["label"]))
+    sizes = [tuple(r) for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] is not None]
+    classes = class_variants(_local(spark, sizes, label=pa.string(), n=pa.int64()), "label", ratio)
+    plan = class_limits(classes.withColumn("_made", F.col("n") * F.greatest("num_aug", F.lit(1))), "_made", ratio).collect()
+    planned = lambda how, rows, **more: known.join(F.broadcast(_local(spark, rows, label=pa.string(), num_aug=pa.int64(), **more)), "label", how)
+    number = F.explode(F.when(F.col("num_aug") > 0, F.sequence(F.lit(1), F.col("num_aug").cast("int"))).otherwise(F.array(F.lit(0)))).alias("variant")
+    key = F.concat_ws(":", "example_id", "variant")
+    cut = [(r["label"], r["num_aug"], r["_limit"]) for r in plan if r["_limit"] < r["_made"]]
+    last = {}
+    if cut:
+        keys = numbered(planned("inner", cut, most=pa.int64()).select("example_id", "label", "most", number).withColumn("_key", key), "_key", "_at", "label")
+        last = {r["label"]: r["last"] for r in keys.where("_at < most").groupBy("label").agg(F.max(F.struct(F.md5("_key"), "_key")).alias("last")).collect()}
+    lost = {r[0] for r in cut}
+    every = [(r["label"], r["num_aug"], r["label"] in lost, *last.get(r["label"], (None, None))) for r in plan]
+    rows = marked(planned("left", every, cut=pa.bool_(), last_md5=pa.string(), last_key=pa.string()), F.coalesce(F.col("num_aug") > 0, F.lit(False)))
+    rows = rows.select("example_id", number, "text", "annots", "label", "cut", "last_md5", "last_key", "_m", "_s")
+    if cut:
+        md5 = F.md5(key)
+        stays = (md5 < F.col("last_md5")) | ((md5 == F.col("last_md5")) & (key <= F.col("last_key")))
+        rows = rows.where(~F.coalesce("cut", F.lit(False)) | F.coalesce(stays, F.lit(False)))
+    own = F.col("variant") == 0
+    new = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"made.{c}")).alias(c)
+    return rows.withColumn("made", made()).select("example_id", "variant", new("text"), new("annots"), "label")
 
 
 def dataset(examples: DataFrame, key: str = "example_id", train: float = 0.7, val: float = 0.2) -> DataFrame:

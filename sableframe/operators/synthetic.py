@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sableframe.functions.rules import PLACEHOLDER_WORDS
-from sableframe.functions.text import date_form
+from sableframe.functions.text import date_form, let
 
 ANNOTS = "array<struct<start:int,end:int,label:string>>"
 #: Values that stand for real ones, by label.
@@ -42,22 +42,25 @@ def placeholders(text: Column, annots: Column) -> Column:
     """
     kept = F.filter(without_parts(annots), lambda a: a["label"].isin(list(PLACEHOLDER_WORDS)))
 
-    def number(a: Column, i: Column) -> Column:
+    def number(kept: Column, a: Column, i: Column) -> Column:
         k = F.size(F.filter(F.slice(kept, 1, i + 1), lambda b: b["label"] == a["label"]))
         value = F.substring(text, a["start"] + 1, a["end"] - a["start"])
         form = F.when(a["label"] == "DATE", date_form(value))
         return F.struct(a["label"].alias("label"), k.alias("k"), value.alias("value"), form.alias("form"), a["start"].alias("start"), a["end"].alias("end"))
 
-    numbered = F.transform(kept, number)
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def put(s: Column, v: Column) -> Column:
         mark = F.concat(F.lit("["), _word(v["label"]), v["k"].cast("string"), F.lit("]"))
         return F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(v["start"] - s["at"], F.lit(0))), mark).alias("out"), v["end"].alias("at"))
 
-    said = F.aggregate(numbered, first, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    values = F.transform(numbered, lambda v: F.struct(v["label"].alias("label"), v["k"].alias("k"), v["value"].alias("value"), v["form"].alias("form")))
-    return F.struct(said.alias("text"), values.alias("values"))
+    def both(numbered: Column) -> Column:
+        said = F.aggregate(numbered, first, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+        values = F.transform(numbered, lambda v: F.struct(v["label"].alias("label"), v["k"].alias("k"), v["value"].alias("value"), v["form"].alias("form")))
+        return F.struct(said.alias("text"), values.alias("values"))
+
+    # Named by ``let``: an expression used within the steps of another is computed anew in each step.
+    return let(let(kept, lambda some: F.transform(some, lambda a, i: number(some, a, i))), both)
 
 
 def placeholder_spans(text: Column, values: Column) -> Column:
@@ -112,24 +115,30 @@ def filled(text: Column, spans: Column, *seed: Column) -> Column:
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.array().cast(ANNOTS).alias("annots"))
 
     def put(s: Column, p: Column) -> Column:
-        value = made_up(p["label"], p["form"], *seed, p["label"], p["start"])
+        def with_value(lead: Column, value: Column) -> Column:
+            own = F.array(F.struct(F.length(lead).alias("start"), (F.length(lead) + F.length(value)).alias("end"), p["label"].alias("label")))
+            parts = F.when(p["label"] == "ADDR", address_parts(value, F.length(lead))).otherwise(F.array().cast(ANNOTS))
+            return F.struct(F.concat(lead, value).alias("out"), p["end"].alias("at"), F.concat(s["annots"], own, parts).alias("annots"))
+
         lead = F.concat(s["out"], F.substring(text, s["at"] + 1, p["start"] - s["at"]))
-        own = F.array(F.struct(F.length(lead).alias("start"), (F.length(lead) + F.length(value)).alias("end"), p["label"].alias("label")))
-        parts = F.when(p["label"] == "ADDR", address_parts(value, F.length(lead))).otherwise(F.array().cast(ANNOTS))
-        return F.struct(F.concat(lead, value).alias("out"), p["end"].alias("at"), F.concat(s["annots"], own, parts).alias("annots"))
+        return let(lead, lambda x: let(made_up(p["label"], p["form"], *seed, p["label"], p["start"]), lambda v: with_value(x, v)))
 
     rest = lambda s: F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))).alias("text"), s["annots"].alias("annots"))
     return F.aggregate(spans, first, put, rest)
 
 
-def varied(rows: DataFrame) -> DataFrame:
-    """Adds ``made`` (text, annots): the example with made-up values, by example_id and variant; null where the variant is 0.
+def marked(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Adds ``_m`` and ``_s``, the placeholders of the ``wanted`` examples and where they lie, which :func:`made` fills.
 
-    The placeholders are a column of their own, so that they are computed once per row and not within each step of the filling.
+    They are columns of their own, so that they are computed once per row and not within each step of the filling.
     """
-    marked = rows.withColumn("_m", F.when(F.col("variant") > 0, placeholders(F.col("text"), F.col("annots"))))
-    spanned = marked.withColumn("_s", placeholder_spans(F.col("_m.text"), F.col("_m.values")))
-    return spanned.withColumn("made", filled(F.col("_m.text"), F.col("_s"), F.col("example_id"), F.col("variant"))).drop("_m", "_s")
+    said = rows.withColumn("_m", F.when(wanted, placeholders(F.col("text"), F.col("annots"))))
+    return said.withColumn("_s", placeholder_spans(F.col("_m.text"), F.col("_m.values")))
+
+
+def made() -> Column:
+    """(text, annots): a :func:`marked` example with made-up values, by example_id and variant; null where it is not wanted."""
+    return filled(F.col("_m.text"), F.col("_s"), F.col("example_id"), F.col("variant"))
 
 
 def variants(examples: DataFrame, n: str | Column = "num_aug") -> DataFrame:
@@ -139,8 +148,9 @@ def variants(examples: DataFrame, n: str | Column = "num_aug") -> DataFrame:
     An example without annotations keeps its text.
     """
     count = F.col(n) if isinstance(n, str) else n
-    rows = examples.where(count > 0).withColumn("variant", F.explode(F.sequence(F.lit(1), count.cast("int"))))
-    return varied(rows).select("example_id", "variant", F.col("made.text").alias("text"), F.col("made.annots").alias("annots"))
+    # Placeholders are the same for all variants of an example.
+    rows = marked(examples.withColumn("_n", count.cast("int")).where("_n > 0"), F.lit(True)).withColumn("variant", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return rows.withColumn("made", made()).select("example_id", "variant", F.col("made.text").alias("text"), F.col("made.annots").alias("annots"))
 
 
 def kept_rephrasings(rows: DataFrame, key: str = "example_id", text: str = "text", score: str = "score", low: float = 0.85, high: float = 0.995) -> DataFrame:

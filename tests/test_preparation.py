@@ -1,5 +1,6 @@
 """Redaction, matching and training examples on small cases; their queries against DuckDB on the smallest tables."""
 
+import hashlib
 import os
 import re
 import string
@@ -179,6 +180,27 @@ def test_balanced_and_dataset(spark):
     assert len(parts) == 15 and sorted(r["position"] for r in parts if r["part"] == "train") == list(range(sum(r["part"] == "train" for r in parts)))
 
 
+def test_balanced_keeps_the_first_rows_of_a_cut_class(spark):
+    ex = [(f"{label}{k}", f"{name}{k} x", [(0, len(f"{name}{k}"), label)]) for label, name, n in (("ORG", "Acme", 20), ("PERSON", "Bob", 14), ("LOC", "Rome", 9)) for k in range(n)]
+    ex += [("both", "Bob Acme", [(0, 3, "PERSON"), (4, 8, "ORG")]), ("none", "none", []), ("null", "said", None)]
+    got = examples.balanced(spark.createDataFrame(ex, f"example_id string, text string, annots {synthetic.ANNOTS}"), 1.2).collect()
+    # PERSON needs 2 variants each (28 rows), LOC 3 (27); 28 and 27 exceed 1.2 times the least class of 20, of which one time 20 stay.
+    for label, n, most in (("PERSON", 14, 2), ("LOC", 9, 3)):
+        keys = sorted((f"{label}{k}:{v}" for k in range(n) for v in range(1, most + 1)), key=lambda s: (hashlib.md5(s.encode()).hexdigest(), s))[:20]
+        assert sorted(f"{r['example_id']}:{r['variant']}" for r in got if r["label"] == label) == sorted(keys)
+    assert sum(r["label"] == "ORG" and r["variant"] == 0 and r["text"].startswith("Acme") for r in got) == 20
+    assert {r["example_id"] for r in got if r["label"] is None} == {"both", "none", "null"}
+    assert all(r["annots"][0]["label"] == r["label"] and r["text"].endswith(" x") for r in got if r["label"])
+
+
+def test_balanced_reads_the_examples_twice(spark, tmp_path):
+    rows = [(k, f"Acme{k}", [(0, 4, "ORG")]) for k in range(12)] + [(12, "Bob", [(0, 3, "PERSON")])]
+    spark.createDataFrame(rows, f"example_id long, text string, annots {synthetic.ANNOTS}").write.parquet(f"{tmp_path}/ex")
+    made = examples.balanced(spark.read.parquet(f"{tmp_path}/ex"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 25 and plan.count("parquet") == 1 and "Window" not in plan
+
+
 def test_files_by_name(spark, tmp_path):
     for d, name, said in (("a", "x.json", '{"%FEATURE_STRUCTURES": [{"%TYPE": "T", "begin": 0, "end": 2, "value": "ORG"}]}'), ("a", "y.json", '{"%FEATURE_STRUCTURES": [{"%TYPE": "T", "begin": 0, "end": 1, "value": "LOC"}]}'), ("t", "x.txt", "ab\nc")):
         os.makedirs(f"{tmp_path}/{d}", exist_ok=True)
