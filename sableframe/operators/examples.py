@@ -228,7 +228,8 @@ def sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
     before = F.coalesce(F.sum(F.length("_p")).over(Window.partitionBy(key).orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     said = F.regexp_replace("_p", r"^\s+|\s+$", "")
     lead = F.length("_p") - F.length(F.regexp_replace("_p", r"^\s+", ""))
-    placed = cut.withColumn("start", (before + lead).cast("int")).withColumn("sentence", said).where("sentence <> ''")
+    # Blank ones are told by the piece: a condition on the sentence would trim every piece twice.
+    placed = cut.withColumn("start", (before + lead).cast("int")).withColumn("sentence", said).where(F.col("_p").rlike(r"\S"))
     return placed.select(key, "sent", "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence")
 
 

@@ -16,7 +16,7 @@ _EDGE = r"[\s\p{P}!-/:-@\[-`{-~]"
 def matches(text: Column, pattern: str, label: str, rank: int) -> Column:
     """All matches of a pattern with code-point offsets, in one pass: matches are set between marks, and the text is split at those."""
     java = JAVA.get(pattern, pattern)
-    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), f"(?U){java}", f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_OTHER)), f"(?U){java}", f"{_MARK}$0{_MARK}")
     none = F.array().cast(SPAN)
 
     def spans(pieces: Column) -> Column:
