@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from sableframe.llm.set_overlap import Postings, groups
 from sableframe.llm.staging import broadcast_if_small, dropped, scratch, small_enough, staged
 from sableframe.llm.tables import let, table
-from sableframe.llm.text_kernels import WordHashes, lean, ragged, sorted_distinct, split_words, stir, word_table
+from sableframe.llm.text_kernels import lean, ragged, sorted_distinct, stir, word_table
 
 NUM, DEN = 4, 5  # a Jaccard of 0.8
 #: Buckets of words: one for each CHARS bytes of text, a power of two between the limits.
@@ -58,6 +58,8 @@ MOST, DENSE = 20_000, 16
 EARLIEST = 2
 #: Rounds in which a table is worked on: one for each ROUND_CHARS bytes of text, up to a limit.
 MOST_ROUNDS, ROUND_CHARS = 2, 1 << 28
+#: Postings that a task packs at a time, and bytes of text for a bucket of them.
+PACKED, BUCKET_CHARS = 1 << 20, 1 << 21
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
@@ -74,9 +76,8 @@ def text_key() -> list[Column]:
 
 def repeated_texts(docs: DataFrame) -> DataFrame:
     """(h0, h1, first): texts of more than one row, with their least doc_id (null last)."""
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"))
-    counted = docs.select("doc_id", *text_key()).groupBy("h0", "h1").agg(F.min(order).alias("o"), F.count("*").alias("copies"))
-    return counted.where("copies > 1").select("h0", "h1", F.col("o.doc_id").alias("first"))
+    counted = docs.select("doc_id", *text_key()).groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    return counted.where("copies > 1").select("h0", "h1", "first")
 
 
 def distinct_texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -354,6 +355,55 @@ def similar_pairs(token: np.ndarray, ids: np.ndarray, at: np.ndarray, p: np.ndar
                 k = int(np.searchsorted(rows, begins[g] + sizes[g]))
 
 
+def packed_postings(sets: DataFrame, buckets: int, rounds: int, k: int) -> DataFrame:
+    """(bucket, data): what :func:`prefix_postings` returns for the words of round ``k``, the columns of many rows one after the other in each ``data``.
+
+    All rows of a word are in one bucket. So few rows of bytes are shuffled and sorted in place of one for each posting.
+    """
+    least = int(4 * np.log2(EARLIEST + 2))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in lean(batches):
+            ids, n, skip, p0, p1, rank = (b.column(i).to_numpy() for i in range(6))
+            prefix = b.column(6)
+            count = np.diff(prefix.offsets.to_numpy())
+            token, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(ids)), count)
+            place = ragged(count, np.zeros(len(count), np.int64)) + skip[of]
+            at = (p1[of].astype(np.int64) << 32) | (np.minimum(n[of], _FULL).astype(np.int64) << 16) | np.minimum(place, _FULL)
+            full = np.stack([token, ids[of], at, p0[of], np.where((token >> _ID_BITS) >= least, rank[of], 0)])
+            held.append(full[:, token % rounds == k] if rounds > 1 else full)
+            if sum(x.shape[1] for x in held) > PACKED:
+                yield bundled(np.concatenate(held, axis=1), buckets)
+                held = []
+        if held:
+            yield bundled(np.concatenate(held, axis=1), buckets)
+
+    return sets.select("id", "n", "skip", "p0", "p1", "rank", "prefix").mapInArrow(pack, "bucket int, data binary")
+
+
+def bundled(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, data) of postings, given as a row of numbers for each of their columns."""
+    bucket = (stir(rows[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[:, order], bucket[order]
+    known, starts = np.unique(bucket, return_index=True)
+    data = [rows[:, a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`similar_pairs` makes of packed postings that come by bucket."""
+    for t in groups(batches, ["bucket"]):
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(5, -1) for x in t["data"]], axis=1)
+        yield from similar_pairs(*rows[:, np.argsort(rows[0], kind="stable")])
+
+
+def packed_pairs(packed: DataFrame) -> DataFrame:
+    """What :func:`candidate_pairs` makes of the same postings."""
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs_of_buckets, "a long, b long").distinct()
+
+
 def candidate_pairs(postings: DataFrame) -> DataFrame:
     """(a, b): ids of sets with a common prefix word that pass the length, position and parity filters, and marks, as :func:`similar_pairs` returns them.
 
@@ -377,26 +427,30 @@ def set_words(texts: DataFrame, wanted: DataFrame, rounds: int = 1) -> DataFrame
     return functools.reduce(DataFrame.unionByName, [staged(words_of_lines(texts.where(part == k), keys.where(part == k))) for k in range(rounds)])
 
 
+def sets_of_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, marks, words) of lines: how many distinct words each has, their ``_MARKS`` parity words, and their hashes, ascending in each line."""
+    owner, code, hashes = word_table(lines)
+    known, rank = np.unique(hashes, return_inverse=True)
+    pair = sorted_distinct((owner.astype(np.int64) << 32) | rank[code])
+    row, words = pair >> 32, known[pair & 0xFFFFFFFF]
+    odd = np.bincount(row * (64 * _MARKS) + (words % np.uint64(64 * _MARKS)).astype(np.int64), minlength=len(lines) * 64 * _MARKS).astype(np.uint8) & 1
+    return np.bincount(row, minlength=len(lines)), np.packbits(odd).view(np.int64), words.view(np.int64)
+
+
 def words_of_lines(texts: DataFrame, keys: DataFrame) -> DataFrame:
     pieces = F.split("text", "\n", -1)
     found = texts.join(keys, ["h0", "h1"]).select(let(pieces, lambda p: F.transform("lines.line", lambda i: F.get(p, i))).alias("said"), "lines.id", "lines.o")
 
-    def parity(words: np.ndarray) -> np.ndarray:
-        odd = np.bincount(words % (64 * _MARKS), minlength=64 * _MARKS).astype(np.uint8) & 1
-        return np.packbits(odd).view(np.int64)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in lean(batches):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                lines = part.column(0).flatten()
-                sets = [sorted_distinct(hashes.of(split_words(x.as_py()))).view(np.int64) for x in lines]
-                sizes = np.array([len(x) for x in sets], np.int32)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                marks = np.concatenate([parity(x.view(np.uint64)) for x in sets]) if sets else np.zeros(0, np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _MARKS), pa.array(marks)), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets) if sets else marks))]
-                yield pa.RecordBatch.from_arrays([part.column(1).flatten(), part.column(2).flatten(), pa.array(sizes), *lists], ["id", "o", "n", "marks", "words"])
+                lines, ids, o = (part.column(k).flatten() for k in range(3))
+                for k in range(0, len(lines), 4096):
+                    n, marks, words = sets_of_words(lines.slice(k, 4096))
+                    cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * _MARKS), pa.array(marks)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(words))]
+                    yield pa.RecordBatch.from_arrays([ids.slice(k, 4096), o.slice(k, 4096), pa.array(n.astype(np.int32)), *lists], ["id", "o", "n", "marks", "words"])
 
     return found.mapInArrow(cut, "id long, o struct<x:boolean,doc_id:bigint,h0:bigint,line:int>, n int, marks array<long>, words array<long>")
 
@@ -506,8 +560,10 @@ def removed_lines(texts: DataFrame, chars: int) -> DataFrame:
     never = broadcast_if_small(most) if most.limit(1).count() else None
 
     def found(k: int) -> DataFrame:
+        if never is None:
+            return staged(packed_pairs(packed_postings(sets, max(64, chars // BUCKET_CHARS), rounds, k)))
         rows = postings.where(F.pmod("token", F.lit(rounds)) == k) if rounds > 1 else postings
-        return staged(candidate_pairs(rows if never is None else rows.join(never, "token", "left_anti")))
+        return staged(candidate_pairs(rows.join(never, "token", "left_anti")))
 
     def of_pairs(some: DataFrame) -> DataFrame:
         return some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id")))

@@ -94,10 +94,15 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known = coded.dictionary
     cuts = np.frombuffer(known.buffers()[1], np.int32)[known.offset : known.offset + len(known) + 1].astype(np.int64) if len(known) else np.zeros(1, np.int64)
     raw = np.frombuffer(known.buffers()[2], np.uint8)[cuts[0] : cuts[-1]] if len(known) else np.zeros(0, np.uint8)
+    # Eight bytes at a time; bytes beyond a word's end count as none.
     size = np.diff(cuts)
-    place = np.arange(len(raw)) - np.repeat(cuts[:-1] - cuts[0], size)
-    mixed = stir(stir((raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    hashes = stir(stir(np.add.reduceat(mixed, cuts[:-1] - cuts[0]) + size.astype(np.uint64))) if len(known) else np.zeros(0, np.uint64)
+    blocks = (size + 7) >> 3
+    at = ragged(blocks, np.zeros(len(blocks), np.int64))
+    left = np.repeat(size, blocks) - 8 * at
+    eight = np.ndarray(len(raw), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))[np.repeat(cuts[:-1] - cuts[0], blocks) + 8 * at]
+    eight = eight & (~np.uint64(0) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64))
+    mixed = stir(stir((eight + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    hashes = stir(stir(np.add.reduceat(mixed, np.cumsum(blocks) - blocks) + size.astype(np.uint64))) if len(known) else np.zeros(0, np.uint64)
     return owner[full], coded.indices.to_numpy(zero_copy_only=False), hashes
 
 
