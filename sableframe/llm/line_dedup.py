@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sableframe.llm.set_overlap import Postings, groups
-from sableframe.llm.staging import broadcast_if_small, dropped, scratch, small_enough, staged
+from sableframe.llm.staging import broadcast_if_small, dropped, scratch, small_batches, small_enough, staged
 from sableframe.llm.tables import let, table
 from sableframe.llm.text_kernels import lean, ragged, sorted_distinct, stir, word_table
 
@@ -59,7 +59,7 @@ EARLIEST = 2
 #: Rounds in which a table is worked on: one for each ROUND_CHARS bytes of text, up to a limit.
 MOST_ROUNDS, ROUND_CHARS = 2, 1 << 28
 #: Postings that a task packs at a time, and bytes of text for a bucket of them.
-PACKED, BUCKET_CHARS = 1 << 20, 1 << 21
+PACKED, BUCKET_CHARS = 1 << 19, 1 << 21
 _ID_BITS = 55
 _BLOCK = 1 << 16  # buckets whose counts travel together
 _FULL = (1 << 16) - 1  # sizes and places from here on are not told apart, and filter nothing
@@ -147,7 +147,9 @@ def word_rarity(texts: DataFrame, buckets: int) -> np.ndarray:
 
     counted = texts.select("text").mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(merge, "block int, codes binary")
     rarity = np.full(buckets, 255, np.uint8)
-    for r in counted.collect():  # at most MOST_BUCKETS bytes
+    with small_batches(texts.sparkSession):
+        found = counted.collect()  # at most MOST_BUCKETS bytes
+    for r in found:
         rarity[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["codes"], np.uint8)
     return rarity
 
@@ -613,8 +615,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the later matches taken out of ``text``, and with ``n_lines`` and ``n_removed``."""
     size = Observation()
     repeated = staged(repeated_texts(docs.observe(size, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("chars"))), keep=True)
+    chars = 0 if docs.isEmpty() else size.get["chars"]  # Spark leaves the observation of an empty table out
     with scratch():
-        gone = staged(removed_lines(distinct_texts(docs, repeated), size.get["chars"]), keep=True)
+        gone = staged(removed_lines(distinct_texts(docs, repeated), chars), keep=True)
     small = broadcast_if_small(gone.select(F.col("h0").alias("_g0"), F.col("h1").alias("_g1"), F.col("lines").alias("_lines")))
     firsts = broadcast_if_small(repeated.select(F.col("h0").alias("_r0"), F.col("h1").alias("_r1"), F.col("first").alias("_first"), F.lit(True).alias("_again")))
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
